@@ -88,3 +88,10 @@ def hits_sql(source: str, keys: str) -> str:
         kept = f"k{i}"
     out.append(f"hits AS (SELECT * FROM {kept})")
     return ", ".join(out)
+
+# pages of two lines each: (doc_id, source_id, pos, page_key, rotation, n_bytes, text, n)
+DP = """dl AS (SELECT doc_id, source AS source_id, unnest(string_split(text, chr(10))) AS line,
+  CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS BIGINT) AS line_no FROM documents),
+dp0 AS (SELECT doc_id, source_id, line_no // 2 AS pos, string_agg(line, chr(10) ORDER BY line_no) AS text FROM dl GROUP BY ALL),
+dp AS (SELECT doc_id, source_id, pos, doc_id || '-' || pos AS page_key, ((doc_id + pos) % 4) * 90 AS rotation,
+  CAST(strlen(text) AS BIGINT) AS n_bytes, text, count(*) OVER (PARTITION BY doc_id) AS n FROM dp0)"""

@@ -94,6 +94,14 @@ def _accepted(category: str, text: Column) -> Column | None:
     return None
 
 
+def _labelled(category: str, spans: Column) -> Column:
+    """The spans that pass the check of their category, with its name."""
+    if _accepted(category, F.lit("")) is not None:
+        spans = F.filter(spans, lambda s: _accepted(category, s["text"]))
+    label = F.lit("ip" if category == "ip6" else category).alias("category")
+    return F.transform(spans, lambda s: F.struct(label, s["start"], s["end"], s["text"]))
+
+
 def match_spans(text: Column, pattern: str, matches: Column) -> Column:
     """Half-open offsets of all regex matches: lengths of the parts between them, summed up."""
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
@@ -130,17 +138,7 @@ def with_pattern_hits(df: DataFrame, text_col: str = "text", out: str = "hits")
     candidates = []
     for category, pattern in PATTERNS:
         spans = match_spans(text, pattern, F.col(f"_m_{category}"))
-        if _accepted(category, F.lit("")) is not None:
-            spans = F.filter(spans, lambda s, c=category: _accepted(c, s["text"]))
-        label = "ip" if category == "ip6" else category
-        candidates.append(
-            F.transform(
-                spans,
-                lambda s, v=label: F.struct(
-                    F.lit(v).alias("category"), s["start"], s["end"], s["text"]
-                ),
-            )
-        )
+        candidates.append(_labelled(category, spans))
     empty = F.array().cast(HIT_TYPE)
 
     def claim(acc: Column, h: Column) -> Column:

@@ -60,12 +60,25 @@ def rx_replace(c: Column, pattern: str, to: str) -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(to))
 
 
+# The same characters, one by one, for functions that take a set instead of a pattern.
+SPACE_SET = "".join(
+    chr(c)
+    for lo, hi in (
+        (9, 13), (32, 32), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+        (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000), (0xFEFF, 0xFEFF),
+    )
+    for c in range(lo, hi + 1)
+)
+
+
 def trim_space(c: Column) -> Column:
-    return rx_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE_SET))
 
 
 def collapse_space(c: Column) -> Column:
-    return trim_space(rx_replace(c, f"{SPACE}+", " "))
+    """White space runs become one blank, none at the ends."""
+    blank = F.translate(c, SPACE_SET, " " * len(SPACE_SET))
+    return F.trim(rx_replace(blank, " {2,}", " "))
 
 
 def chars(c: Column) -> Column:
@@ -82,31 +95,25 @@ def tokenize(c: Column) -> Column:
     return F.array_distinct(all_tokens(c))
 
 
-def snippet(text: Column, token: Column, max_len: int = 80) -> Column:
-    """A window of ``max_len`` characters centred on the first occurrence of ``token``."""
+def snippet(text: Column, token: Column, max_len: int = 80, at: Column | None = None) -> Column:
+    """A window of ``max_len`` characters centred on the first occurrence of ``token``.
+
+    ``at`` is the 0-based place of the token if the caller has it as a column already.
+    """
     n = F.length(text)
-    at = F.instr(F.lower(text), F.lower(token)) - 1
+    at = F.instr(F.lower(text), F.lower(token)) - 1 if at is None else at
     half = F.floor((F.lit(max_len) - F.length(token)) / 2)
     start = F.greatest(F.lit(0), at - half).cast("int")
     end = F.least(n, start + max_len)
-    window = collapse_space(F.substring(text, start + 1, end - start))
+    window = collapse_space(F.substring(text, start + 1, F.lit(max_len)))
     whole = collapse_space(text)
-    return (
-        F.when(F.coalesce(n, F.lit(0)) == 0, F.lit(""))
-        .when(
-            at < 0,
-            F.when(
-                F.length(whole) > max_len, F.concat(F.substring(whole, 1, max_len), F.lit("..."))
-            ).otherwise(whole),
-        )
-        .otherwise(
-            F.concat(
-                F.when(start > 0, "...").otherwise(""),
-                window,
-                F.when(end < n, "...").otherwise(""),
-            )
-        )
+    head = F.when(
+        F.length(whole) > max_len, F.concat(F.substring(whole, 1, max_len), F.lit("..."))
+    ).otherwise(whole)
+    cut = F.concat(
+        F.when(start > 0, "...").otherwise(""), window, F.when(end < n, "...").otherwise("")
     )
+    return F.when(F.coalesce(n, F.lit(0)) == 0, F.lit("")).when(at < 0, head).otherwise(cut)
 
 
 def find_paths(c: Column) -> Column:

@@ -59,6 +59,15 @@ def redact(pages: DataFrame, marks: DataFrame, text: str = "text", fill: str = "
     return j.withColumn(text, F.coalesce(cut, F.col(text))).drop("_spans").select(*pages.columns)
 
 
+def _grams(letters: Column, n: int) -> Column:
+    """All pieces of ``n`` neighbouring characters."""
+    pieces = F.transform(
+        F.sequence(F.lit(1), F.size(letters) - n + 1),
+        lambda i: F.array_join(F.slice(letters, i, F.lit(n)), ""),
+    )
+    return F.when(F.size(letters) >= n, pieces).otherwise(F.array().cast("array<string>"))
+
+
 def residual_check(
     outputs: DataFrame, needles: DataFrame, id_cols: list[str], needle_id: str,
     text: str = "text", needle: str = "needle", raw_stream: bool = False,
@@ -88,21 +97,11 @@ def residual_check(
     tokens = body.select(*id_cols, F.explode(F.array_distinct(all_tokens(F.col("_low")))).alias("_anchor"))
     pairs = tokens.join(by_word, "_anchor").select("_nid", "_form", *id_cols)
     if not by_gram.isEmpty():
-        grams = by_gram.withColumn("_anchor", F.substring("_form", 1, 3)).withColumn(
-            "_size", F.length("_anchor")
+        grams = by_gram.withColumn("_anchor", F.substring("_form", 1, 3))
+        cut = F.concat(*[_grams(F.col("_letters"), n) for n in (1, 2, 3)])
+        spread = body.withColumn("_letters", chars(F.col("_low"))).select(
+            *id_cols, F.explode(F.array_distinct(cut)).alias("_anchor")
         )
-        letters = chars(F.col("_low"))
-        cut = [
-            F.when(
-                F.size(letters) >= n,
-                F.transform(
-                    F.sequence(F.lit(1), F.size(letters) - n + 1),
-                    lambda i, n=n: F.array_join(F.slice(letters, i, F.lit(n)), ""),
-                ),
-            ).otherwise(F.array().cast("array<string>"))
-            for n in (1, 2, 3)
-        ]
-        spread = body.select(*id_cols, F.explode(F.array_distinct(F.concat(*cut))).alias("_anchor"))
         pairs = pairs.unionByName(spread.join(grams, "_anchor").select("_nid", "_form", *id_cols))
     return (
         pairs.join(body, id_cols)

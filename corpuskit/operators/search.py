@@ -17,8 +17,11 @@ def build_index(pages: DataFrame, text: str = "text") -> DataFrame:
     ``pages`` needs doc_id, page_no and the text; file_name and from_ocr are kept if present.
     """
     kept = [c for c in ("doc_id", "file_name", "page_no", "from_ocr") if c in pages.columns]
-    exploded = pages.select(*kept, F.col(text).alias("_text"), F.explode(tokenize(F.col(text))).alias("token"))
-    return exploded.select("token", *kept, snippet(F.col("_text"), F.col("token")).alias("snippet"))
+    body, low, token = F.col("_text"), F.col("_low"), F.col("token")
+    lowered = pages.select(*kept, F.col(text).alias("_text"), F.lower(text).alias("_low"))
+    exploded = lowered.select(*kept, "_text", "_low", F.explode(tokenize(low)).alias("token"))
+    placed = exploded.select(*kept, "token", "_text", (F.instr(low, token) - 1).alias("_at"))
+    return placed.select("token", *kept, snippet(body, token, at=F.col("_at")).alias("snippet"))
 
 
 def write_index(postings: DataFrame, path: str, buckets: int = 64) -> None:

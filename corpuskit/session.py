@@ -36,3 +36,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def cut_lineage(df):
+    """Checkpoint to the shared folder, so loops neither recompute nor depend on one executor."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
+    return df.checkpoint()
