@@ -84,7 +84,7 @@ def _(t):
     f"""WITH {S.DP}, l AS (SELECT doc_id, pos, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS BIGINT) AS line_no FROM dp),
     r AS (SELECT doc_id, pos, line_no, unnest(regexp_extract_all(line, '{S.WS}*[^{S.WS[1:-1]}]+')) AS w, generate_subscripts(regexp_extract_all(line, '{S.WS}*[^{S.WS[1:-1]}]+'), 1) AS i FROM l),
     o AS (SELECT doc_id, pos, line_no, length(regexp_replace(w, '^{S.WS}+', '')) AS n, sum(length(w)) OVER (PARTITION BY doc_id, pos, line_no ORDER BY i) - length(regexp_replace(w, '^{S.WS}+', '')) AS off FROM r)
-    SELECT dp.doc_id, dp.pos AS page_no, coalesce(sum(n) FILTER (off * 6.0 <= 600), 0)::BIGINT AS chars FROM dp LEFT JOIN o USING (doc_id, pos) GROUP BY ALL""",
+    SELECT dp.doc_id, dp.pos AS page_no, coalesce(sum(o.n) FILTER (off * 6.0 <= 600), 0)::BIGINT AS chars FROM dp LEFT JOIN o USING (doc_id, pos) GROUP BY ALL""",
 )
 def _(t):
     pages = dp(t).select("doc_id", F.col("pos").alias("page_no"), "text")

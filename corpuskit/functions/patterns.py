@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.functions.text import chars
+from corpuskit.functions.text import chars, sums_before
 
 _L = r"(?<![A-Za-z0-9_])"
 _R = r"(?![A-Za-z0-9_])"
@@ -104,20 +104,16 @@ def _labelled(category: str, spans: Column) -> Column:
 
 def match_spans(text: Column, pattern: str, matches: Column) -> Column:
     """Half-open offsets of all regex matches: lengths of the parts between them, summed up."""
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
-    pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), F.length)
+    before = sums_before(F.zip_with(gaps, matches, lambda g, m: g + F.length(m)))
+    starts = F.zip_with(before, gaps, lambda b, g: b + g)
+    spans = F.zip_with(
+        starts,
+        matches,
+        lambda s, m: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), m.alias("text")),
+    ).cast("array<struct<start:int,end:int,text:string>>")
     empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = (acc["at"] + x["g"]).cast("int")
-        end = (start + F.length(x["m"])).cast("int")
-        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    folded = F.aggregate(
-        pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"]
-    )
-    return F.when(F.size(matches) > 0, folded).otherwise(empty)
+    return F.when(F.size(matches) > 0, spans).otherwise(empty)
 
 
 def with_pattern_hits(df: DataFrame, text_col: str = "text", out: str = "hits") -> DataFrame:

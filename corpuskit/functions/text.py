@@ -86,6 +86,34 @@ def chars(c: Column) -> Column:
     return F.when(F.length(c) > 0, F.split(c, "")).otherwise(F.array().cast("array<string>"))
 
 
+def _running(arr: Column, start: Column) -> Column:
+    """Sum before each member, by one fold (short arrays only: the result is copied per step)."""
+    first = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(
+        arr,
+        first,
+        lambda acc, v: F.struct(
+            (acc["at"] + v).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")
+        ),
+        lambda acc: acc["out"],
+    )
+
+
+def sums_before(arr: Column) -> Column:
+    """Sum of all earlier members, for every member; in blocks, so long arrays stay cheap."""
+    size = 128
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(arr) - 1) / size).cast("int")),
+        lambda b: F.slice(arr, b * size + 1, F.lit(size)),
+    )
+    starts = _running(
+        F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, v: s + v)), F.lit(0)
+    )
+    return F.when(F.size(arr) == 0, F.array().cast("array<int>")).otherwise(
+        F.flatten(F.zip_with(blocks, starts, _running))
+    )
+
+
 def all_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0))
 

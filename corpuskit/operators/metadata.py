@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions.names import page_label, position_string, type_label
 from corpuskit.functions.text import find_paths
-from corpuskit.operators.ordered import number_rows
+from corpuskit.operators.ordered import counted_join, number_rows
 from corpuskit.operators.unique_names import unique_names
 
 FIELDS = ["title", "author", "subject", "creator", "producer", "creation_date", "modification_date", "keywords"]
@@ -111,13 +111,11 @@ def dedupe_content(parts: DataFrame, refs: DataFrame | None = None) -> DataFrame
     ``parts``: name, content. Length and hash stand for the content; groups are combined
     map-side, and the way back is spread over sub-keys, so many copies of one part do no harm.
     """
-    from corpuskit.operators.ordered import spread_join
-
     keyed = parts.select(
         "name", F.octet_length("content").alias("_len"), F.sha2(F.col("content").cast("binary"), 256).alias("_sha")
     )
-    first = keyed.groupBy("_len", "_sha").agg(F.min("name").alias("kept_name"))
-    named = spread_join(keyed, first, ["_len", "_sha"], tag="name").select("name", "kept_name")
+    first = keyed.groupBy("_len", "_sha").agg(F.min("name").alias("kept_name"), F.count(F.lit(1)).alias("_n"))
+    named = counted_join(keyed, first, ["_len", "_sha"], "_n").select("name", "kept_name")
     if refs is None:
         return named
     return refs.join(named, refs["part"] == named["name"], "left").select(

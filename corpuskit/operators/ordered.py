@@ -88,16 +88,37 @@ def previous_values(
     )
 
 
-def spread_join(
-    big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", ways: int = 32,
-    tag: str | None = None,
+HOT_ROWS = 1_000_000
+
+
+def counted_join(
+    big: DataFrame, small: DataFrame, on: list[str], n: str, how: str = "left", ways: int = 64,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Equi-join where ``small`` has at most one row per key but ``big`` may have a hot key.
+    """Equi-join to a table with one row per key that also holds how many rows the key has.
 
-    Rows of ``big`` are spread over ``ways`` sub-keys by a hash of ``tag`` (or of the whole row)
-    and each row of ``small`` is repeated once per sub-key, so a hot key ends in ``ways`` tasks.
+    Keys with more than ``hot_rows`` rows are spread: their rows over ``ways`` sub-keys by a hash
+    of the whole row, their one partner repeated per sub-key. There are at most
+    total / ``hot_rows`` such keys, which bounds what is broadcast; all other keys join plainly.
     """
-    seed = F.xxhash64(F.col(tag)) if tag else F.xxhash64(*[F.col(c) for c in big.columns])
-    left = big.withColumn("_way", F.pmod(seed, F.lit(ways)).cast("int"))
-    right = small.withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
-    return left.join(right, [*on, "_way"], how).drop("_way")
+    hot = small.filter(F.col(n) > hot_rows).select(*on, F.lit(True).alias("_hot"))
+    seed = F.xxhash64(*[F.col(c) for c in big.columns])
+    left = big.join(F.broadcast(hot), on, "left").withColumn(
+        "_way", F.when(F.col("_hot"), F.pmod(seed, F.lit(ways)).cast("int")).otherwise(0)
+    )
+    all_ways = F.sequence(F.lit(0), F.lit(ways - 1))
+    right = small.withColumn(
+        "_way", F.explode(F.when(F.col(n) > hot_rows, all_ways).otherwise(F.array(F.lit(0))))
+    ).drop(n)
+    return left.drop("_hot").join(right, [*on, "_way"], how).drop("_way")
+
+
+def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, tag: str) -> DataFrame:
+    """First ``k`` rows per key in two steps: per sub-key of a hash of ``tag``, then over those."""
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(tag), F.lit(64)))
+    some = salted.withColumn(
+        "_rn", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))
+    ).filter(F.col("_rn") <= k).drop("_salt")
+    return some.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(
+        F.col("_rn") <= k
+    ).drop("_rn")

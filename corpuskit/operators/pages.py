@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.functions.text import SPACE, rx_replace, tokenize
-
-CHAR_W = 6.0
-LINE_H = 14.0
+from corpuskit.functions.text import SPACE_SET, tokenize
 
 
 def split_lines(text: Column) -> Column:
@@ -34,41 +36,34 @@ def page_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def word_runs(pages: DataFrame, text: str = "text") -> DataFrame:
-    """Positioned runs laid out from plain text: one run per word.
+    """The words of each page with line, place in the line and character offset in it.
 
-    x comes from the word's offset, y from its line; the first line of a page that starts
-    with a capital and is short is set larger. Each line is one row until its words are
-    exploded, so a run row never depends on rows of other pages.
+    Rows are independent, so this is one pass over Arrow batches without a shuffle.
     """
     others = [c for c in pages.columns if c != text]
-    lines = pages.select(*others, F.posexplode(split_lines(F.col(text))).alias("line_no", "line"))
-    words = F.regexp_extract_all(F.col("line"), F.lit(f"{SPACE}*[^{SPACE[1:-1]}]+"), F.lit(0))
-    placed = F.aggregate(
-        words,
-        F.struct(
-            F.lit(0).alias("at"),
-            F.array().cast("array<struct<word_no:int,str:string,off:int>>").alias("out"),
-        ),
-        lambda acc, w: F.struct(
-            (acc["at"] + F.length(w)).cast("int").alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        F.size(acc["out"]).alias("word_no"),
-                        rx_replace(w, f"^{SPACE}+", "").alias("str"),
-                        (
-                            acc["at"] + F.length(w) - F.length(rx_replace(w, f"^{SPACE}+", ""))
-                        ).cast("int").alias("off"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return lines.select(*others, "line_no", F.explode(placed).alias("w")).select(
-        *others, "line_no", "w.word_no", "w.str", "w.off"
-    )
+    word = re.compile(f"[^{SPACE_SET}]+")
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows, line_no, word_no, strs, offs = [], [], [], [], []
+            for i, body in enumerate(pdf[text]):
+                for ln, line in enumerate((body or "").split("\n")):
+                    for wn, m in enumerate(word.finditer(line)):
+                        rows.append(i)
+                        line_no.append(ln)
+                        word_no.append(wn)
+                        strs.append(m[0])
+                        offs.append(m.start())
+            out = pdf[others].take(rows).reset_index(drop=True)
+            yield out.assign(
+                line_no=np.array(line_no, dtype="int32"), word_no=np.array(word_no, dtype="int32"),
+                str=np.array(strs, dtype=object), off=np.array(offs, dtype="int32"),
+            )
+
+    schema = pages.select(*others).schema
+    for name, kind in (("line_no", "integer"), ("word_no", "integer"), ("str", "string"), ("off", "integer")):
+        schema = schema.add(name, kind)
+    return pages.select(*others, text).mapInPandas(kernel, schema)
 
 
 def pages_without_text(pages: DataFrame, text: str = "text") -> DataFrame:

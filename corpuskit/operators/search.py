@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions.patterns import match_spans
-from corpuskit.functions.text import SPACE, snippet, tokenize, trim_space
+from corpuskit.functions.text import SPACE, snippet, sums_before, tokenize, trim_space
 
 
 def build_index(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -154,25 +154,12 @@ def line_runs(text: Column, words: int = 3) -> Column:
     """
     pattern = f"(?:[^{SPACE[1:-1]}]++{SPACE}*+){{1,{words}}}|{SPACE}++"
     pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<run_no:int,start:int,end:int,str:string>>")
-    return F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p)).cast("int").alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        F.size(acc["out"]).alias("run_no"),
-                        acc["at"].alias("start"),
-                        (acc["at"] + F.length(p)).cast("int").alias("end"),
-                        p.alias("str"),
-                    )
-                ),
-            ).alias("out"),
+    before = sums_before(F.transform(pieces, F.length))
+    return F.transform(
+        F.arrays_zip(before.alias("at"), pieces.alias("str")),
+        lambda p, i: F.struct(
+            i.alias("run_no"), p["at"].alias("start"), (p["at"] + F.length(p["str"])).alias("end"), p["str"].alias("str")
         ),
-        lambda acc: acc["out"],
     )
 
 
