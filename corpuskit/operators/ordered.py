@@ -55,6 +55,27 @@ def running_sums(
     )
 
 
+def running_max(
+    df: DataFrame, keys: list[str], pos: str, values: dict[str, Column], block: int = BLOCK
+) -> DataFrame:
+    """Add inclusive running maxima in ``pos`` order per key; NULLs do not count."""
+    base = df.withColumns({**{f"_v_{n}": e for n, e in values.items()}, "_blk": F.floor(F.col(pos) / block)})
+    part = [*keys, "_blk"]
+    inside = Window.partitionBy(*part).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    local = base.withColumns({n: F.max(f"_v_{n}").over(inside) for n in values})
+    per_block = base.groupBy(*part).agg(*[F.max(f"_v_{n}").alias(f"_s_{n}") for n in values])
+    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_block.select(*part, *[F.max(f"_s_{n}").over(before).alias(f"_c_{n}") for n in values])
+    some = F.coalesce(*[F.col(f"_c_{n}").isNotNull().cast("int") for n in values])
+    for n in values:
+        some = F.greatest(some, F.col(f"_c_{n}").isNotNull().cast("int"))
+    joined = local.join(carry.filter(some > 0), part, "left")
+    return joined.select(
+        *[c for c in df.columns if c not in values],
+        *[F.greatest(F.col(n), F.col(f"_c_{n}")).alias(n) for n in values],
+    )
+
+
 def number_rows(
     df: DataFrame, keys: list[str], pos: str, out: str = "rn", total: str | None = None,
     block: int = BLOCK,
