@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.functions.names import filename_pattern, strip_extension
+from corpuskit.functions.geometry import projected_bytes
+from corpuskit.functions.names import filename_pattern, running_label, strip_extension
+from corpuskit.operators.predicates import never_larger
+from corpuskit.operators.redact import redact_patterns
 from corpuskit.operators.sequence import global_numbers
 from corpuskit.operators.unique_names import unique_names
 
@@ -20,3 +25,186 @@ def batch_names(files: DataFrame, pattern: str, day: str) -> DataFrame:
         total, numbered = F.lit(1), files.withColumn("_i", F.lit(1))
     named = numbered.withColumn("_n", filename_pattern(pattern, base, F.col("_i"), total, day))
     return unique_names(named, "_n", "pos", "out_name").drop("_n", "_i")
+
+
+# --- settings -------------------------------------------------------------------------------
+def _number(low: float = float("-inf"), high: float = float("inf")):
+    def ok(v):
+        return isinstance(v, (int, float)) and not isinstance(v, bool) and low <= v <= high and v == v
+
+    return ok
+
+
+def _one_of(*allowed: str):
+    return lambda v: isinstance(v, str) and v in allowed
+
+
+def _text(v) -> bool:
+    return isinstance(v, str)
+
+
+def _colour(v) -> bool:
+    return isinstance(v, str) and re.fullmatch("#?[0-9a-fA-F]{6}", v) is not None
+
+
+def _image(v) -> bool:
+    return v is None or (isinstance(v, dict) and isinstance(v.get("bytes"), bytes))
+
+
+_ALIGN = _one_of("left", "center", "right")
+# The fields of each step's settings with their types and ranges.
+SETTINGS = {
+    "compress": {"dpi": _number(1, 2400), "quality": _number(0, 1)},
+    "watermark": {
+        "kind": _one_of("text", "image"), "text": _text, "image": _image, "imageScale": _number(0, 1),
+        "position": _one_of(*[
+            "top-left", "top-center", "top-right", "center-left", "center", "center-right",
+            "bottom-left", "bottom-center", "bottom-right",
+        ]),
+        "opacity": _number(0, 1), "rotation": _number(-360, 360), "fontSize": _number(1, 1000),
+        "color": _colour, "startAt": _number(), "pageRange": _text,
+    },
+    "headerFooter": {
+        "headerText": _text, "headerAlign": _ALIGN, "footerText": _text, "footerAlign": _ALIGN,
+        "fontSize": _number(1, 1000), "pageRange": _text,
+    },
+    "nup": {
+        "layout": _one_of("2-up", "4-up", "booklet"), "margin": _number(0), "gutter": _number(0),
+        "drawBorders": lambda v: isinstance(v, bool),
+    },
+    "normalize": {"targetSize": _one_of("A4", "Letter", "Legal"), "scaleMode": _one_of("fit", "fill", "center")},
+}
+
+
+class RecipeError(ValueError):
+    """A recipe that must not run; ``problems`` holds the dotted paths."""
+
+    def __init__(self, problems: list[str]):
+        super().__init__(", ".join(problems))
+        self.problems = problems
+
+
+def parse_recipe(raw: dict) -> tuple[list[str], dict[str, dict]]:
+    """Tools and settings of a stored recipe, every field checked; raises with all problems."""
+    problems: list[str] = []
+    tools = raw.get("tools")
+    if not isinstance(tools, list) or not all(isinstance(t, str) for t in tools):
+        problems.append("tools")
+        tools = []
+    settings, given = {}, raw.get("settings")
+    if given is not None and not isinstance(given, dict):
+        problems.append("settings")
+        given = None
+    for step, fields in SETTINGS.items():
+        value = (given or {}).get(step)
+        if value is None:
+            continue
+        if not isinstance(value, dict):
+            problems.append(step)
+            continue
+        bad = [f"{step}.{name}" for name, ok in fields.items() if not ok(value.get(name))]
+        problems += bad
+        if not bad:
+            settings[step] = {name: value.get(name) for name in fields}
+    if problems:
+        raise RecipeError(problems)
+    return list(tools), settings
+
+
+# --- running --------------------------------------------------------------------------------
+NOTE = "struct<kind:string,detail:string>"
+
+
+def _note(kind: str, detail: Column, when: Column) -> Column:
+    one = F.struct(F.lit(kind).alias("kind"), detail.cast("string").alias("detail")).cast(NOTE)
+    return F.when(when, F.array(one)).otherwise(F.array().cast(f"array<{NOTE}>"))
+
+
+def redact_tool(df: DataFrame, settings: dict | None) -> DataFrame:
+    out = redact_patterns(df)
+    n = F.col("n_cut")
+    note = _note("changed", F.concat(n.cast("string"), F.lit(" spans cut")), n > 0)
+    return out.withColumn("notes", F.concat("notes", note)).withColumn("n_bytes", F.octet_length("text").cast("bigint")).drop("n_cut")
+
+
+def metadata_tool(df: DataFrame, settings: dict | None) -> DataFrame:
+    held = F.coalesce(F.col("author") != "", F.lit(False))
+    note = _note("metadata-scrubbed", F.lit("author"), held)
+    return df.withColumns({"notes": F.concat("notes", note), "author": F.lit(None).cast("string")})
+
+
+def compress_tool(df: DataFrame, settings: dict) -> DataFrame:
+    """Expected size under the size model; a result that is not smaller keeps the original."""
+    new = projected_bytes(F.col("n_bytes"), F.lit(float(settings["quality"]))).cast("bigint")
+    choice = never_larger(F.col("n_bytes"), new, F.lit(True))
+    note = _note("kept-original", F.lit("compress: result not smaller"), choice == "original")
+    return df.withColumns({
+        "n_bytes": F.when(choice == "result", new).otherwise(F.col("n_bytes")), "notes": F.concat("notes", note),
+    })
+
+
+def header_footer_tool(df: DataFrame, settings: dict) -> DataFrame:
+    head, foot = settings["headerText"], settings["footerText"]
+    parts = [running_label(x, F.lit(1), F.lit(1)) for x in (head,) if x.strip()]
+    parts += [F.col("text")] + [running_label(x, F.lit(1), F.lit(1)) for x in (foot,) if x.strip()]
+    text = F.concat_ws("\n", *parts)
+    return df.withColumns({"text": text}).withColumn("n_bytes", F.octet_length("text").cast("bigint"))
+
+
+class Recipe:
+    """An ordered list of tools for every document, with a note for every outcome.
+
+    Documents: doc_id, file, text, n_bytes and what else the tools need. A tool is any function
+    (DataFrame, settings) → DataFrame that keeps one row per document; ``register`` adds one.
+    The whole recipe is one lazy plan; notes travel with their row and are split off at the end.
+    """
+
+    def __init__(self, tools: list[str], settings: dict[str, dict] | None = None):
+        self.tools, self.settings = tools, settings or {}
+        self.known = {
+            "redact": redact_tool, "metadata": metadata_tool, "compress": compress_tool, "headerFooter": header_footer_tool,
+        }
+
+    def register(self, name: str, tool) -> Recipe:
+        self.known[name] = tool
+        return self
+
+    def run(self, docs: DataFrame, refused: Column | None = None) -> tuple[DataFrame, DataFrame]:
+        """(outputs, notes). Documents with a refusal reason pass through as failed."""
+        why = refused if refused is not None else F.lit(None).cast("string")
+        df = docs.withColumn("error", why).withColumn(
+            "notes", _note("failed", F.col("error"), F.col("error").isNotNull())
+        )
+        bad, good = df.filter(F.col("error").isNotNull()), df.filter(F.col("error").isNull())
+        for name in self.tools:
+            tool = self.known.get(name)
+            if tool is None:
+                continue
+            if name in SETTINGS and name not in self.settings:
+                warning = _note("changed", F.lit(f"{name}: no settings, step left out"), F.lit(True))
+                good = good.withColumn("notes", F.concat("notes", warning))
+                continue
+            good = tool(good, self.settings.get(name))
+        out = good.select(*df.columns).unionByName(bad)
+        notes = out.select("doc_id", "file", F.explode("notes").alias("n")).select("doc_id", "file", "n.kind", "n.detail")
+        return out.drop("notes"), notes
+
+
+def keep_original_when_larger(docs: DataFrame, results: DataFrame, satisfied: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Per document the result or, where that is no smaller, the original; with notes.
+
+    ``docs`` and ``results``: doc_id, file, n_bytes, text.
+    """
+    r = results.select("doc_id", F.col("n_bytes").alias("_rb"), F.col("text").alias("_rt"))
+    j = docs.join(r, "doc_id", "left")
+    ok = satisfied if satisfied is not None else F.lit(True)
+    choice = F.when(F.col("_rb").isNull(), "original").otherwise(never_larger(F.col("n_bytes"), F.col("_rb"), ok))
+    use = choice.isin("result", "larger", "same")
+    out = j.select(
+        "doc_id", "file", F.when(use, F.col("_rt")).otherwise(F.col("text")).alias("text"),
+        F.when(use, F.col("_rb")).otherwise(F.col("n_bytes")).alias("n_bytes"), choice.alias("choice"),
+    )
+    notes = out.filter(F.col("choice") == "original").select(
+        "doc_id", "file", F.lit("kept-original").alias("kind"), F.lit("result not smaller").alias("detail")
+    )
+    return out, notes
