@@ -89,7 +89,7 @@ def _(t):
 # --- recipes and formulas -------------------------------------------------------------------
 @register(
     "with_formulas",
-    """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber::BIGINT AS l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net, round(l_extendedprice * (1 - l_discount) / 4 + -2.5, 5) AS quarter,
+    """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber::BIGINT AS l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net, round(l_extendedprice * (1 - l_discount) / 4 + -2.5, 6) AS quarter,
       CASE WHEN l_tax = 0 THEN NULL ELSE round(l_quantity / l_tax, 2) END AS ratio, CASE WHEN l_tax = 0 THEN 'The formula divides by zero.' END AS ratio_error,
       'The formulas refer to each other in a loop (a → b → a).' AS loop_error, 'Field "l_returnflag" is not a number ("' || l_returnflag || '").' AS text_error, 'There is no field named "nowhere".' AS unknown_error FROM lineitem""",
 )
@@ -100,7 +100,7 @@ def _(t):
     })
     return out.select(
         "l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").cast("bigint"),
-        F.round(F.col("net").cast("double"), 4).alias("net"), F.round(F.col("quarter").cast("double"), 5).alias("quarter"),
+        F.round(F.col("net").cast("double"), 4).alias("net"), F.round(F.col("quarter").cast("double"), 6).alias("quarter"),
         F.round(F.col("ratio").cast("double"), 2).alias("ratio"), F.col("ratio__error").alias("ratio_error"),
         F.col("a__error").alias("loop_error"), F.col("word__error").alias("text_error"), F.col("lost__error").alias("unknown_error"),
     )

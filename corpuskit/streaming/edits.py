@@ -85,7 +85,7 @@ def rate_limit(events: DataFrame, key: str, seconds: float = 60) -> DataFrame:
     return ordered.mapInPandas(kernel, ordered.schema).drop("_us")
 
 
-def rate_limit_stream(events: DataFrame, key: str, seconds: float = 60) -> DataFrame:
+def rate_limit_stream(events: DataFrame, key: str, seconds: float = 60, watermark: str = WATERMARK) -> DataFrame:
     """The streaming form; its state is one time stamp per key, and goes when long unused."""
     wait = int(seconds * 1e6)
 
@@ -101,12 +101,14 @@ def rate_limit_stream(events: DataFrame, key: str, seconds: float = 60) -> DataF
             last = us if passes else last
             keep.append(passes)
         state.update((int(last),))
-        state.setTimeoutDuration(max(1, wait // 1000) * 10)
-        yield pdf[keep].reset_index(drop=True)
+        idle = max(int(last + wait) // 1000, state.getCurrentWatermarkMs()) + 1
+        state.setTimeoutTimestamp(idle)
+        yield pdf.loc[keep, [key, "event_id", "us"]].reset_index(drop=True)
 
-    e = events.select(key, "event_id", micros().alias("us"))
+    # event time, not the clock, ends unused state, so a finished replay really ends
+    e = events.withWatermark("ts", watermark).select(key, "event_id", "ts", micros().alias("us"))
     out = f"{key} {dict(e.dtypes)[key]}, event_id bigint, us bigint"
-    return e.groupBy(key).applyInPandasWithState(step, out, "us bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return e.groupBy(key).applyInPandasWithState(step, out, "us bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def expire(arrivals: DataFrame, pickups: DataFrame, key: str, seconds: float = 600) -> DataFrame:
