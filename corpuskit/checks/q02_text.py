@@ -12,7 +12,7 @@ from corpuskit.session import checkpoint_folder
 
 
 def pages_of(t):
-    return PG.paginate(t.documents.select("doc_id", "lang", "text"), 10)
+    return PG.paginate(t.texts.select("doc_id", "lang", "text"), 10)
 
 
 @register("paginate", f"WITH {S.PAGES} SELECT doc_id, page_no, md5(text) AS text_md5, length(text)::BIGINT AS n FROM pg")
@@ -47,7 +47,7 @@ def _(t):
     f"WITH {S.hits_sql('documents', 'doc_id, lang')} SELECT lang, category, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM hits GROUP BY ALL",
 )
 def _(t):
-    hits = R.scan_patterns(t.documents.select("doc_id", "lang", "text"))
+    hits = R.scan_patterns(t.texts.select("doc_id", "lang", "text"))
     return hits.groupBy("lang", "category").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs")
     )

@@ -13,7 +13,7 @@ from corpuskit.operators import unique_names as UN
 
 def dp(t):
     """Pages of two lines: doc_id, source_id, pos, page_key, rotation, n_bytes, text."""
-    p = PG.paginate(t.documents.select("doc_id", F.col("source").alias("source_id"), "text"), 2)
+    p = PG.paginate(t.texts.select("doc_id", F.col("source").alias("source_id"), "text"), 2)
     pos = F.col("page_no").cast("bigint")
     return p.select(
         "doc_id", "source_id", pos.alias("pos"),

@@ -436,7 +436,7 @@ def _(t):
     k AS (SELECT doc_id || '/' || n AS name, line FROM l), m AS (SELECT line, min(name) AS kept_name FROM k GROUP BY line) SELECT name, kept_name FROM k JOIN m USING (line)""",
 )
 def _(t):
-    lines = PG.page_lines(t.documents.select("doc_id", "text"))
+    lines = PG.page_lines(t.texts.select("doc_id", "text"))
     parts = lines.select(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("line_no").cast("string")).alias("name"), F.col("line").alias("content"))
     return M.dedupe_content(parts)
 

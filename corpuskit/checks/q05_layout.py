@@ -306,7 +306,7 @@ def _(t):
 # --- outline --------------------------------------------------------------------------------
 def heading_items(t):
     """Lines of ten-line pages; the first of each page is a heading of one of three sizes."""
-    lines = PG.page_lines(t.documents.select("doc_id", "text"))
+    lines = PG.page_lines(t.texts.select("doc_id", "text"))
     p = F.floor(F.col("line_no") / 10)
     big = F.element_at(F.array(F.lit(24.0), F.lit(18.0), F.lit(15.0)), (p % 3 + 1).cast("int"))
     return lines.select(

@@ -170,7 +170,7 @@ def _(t):
 
 
 # --- event logs -----------------------------------------------------------------------------
-_SES = """a AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) >= {gap} THEN 1 ELSE 0 END AS nw FROM events),
+_SES = """a AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > {gap} THEN 1 ELSE 0 END AS nw FROM events),
   b AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a)"""
 
 

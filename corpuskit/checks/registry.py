@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpuskit.sources.corpus import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -20,6 +22,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @property
+    def texts(self) -> DataFrame:
+        """The documents, spread over the cores where the file has fewer splits than cores."""
+        return spread(self.documents, "doc_id")
+
 
 def register(name: str, sql: str | None = None):
     """Register ``fn(tables)`` under ``name``; ``sql`` is its DuckDB twin, if it has one."""

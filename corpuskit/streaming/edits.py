@@ -25,13 +25,13 @@ def micros() -> Column:
 
 
 def sessions(events: DataFrame, key: str, gap_seconds: float) -> DataFrame:
-    """Add ``session_no`` per key: a new one after a pause of at least the gap.
+    """Add ``session_no`` per key: a new one after a pause longer than the gap.
 
     Blocks of one day keep a key with most of the events from ending in one task.
     """
     e = events.withColumn("_us", micros())
     p = previous_values(e, [key], "_us", {"_before": "_us"}, block=DAY)
-    new = F.coalesce(F.col("_us") - F.col("_before") >= gap_seconds * 1e6, F.lit(False))
+    new = F.coalesce(F.col("_us") - F.col("_before") > gap_seconds * 1e6, F.lit(False))
     return running_sums(p.withColumn("_new", new.cast("bigint")), [key], "_us", {"session_no": F.col("_new")}, block=DAY).drop(
         "_us", "_before", "_new"
     )
