@@ -34,7 +34,7 @@ def main() -> None:
         start = time.time()
         registry.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - start, 3)
-        print(name, times[name], file=sys.stderr, flush=True)
+        print(f"\n{name} {times[name]}", file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),

@@ -364,7 +364,7 @@ def words_sql(text):
 
 def pairs(t):
     new = F.replace(F.replace("text", F.lit(" the "), F.lit(" a the ")), F.lit(" de "), F.lit(" de la "))
-    return t.documents.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("old"), new.alias("new"))
+    return t.texts.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("old"), new.alias("new"))
 
 
 _PAIRS = f"""p AS (SELECT doc_id AS pair_id, {words_sql('text')} AS o, {words_sql("replace(replace(text, ' the ', ' a the '), ' de ', ' de la ')")} AS n FROM documents)"""

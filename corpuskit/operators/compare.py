@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.functions.text import SPACE
+from corpuskit.functions.text import collapse_space
+from corpuskit.operators.ordered import keep_parallel
 
 MAX_WORDS = 200_000
 MAX_EDITS = 2_500
@@ -21,7 +22,8 @@ CHUNKS = "array<struct<op:string,text:string>>"
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+", -1), lambda w: w != "")
+    flat = collapse_space(F.coalesce(text, F.lit("")))
+    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " ", -1))
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -186,7 +188,7 @@ def diff_pairs(pairs: DataFrame) -> DataFrame:
         return F.concat(_chunks("equal", F.col("head")), mid, _chunks("equal", F.col("tail"))).cast(CHUNKS)
 
     easy = t.filter(simple).select("pair_id", whole(coarse).alias("chunks"))
-    hard = t.filter(~simple).select("pair_id", "head", "mid_old", "mid_new", "tail").repartition("pair_id")
+    hard = keep_parallel(t.filter(~simple).select("pair_id", "head", "mid_old", "mid_new", "tail"), "pair_id")
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -16,7 +16,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from corpuskit.functions.names import js_round
 from corpuskit.functions.text import collapse_space, elide, is_rtl, sums_before, trim_space
-from corpuskit.operators.ordered import number_rows, previous_values, running_max, running_sums
+from corpuskit.operators.ordered import keep_parallel, number_rows, previous_values, running_max, running_sums
 from corpuskit.session import cut_lineage
 
 PAGE = ["doc_id", "page_no"]
@@ -75,7 +75,7 @@ def anchored_groups(items: DataFrame, order: list[Column], y: str, tolerance: st
     Which row anchors a group depends on the group before, so rows stream in order through a
     kernel that remembers one anchor per page. Nothing is collected.
     """
-    ordered = items.repartition(*PAGE).sortWithinPartitions(*PAGE, *order)
+    ordered = keep_parallel(items, *PAGE).sortWithinPartitions(*PAGE, *order)
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         page, anchor, group = None, 0.0, -1

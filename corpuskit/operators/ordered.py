@@ -112,6 +112,14 @@ def previous_values(
 HOT_ROWS = 1_000_000
 
 
+def keep_parallel(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into exactly the session's number of shuffle partitions.
+
+    Kernels cost far more than their bytes suggest, so partitions must not be merged by size.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def counted_join(
     big: DataFrame, small: DataFrame, on: list[str], n: str, how: str = "left", ways: int = 64,
     hot_rows: int = HOT_ROWS,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions.text import trim_space
 from corpuskit.operators.ordered import BLOCK, number_rows, running_sums
+from corpuskit.session import cut_lineage
 
 PAGE_COLS = ["page_key", "source_id", "source_index", "rotation"]
 
@@ -91,6 +92,7 @@ def align_pages(baseline: DataFrame, current: DataFrame) -> DataFrame:
     wide = j.select(
         "doc_id", "page_key", "before_pos", "pos", status.alias("status"), rotated.alias("rotated"), "after_rotation"
     )
+    wide = cut_lineage(wide)
     kept = wide.filter("status = 'kept'").select("doc_id", "pos", "before_pos")
     moved = moved_pages(kept).select("doc_id", "pos", "moved")
     return wide.join(moved, ["doc_id", "pos"], "left").withColumn(

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuskit.operators.ordered import top_per_key
+from corpuskit.operators.ordered import keep_parallel, top_per_key
 
 
 def histogram(df: DataFrame, keys: list[str], value: Column, bins: int = 256) -> DataFrame:
@@ -87,7 +87,7 @@ def suppress_overlaps(regions: DataFrame, iou: float = 0.3, limit: int = 64) ->
     (page, score) order; the state is the chosen boxes of the current page, at most ``limit``.
     """
     cols = ["doc_id", "page_no", "region_no", "x", "y", "width", "height", "score"]
-    ordered = regions.select(*cols).repartition("doc_id", "page_no").sortWithinPartitions(
+    ordered = keep_parallel(regions.select(*cols), "doc_id", "page_no").sortWithinPartitions(
         "doc_id", "page_no", F.desc("score"), "region_no"
     )
 

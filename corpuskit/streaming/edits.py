@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corpuskit.operators.ordered import previous_values, running_sums, top_per_key
+from corpuskit.operators.ordered import keep_parallel, previous_values, running_sums, top_per_key
 
 WATERMARK = "10 minutes"
 DAY = 86_400_000_000
@@ -69,7 +69,7 @@ def rate_limit(events: DataFrame, key: str, seconds: float = 60) -> DataFrame:
     Which events pass depends on the ones before, so rows stream in time order through a kernel
     that remembers one time stamp.
     """
-    ordered = events.withColumn("_us", micros()).repartition(key).sortWithinPartitions(key, "_us", "event_id")
+    ordered = keep_parallel(events.withColumn("_us", micros()), key).sortWithinPartitions(key, "_us", "event_id")
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, last = None, 0
@@ -168,7 +168,7 @@ def replay(log: DataFrame, key: str) -> DataFrame:
     A new edit clears what could be redone; at most 50 steps can be undone. Rows stream in order
     through a kernel whose state is those steps.
     """
-    ordered = log.select(key, "event_id", micros().alias("_us"), "op", "value").repartition(key).sortWithinPartitions(
+    ordered = keep_parallel(log.select(key, "event_id", micros().alias("_us"), "op", "value"), key).sortWithinPartitions(
         key, "_us", "event_id"
     )
 
