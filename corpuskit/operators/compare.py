@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.functions.text import collapse_space
+from corpuskit.functions.text import chars, collapse_space
 from corpuskit.operators.ordered import keep_parallel
 
 MAX_WORDS = 200_000
@@ -74,7 +74,11 @@ def _snake_script(a: np.ndarray, b: np.ndarray, max_edits: int) -> list[tuple[st
             low, high = reach[mid + k - 1], reach[mid + k + 1]
             x = high if k == -d or (k != d and low < high) else low + 1
             y = x - k
-            if x < n and y < m and la[x] == lb[y]:
+            stop = min(n, m + k, x + 24)
+            while x < stop and la[x] == lb[x - k]:
+                x += 1
+            y = x - k
+            if x == stop and x < n and y < m:
                 run = _run_length(a, b, x, y)
                 x, y = x + run, y + run
             reach[mid + k] = x
@@ -142,8 +146,8 @@ def _split_script(a: np.ndarray, b: np.ndarray) -> list[tuple[str, int]]:
     return script
 
 
-def _middle(old: list[str], new: list[str]) -> list[dict] | None:
-    """Chunks of the differing middle, inserts before deletes inside one change."""
+def _middle(old: list[str], new: list[str]) -> list[tuple[str, str]] | None:
+    """(op, word) of the differing middle, inserts before deletes inside one change."""
     ids: dict[str, int] = {}
     a = np.array([ids.setdefault(w, len(ids)) for w in old], dtype=np.int32)
     b = np.array([ids.setdefault(w, len(ids)) for w in new], dtype=np.int32)
@@ -156,14 +160,14 @@ def _middle(old: list[str], new: list[str]) -> list[dict] | None:
     out, ins, dele = [], [], []
     for op, i in [*script, ("end", 0)]:
         if op == "insert":
-            ins.append({"op": op, "text": new[i]})
+            ins.append((op, new[i]))
         elif op == "delete":
-            dele.append({"op": op, "text": old[i]})
+            dele.append((op, old[i]))
         else:
             out += ins + dele
             ins, dele = [], []
             if op == "equal":
-                out.append({"op": op, "text": old[i]})
+                out.append((op, old[i]))
     return out
 
 
@@ -174,31 +178,44 @@ def _chunks(op: str, arr: Column) -> Column:
 def diff_pairs(pairs: DataFrame) -> DataFrame:
     """Word diff per pair (pair_id, old, new) as an array of (op, text).
 
-    Shared head and tail are cut off in the JVM, and pairs that differ only by words added or
-    only by words removed are finished there too. Only real middles reach Python, in small Arrow
-    batches; rows are spread evenly first, as a long middle costs far more than a short one.
+    Shared head and tail are cut off in the JVM; only the differing middle needs a script. Rows
+    are spread evenly before the kernel, as a long middle costs far more than a short one.
     Beyond the bounds a pair gets one run of inserts and one of deletes, as defined.
     """
     t = trimmed(pairs)
     too_long = (F.size("_o") > MAX_WORDS) | (F.size("_n") > MAX_WORDS)
-    simple = too_long | (F.size("mid_old") == 0) | (F.size("mid_new") == 0)
-    coarse = F.concat(_chunks("insert", F.col("mid_new")), _chunks("delete", F.col("mid_old")))
-
-    def whole(mid: Column) -> Column:
-        return F.concat(_chunks("equal", F.col("head")), mid, _chunks("equal", F.col("tail"))).cast(CHUNKS)
+    # words hold no blanks, so word lists travel to Python and back as plain strings; there is no
+    # filter on them, since a pushed-down filter would compute all of the trimming once more
+    flat = [F.array_join(c, " ").alias(c) for c in ("head", "mid_old", "mid_new", "tail")]
+    rows = keep_parallel(t.select("pair_id", *flat, too_long.alias("too_long")), "pair_id")
 
-    easy = t.filter(simple).select("pair_id", whole(coarse).alias("chunks"))
-    hard = keep_parallel(t.filter(~simple).select("pair_id", "head", "mid_old", "mid_new", "tail"), "pair_id")
+    def listed_words(text: str) -> list[str]:
+        return text.split(" ") if text else []
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            mids = [_middle(list(o), list(n)) for o, n in zip(pdf["mid_old"], pdf["mid_new"])]
-            yield pdf.assign(mid=mids)
-
-    schema = f"pair_id {dict(hard.dtypes)['pair_id']}, head array<string>, mid_old array<string>, mid_new array<string>, tail array<string>, mid {CHUNKS}"
-    solved = hard.mapInPandas(kernel, schema)
-    mid = F.coalesce(F.col("mid"), coarse.cast(CHUNKS))
-    return easy.unionByName(solved.select("pair_id", whole(mid).alias("chunks")))
+            ops, texts = [], []
+            for a, b, coarse in zip(pdf["mid_old"], pdf["mid_new"], pdf["too_long"]):
+                old, new = listed_words(a), listed_words(b)
+                mid = None if coarse else _middle(old, new)
+                if mid is None:
+                    mid = [("insert", w) for w in new] + [("delete", w) for w in old]
+                ops.append("".join(op[0] for op, _ in mid))
+                texts.append(" ".join(w for _, w in mid))
+            yield pdf[["pair_id", "head", "tail"]].assign(ops=ops, mid=texts)
+
+    kind = dict(rows.dtypes)["pair_id"]
+    solved = rows.mapInPandas(kernel, f"pair_id {kind}, head string, tail string, ops string, mid string")
+    names = F.create_map(*[F.lit(x) for op in ("equal", "insert", "delete") for x in (op[0], op)])
+    def listed(c: str) -> Column:
+        return F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, " ", -1))
+
+    mid = F.zip_with(
+        chars(F.col("ops")), listed("mid"),
+        lambda o, w: F.struct(F.element_at(names, o).alias("op"), w.alias("text")),
+    )
+    out = F.concat(_chunks("equal", listed("head")), mid, _chunks("equal", listed("tail"))).cast(CHUNKS)
+    return solved.select("pair_id", out.alias("chunks"))
 
 
 def coarse_diff(pairs: DataFrame) -> DataFrame:
