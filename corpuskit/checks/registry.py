@@ -25,7 +25,7 @@ class Tables:
     @property
     def texts(self) -> DataFrame:
         """The documents, spread over the cores where the file has fewer splits than cores."""
-        return spread(self.documents, "doc_id")
+        return spread(self.documents)
 
 
 def register(name: str, sql: str | None = None):

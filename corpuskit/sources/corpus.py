@@ -52,10 +52,11 @@ def ingest_split(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Use all cores where a table has fewer splits than the session has cores.
 
-    Tables of many splits pass through untouched, so nothing is shuffled at scale.
+    Tables of many splits pass through untouched, so nothing is shuffled at scale. Rows go round
+    robin: a hash by key would let unions of such inputs claim a common partitioning.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
