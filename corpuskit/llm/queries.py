@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpuskit.llm import bpe, decontaminate, quality, simhash
+from corpuskit.llm import bpe, counts, decontaminate, html_text, language, lines, packing, pii, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,3 +46,34 @@ def op8(spark, folder):
 @_query("op10_decontaminate")
 def op10(spark, folder):
     return decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@_query("op1_html_extraction")
+def op1(spark, folder):
+    return html_text.extract(_table(spark, folder, "pages"), keep=["page_id", "url"])
+
+
+@_query("op2_pack_tokens")
+def op2(spark, folder):
+    return packing.pack(_table(spark, folder, "documents"))
+
+
+@_query("op3_language_id")
+def op3(spark, folder):
+    return language.identify(_table(spark, folder, "documents"))
+
+
+@_query("op6_token_counts")
+def op6(spark, folder):
+    return counts.edited_counts(_table(spark, folder, "documents"))
+
+
+@_query("op7_personal_data")
+def op7(spark, folder):
+    return pii.personal_data(_table(spark, folder, "documents"))
+
+
+@_query("op9_line_dedup")
+def op9(spark, folder):
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("bigint"))
