@@ -56,11 +56,13 @@ def map_batches(
     made = {f.name.lower() for f in fields}
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in made]
     names = [*keep, *[c for c in inputs if c not in keep]]
-    slim = df.select(*[quoted(c) for c in names])
-    out = T.StructType([*[slim.schema[c] for c in keep], *fields])
-    arrow = to_arrow_schema(T.StructType(fields))
-    places = [names.index(c) for c in inputs]
+    # plain names on the way through, as not all names can be looked up there
+    slim = df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(names)])
     n_keep = len(keep)
+    out = T.StructType([*slim.schema.fields[:n_keep], *[T.StructField(f"m{i}", f.dataType) for i, f in enumerate(fields)]])
+    arrow = [f.type for f in to_arrow_schema(T.StructType(fields))]
+    titles = [f.name for f in fields]
+    places = [names.index(c) for c in inputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,12 +70,12 @@ def map_batches(
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(i) for i in range(n_keep)],
-                    *[pa.array(got[f.name], type=f.type) for f in arrow],
+                    *[pa.array(got[name], type=kind) for name, kind in zip(titles, arrow, strict=True)],
                 ],
-                schema=pa.schema([*[batch.schema.field(i) for i in range(n_keep)], *arrow]),
+                names=out.names,
             )
 
-    return slim.mapInArrow(run, out)
+    return slim.mapInArrow(run, out).toDF(*keep, *titles)
 
 
 def word_blocks(raw: bytes, step: int = 1 << 22) -> Iterator[list[bytes]]:

@@ -93,13 +93,13 @@ def repeated_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
-                count: str | None = None) -> DataFrame:
-    """The documents with later repeated runs of lines deleted from ``text``, and ``n_removed`` lines.
+                count: str | None = None, mark: str = "n_removed") -> DataFrame:
+    """The documents with later repeated runs of lines deleted from ``text``, and how many lines went in ``mark``.
 
     Only runs of at least ``words`` words go. A document all of whose lines go has the empty text;
     a null text stays null. Rows alike in id and text count as one document and are treated alike.
     Null ids come last in the order. ``count`` names a column of text lengths to renew. Other columns
-    stay; one named n_removed gives way. No rows give none.
+    stay; one named like ``mark`` gives way. No rows give none.
     """
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     own = docs.select(*[quoted(c).alias(n) for c, n in at.items()])
@@ -124,13 +124,12 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     )
     if count is not None:
         done = done.withColumn(at[count], F.length(at[text]).cast(docs.schema[count].dataType))
-    keep = [c for c in docs.columns if c.lower() != "n_removed"]
-    return done.select(*[F.col(at[c]).alias(c) for c in keep], "n_removed")
+    keep = [c for c in docs.columns if c.lower() != mark.lower()]
+    return done.select(*[F.col(at[c]).alias(c) for c in keep], F.col("n_removed").alias(mark))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``dedup_lines`` for the columns of documents: text and n_chars renewed, nothing added."""
     count = "n_chars" if "n_chars" in docs.columns else None
     mark = fresh(docs, "n_removed")
-    out = dedup_lines(docs, count=count)
-    return out.drop("n_removed") if mark == "n_removed" else out
+    return dedup_lines(docs, count=count, mark=mark).drop(mark)

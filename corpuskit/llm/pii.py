@@ -30,7 +30,7 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-_BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+_BYTE = "(?:0++(?![0-9])|0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?))"
 IP = rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"
 TERM = r"\p{L}+"
 CONTEXT = 100

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuskit.llm.common import fresh, map_batches, quoted, stored, word_blocks
+from corpuskit.llm.common import map_batches, quoted, stored, word_blocks
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -114,17 +114,20 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[
     often as they occur; other columns are carried along (``keep``), those named like a new column
     give way; no rows give none.
     """
-    carried = list(docs.columns if keep is None else keep)
-    own = docs.withColumn(fresh(docs, "_host"), quoted(host))
-    place = own.columns[-1]
-    slim = with_measures(own.select(quoted(place), quoted(text)), text, [place])
-    bad = host_verdicts(slim, place, base_failed(), max_rate).filter("rejected").select("host")
+    new = [*MEASURES, "base_failed", "kept"]
+    carried = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
+    own = docs.select(
+        *[quoted(c).alias(f"c{i}") for i, c in enumerate(carried)], quoted(text).alias("text"), quoted(host).alias("host")
+    )
+    bad = host_verdicts(with_measures(own, "text", ["host"]), "host", base_failed(), max_rate).filter("rejected")
     # few hosts are rejected; the stored table's size tells the optimizer whether to broadcast it
-    bad = stored(bad, "hosts").withColumn("_bad", F.lit(True))
-    full = with_measures(own, text, [*carried, place]).withColumn("base_failed", base_failed())
-    return full.join(bad, full[f"`{place}`"] == bad["host"], "left").withColumn(
-        "kept", ~F.col("base_failed") & F.col("_bad").isNull()
-    ).select(*[quoted(c) for c in full.columns if c != place], "kept")
+    bad = stored(bad.select(F.col("host").alias("bad_host")), "hosts")
+    full = with_measures(own, "text", [*[f"c{i}" for i in range(len(carried))], "host"])
+    judged = full.join(bad, full["host"] == bad["bad_host"], "left").withColumn("base_failed", base_failed())
+    return judged.select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(carried)], *MEASURES, "base_failed",
+        (~F.col("base_failed") & F.col("bad_host").isNull()).alias("kept"),
+    )
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = 0.5) -> DataFrame:
