@@ -57,7 +57,9 @@ def windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
         F.filter("found", lambda w: w["taken"]["words"] >= words),
         lambda w: F.struct(w["first"].alias("first"), F.slice("full", w["i"] + 1, w["taken"]["lines"]).alias("lines")),
     ).alias("found"))
-    return whole.select("doc_id", "key", F.explode("found").alias("w")).select(
+    # the plain explode would first filter by the array's size and so compute all of it once more
+    each = whole.select("doc_id", "key", F.explode_outer("found").alias("w")).filter("w is not null")
+    return each.select(
         "doc_id", "key", F.col("w.first").alias("first"), F.element_at("w.lines", -1)["at"].alias("last"),
         F.array_min("w.lines.hash").alias("fingerprint"), F.xxhash64("w.lines.hash").alias("content_1"),
         F.xxhash64(F.lit(1), "w.lines.hash").alias("content_2"),
