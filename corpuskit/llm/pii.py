@@ -134,7 +134,7 @@ def context_terms(found: DataFrame) -> DataFrame:
     n = F.size("found")
     return cut.select(
         "doc_id", "key", "kind", "value", "context", "at", "cut_left", "cut_right", "gaps", "before",
-        n.alias("n"), F.posexplode("found").alias("i", "term"),
+        n.alias("n"), F.posexplode_outer("found").alias("i", "term"),
     ).filter(
         # a word cut by the edge of the context is no word
         ~(F.col("cut_left") & (F.col("i") == 0) & (F.get("gaps", F.lit(0)) == ""))
@@ -151,7 +151,10 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, near: DataFrame, general
 
     Term counts are taken over every word of every document.
     """
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
+    # explode_outer: the plain one would first filter by the array's size and so run the pattern twice
+    words = docs.select(
+        F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term")
+    ).filter("term is not null")
     counts = stored(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")), "terms")
     total = counts.agg(F.sum("n_term")).first()[0] or 0
     values = found.filter(F.size("base") > 0).select(F.explode("base").alias("s")).groupBy(
