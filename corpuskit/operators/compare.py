@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,11 +12,6 @@ from pyspark.sql import functions as F
 from corpuskit.functions.text import chars, collapse_space
 from corpuskit.operators.ordered import keep_parallel
 
-MAX_WORDS = 200_000
-MAX_EDITS = 2_500
-MAX_WORK = 200_000_000
-MAX_CELLS = 25_000_000
-
 CHUNKS = "array<struct<op:string,text:string>>"
 
 
@@ -49,125 +43,115 @@ def trimmed(pairs: DataFrame) -> DataFrame:
     })
 
 
-def _run_length(a: np.ndarray, b: np.ndarray, x: int, y: int) -> int:
-    """Length of the common run of ``a`` from x and ``b`` from y, by growing slices."""
-    n, step, total = min(len(a) - x, len(b) - y), 32, 0
-    while total < n:
-        size = min(step, n - total)
-        same = a[x + total : x + total + size] == b[y + total : y + total + size]
-        if not same.all():
-            return total + int(same.argmin())
-        total, step = total + size, step * 4
-    return total
-
-
-def _snake_script(a: np.ndarray, b: np.ndarray, max_edits: int) -> list[tuple[str, int]] | None:
-    """Shortest edit script by furthest-reaching paths; None beyond ``max_edits`` edits."""
-    n, m = len(a), len(b)
-    la, lb = a.tolist(), b.tolist()
-    mid = max_edits + 1
-    reach = [0] * (2 * max_edits + 3)
-    layers: list[array] = []
-    for d in range(max_edits + 1):
-        layers.append(array("i", reach[mid - d - 1 : mid + d + 2]))
-        for k in range(-d, d + 1, 2):
-            low, high = reach[mid + k - 1], reach[mid + k + 1]
-            x = high if k == -d or (k != d and low < high) else low + 1
-            y = x - k
-            stop = min(n, m + k, x + 24)
-            while x < stop and la[x] == lb[x - k]:
-                x += 1
-            y = x - k
-            if x == stop and x < n and y < m:
-                run = _run_length(a, b, x, y)
-                x, y = x + run, y + run
-            reach[mid + k] = x
-            if x >= n and y >= m:
-                return _walk_back(layers, n, m, d)
-    return None
-
-
-def _walk_back(layers: list[array], x: int, y: int, edits: int) -> list[tuple[str, int]]:
-    script = []
-    for d in range(edits, 0, -1):
-        before, k = layers[d], x - y
-        low, high = before[k + d], before[k + d + 2]
-        down = k == -d or (k != d and low < high)
-        px = high if down else low
-        py = px - (k + 1 if down else k - 1)
-        while x > px and y > py:
-            x, y = x - 1, y - 1
-            script.append(("equal", x))
-        if down:
-            y -= 1
-            script.append(("insert", y))
-        else:
-            x -= 1
-            script.append(("delete", x))
-    while x > 0 and y > 0:
-        x, y = x - 1, y - 1
-        script.append(("equal", x))
-    return script[::-1]
-
-
-def _prefix_lcs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Common subsequence lengths of ``a`` with every prefix of ``b``, one row at a time."""
-    row = np.zeros(len(b) + 1, dtype=np.int32)
-    for word in a:
-        hit = np.where(b == word, row[:-1] + 1, 0)
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], hit))
-    return row
-
-
-def _split_script(a: np.ndarray, b: np.ndarray) -> list[tuple[str, int]]:
-    """Minimal script in linear memory: halve ``a``, find the best cut of ``b``, go on in both."""
-    script: list[tuple[str, int]] = []
+def _flags(vector: int, n: int) -> np.ndarray:
+    raw = vector.to_bytes((n + 7) // 8, "little")
+    return np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little", count=n).astype(bool)
+
+
+class _Rows:
+    """Longest common subsequences of the prefixes of ``a`` with all prefixes of ``b`` at once.
+
+    A row is one whole number whose bit j is 0 if the length grows with word j of ``b``. A word
+    of ``a`` changes the row with an addition and a few logic operations, so thousands of words of
+    ``b`` are dealt with in one machine operation each 64.
+    """
+
+    def __init__(self, b: list[int]):
+        self.n = len(b)
+        self.full = (1 << self.n) - 1
+        self.where: dict[int, list[int]] = {}
+        for j, w in enumerate(b):
+            self.where.setdefault(w, []).append(j)
+        self.masks: dict[int, int] = {}
+        self.room = 1 << 29  # bits of masks kept
+
+    def mask(self, word: int) -> int:
+        known = self.masks.get(word)
+        if known is None:
+            at = self.where.get(word, ())
+            if len(at) > 8:
+                bits = np.zeros(self.n, np.uint8)
+                bits[at] = 1
+                known = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            else:
+                known = sum(1 << j for j in at)
+            if self.room > 0:
+                self.room -= self.n
+                self.masks[word] = known
+        return known
+
+    def after(self, row: int, word: int) -> int:
+        hit = row & self.mask(word)
+        return ((row + hit) | (row - hit)) & self.full
+
+    def lengths(self, a: list[int]) -> np.ndarray:
+        """Length of the longest common subsequence of ``a`` with each prefix of ``b``."""
+        row = self.full
+        for w in a:
+            row = self.after(row, w)
+        return np.concatenate([[0], np.cumsum(~_flags(row, self.n))])
+
+
+TABLE_BITS = 1 << 25
+
+
+def _common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places (i, j) of a longest common subsequence, in order.
+
+    Pairs too large to keep all rows are cut in two where the lengths of both halves add up to
+    the most, which loses nothing; so memory stays linear and no length is refused.
+    """
+    found: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
-        if a0 == a1:
-            script += [("insert", j) for j in range(b0, b1)]
-        elif b0 == b1:
-            script += [("delete", i) for i in range(a0, a1)]
-        elif a1 - a0 == 1:
-            at = np.flatnonzero(b[b0:b1] == a[a0])
-            if len(at) == 0:
-                script += [("delete", a0)] + [("insert", j) for j in range(b0, b1)]
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            found.append((a0, b0))
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            found.append((a1, b1))
+        if a0 == a1 or b0 == b1:
+            continue
+        if a1 - a0 > 1 and (a1 - a0) * (b1 - b0) > TABLE_BITS:
+            cut = (a0 + a1) // 2
+            fore = _Rows(b[b0:b1]).lengths(a[a0:cut])
+            back = _Rows(b[b0:b1][::-1]).lengths(a[cut:a1][::-1])[::-1]
+            split = b0 + int(np.argmax(fore + back))
+            todo += [(a0, cut, b0, split), (cut, a1, split, b1)]
+            continue
+        rows = _Rows(b[b0:b1])
+        table = [rows.full]
+        for w in a[a0:a1]:
+            table.append(rows.after(table[-1], w))
+        i, j = a1 - a0, b1 - b0
+        while i and j:
+            if table[i] >> (j - 1) & 1:
+                j -= 1
+            elif table[i - 1] >> (j - 1) & 1:
+                i, j = i - 1, j - 1
+                found.append((a0 + i, b0 + j))
             else:
-                cut = b0 + int(at[0])
-                script += [("insert", j) for j in range(b0, cut)] + [("equal", a0)]
-                script += [("insert", j) for j in range(cut + 1, b1)]
-        else:
-            mid = (a0 + a1) // 2
-            fore = _prefix_lcs(a[a0:mid], b[b0:b1])
-            back = _prefix_lcs(a[mid:a1][::-1], b[b0:b1][::-1])[::-1]
-            cut = b0 + int(np.argmax(fore + back))
-            todo += [(mid, a1, cut, b1), (a0, mid, b0, cut)]
-    return script
-
-
-def _middle(old: list[str], new: list[str]) -> list[tuple[str, str]] | None:
-    """(op, word) of the differing middle, inserts before deletes inside one change."""
-    ids: dict[str, int] = {}
-    a = np.array([ids.setdefault(w, len(ids)) for w in old], dtype=np.int32)
-    b = np.array([ids.setdefault(w, len(ids)) for w in new], dtype=np.int32)
-    size = len(a) + len(b)
-    script = _snake_script(a, b, min(MAX_EDITS, size, MAX_WORK // max(1, size)))
-    if script is None:
-        if len(a) * len(b) > MAX_CELLS:
-            return None
-        script = _split_script(a, b)
-    out, ins, dele = [], [], []
-    for op, i in [*script, ("end", 0)]:
-        if op == "insert":
-            ins.append((op, new[i]))
-        elif op == "delete":
-            dele.append((op, old[i]))
-        else:
-            out += ins + dele
-            ins, dele = [], []
-            if op == "equal":
-                out.append((op, old[i]))
+                i -= 1
+    return sorted(found)
+
+
+def _middle(old: list[str], new: list[str]) -> list[tuple[str, str]]:
+    """(op, word) of the differing middle, inserts before deletes inside one change.
+
+    Words that only one side has cannot be equal to anything, so only the others are matched.
+    """
+    shared = {w: n for n, w in enumerate(set(old) & set(new))}
+    left = [i for i, w in enumerate(old) if w in shared]
+    right = [j for j, w in enumerate(new) if w in shared]
+    common = _common([shared[old[i]] for i in left], [shared[new[j]] for j in right])
+    out: list[tuple[str, str]] = []
+    i = j = 0
+    for x, y in [*((left[x], right[y]) for x, y in common), (len(old), len(new))]:
+        out += [("insert", w) for w in new[j:y]] + [("delete", w) for w in old[i:x]]
+        if x < len(old):
+            out.append(("equal", old[x]))
+        i, j = x + 1, y + 1
     return out
 
 
@@ -180,14 +164,13 @@ def diff_pairs(pairs: DataFrame) -> DataFrame:
 
     Shared head and tail are cut off in the JVM; only the differing middle needs a script. Rows
     are spread evenly before the kernel, as a long middle costs far more than a short one.
-    Beyond the bounds a pair gets one run of inserts and one of deletes, as defined.
+    The script is minimal at any length.
     """
     t = trimmed(pairs)
-    too_long = (F.size("_o") > MAX_WORDS) | (F.size("_n") > MAX_WORDS)
     # words hold no blanks, so word lists travel to Python and back as plain strings; there is no
     # filter on them, since a pushed-down filter would compute all of the trimming once more
     flat = [F.array_join(c, " ").alias(c) for c in ("head", "mid_old", "mid_new", "tail")]
-    rows = keep_parallel(t.select("pair_id", *flat, too_long.alias("too_long")), "pair_id")
+    rows = keep_parallel(t.select("pair_id", *flat), "pair_id")
 
     def listed_words(text: str) -> list[str]:
         return text.split(" ") if text else []
@@ -195,11 +178,8 @@ def diff_pairs(pairs: DataFrame) -> DataFrame:
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ops, texts = [], []
-            for a, b, coarse in zip(pdf["mid_old"], pdf["mid_new"], pdf["too_long"]):
-                old, new = listed_words(a), listed_words(b)
-                mid = None if coarse else _middle(old, new)
-                if mid is None:
-                    mid = [("insert", w) for w in new] + [("delete", w) for w in old]
+            for a, b in zip(pdf["mid_old"], pdf["mid_new"], strict=True):
+                mid = _middle(listed_words(a), listed_words(b))
                 ops.append("".join(op[0] for op, _ in mid))
                 texts.append(" ".join(w for _, w in mid))
             yield pdf[["pair_id", "head", "tail"]].assign(ops=ops, mid=texts)

@@ -106,14 +106,25 @@ def test_diff_is_minimal_and_rebuilds_both_sides(spark):
         assert sum(c.op == "equal" for c in ch) == lcs(old.split(), new.split())
 
 
-def test_diff_split_script_is_minimal():
-    import numpy as np
-
+@pytest.mark.parametrize("bits", [1, 40, 1 << 25])
+def test_diff_is_minimal_however_it_is_cut(monkeypatch, bits):
+    monkeypatch.setattr(C, "TABLE_BITS", bits)
     rng = random.Random(5)
-    for _ in range(60):
-        a, b = ([rng.randint(0, 3) for _ in range(rng.randint(0, 20))] for _ in "ab")
-        script = C._split_script(np.array(a, dtype="int32"), np.array(b, dtype="int32"))
-        assert sum(op == "equal" for op, _ in script) == lcs(a, b)
+    for _ in range(150):
+        a, b = ([rng.randint(0, 5) for _ in range(rng.randint(0, 30))] for _ in "ab")
+        common = C._common(a, b)
+        assert all(a[i] == b[j] for i, j in common) and len(common) == lcs(a, b)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(common, common[1:]))
+
+
+def test_diff_has_no_bounds():
+    rng = random.Random(6)
+    old = [f"w{rng.randrange(3000)}" for _ in range(20_000)]
+    new = [w for w in old if rng.random() < 0.5]
+    script = C._middle(old, new)
+    assert [w for op, w in script if op == "equal"] == new
+    other = [f"x{i}" for i in range(300_000)]
+    assert len(C._middle(old, other)) == 320_000
 
 
 def test_split_by_size(spark):
