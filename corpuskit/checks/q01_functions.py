@@ -92,7 +92,7 @@ def _(t):
 @register(
     "find_paths",
     r"""WITH a AS (SELECT page_id, replace(url, 'http://', '/home/') || ', C:\data\' || page_id || '.txt;' AS s FROM pages),
-    b AS (SELECT page_id, list_transform(regexp_extract_all(s, '(?:[A-Za-z]:[\\/][^\s"''<>)]{1,200}|/(?:Users|home)/[^\s"''<>)]{1,200})'),
+    b AS (SELECT page_id, list_transform(regexp_extract_all(s, '(?:[A-Za-z]:[\\/][^\s"''<>)]+|/(?:Users|home)/[^\s"''<>)]+)'),
       lambda p: regexp_replace(p, '[.,;]+$', '')) AS p FROM a)
     SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(p, lambda x: NOT starts_with(x, 's:')))), ' ') AS paths FROM b""",
 )

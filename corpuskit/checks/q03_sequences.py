@@ -196,14 +196,16 @@ def _(t):
 
 @register(
     "reorder_pages",
-    W + "SELECT doc_id, page_key, CASE WHEN doc_id % 5 = 0 THEN pos ELSE n - 1 - pos END AS pos, doc_id % 5 <> 0 AS applied FROM dp",
+    W + "SELECT doc_id, page_key, CASE WHEN doc_id % 5 = 0 OR n = 4 THEN pos ELSE n - 1 - pos END AS pos, doc_id % 5 <> 0 AND n <> 4 AS applied FROM dp",
 )
 def _(t):
+    """Orders of every fifth document name unknown pages; those of four pages say 0, 0, 3, 3."""
     k = keys(t)
+    twice = F.when(F.col("pos") < 2, 0).otherwise(3)
     order = k.join(SQ.page_counts(k), "doc_id").select(
         "doc_id", "page_key",
-        F.when(F.col("doc_id") % 5 == 0, F.lit(0)).otherwise(F.col("n") - 1 - F.col("pos")).alias("new_pos"),
-    ).filter("doc_id % 5 <> 0 OR length(page_key) % 2 = 0 OR true")
+        F.when(F.col("doc_id") % 5 == 0, F.lit(0)).when(F.col("n") == 4, twice).otherwise(F.col("n") - 1 - F.col("pos")).alias("new_pos"),
+    )
     order = order.withColumn("page_key", F.when(F.col("doc_id") % 5 == 0, "gone").otherwise(F.col("page_key")))
     return SQ.reorder_pages(k, order).select("doc_id", "page_key", "pos", "applied")
 
@@ -570,17 +572,19 @@ def _(t):
 
 @register(
     "free_names",
-    """WITH w AS (SELECT c_custkey AS pos, c_nationkey AS folder, lower(c_mktsegment) || '.pdf' AS name, lower(c_mktsegment) AS st FROM customer),
+    """WITH w AS (SELECT c_custkey AS pos, c_nationkey AS folder, st || '.pdf' AS name, st FROM (SELECT *, CASE WHEN c_custkey % 11 = 0 THEN 'building (2)' ELSE lower(c_mktsegment) END AS st FROM customer)),
     e AS (SELECT DISTINCT s_nationkey AS folder, s_suppkey % 4 AS n FROM supplier),
     k AS (SELECT *, row_number() OVER (PARTITION BY folder, st ORDER BY pos) AS k FROM w),
     f AS (SELECT folder, st, list_filter(range(0, 2000), lambda i: NOT list_contains(coalesce(ns, []), i)) AS free FROM
-      (SELECT folder, st, (SELECT list(n) FROM e WHERE e.folder = g.folder AND g.st = 'machinery') AS ns FROM (SELECT DISTINCT folder, st FROM w) g))
+      (SELECT folder, st, CASE WHEN g.st = 'building' THEN (SELECT list(2) FROM w WHERE w.folder = g.folder AND w.st = 'building (2)') ELSE (SELECT list(n) FROM e WHERE e.folder = g.folder AND g.st = 'machinery') END AS ns FROM (SELECT DISTINCT folder, st FROM w) g))
     SELECT pos, CASE WHEN free[k] = 0 THEN name ELSE st || ' (' || free[k] || ').pdf' END AS free_name FROM k JOIN f USING (folder, st)""",
 )
 def _(t):
     wanted = t.customer.select(
         F.col("c_custkey").alias("pos"), F.col("c_nationkey").alias("folder"),
-        F.concat(F.lower("c_mktsegment"), F.lit(".pdf")).alias("name"),
+        F.when(F.col("c_custkey") % 11 == 0, "building (2).pdf").otherwise(
+            F.concat(F.lower("c_mktsegment"), F.lit(".pdf"))
+        ).alias("name"),
     )
     n = F.col("s_suppkey") % 4
     have = t.supplier.select(

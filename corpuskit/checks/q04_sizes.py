@@ -287,12 +287,18 @@ def _(t):
     return Z.workspace_capacity(f, 8, 1_500_000).select("workspace", "pos", "ok", "over_soft")
 
 
-@register("band_columns")
+@register(
+    "band_columns",
+    """WITH RECURSIVE o AS (SELECT o_custkey, least(200.0, greatest(32.0, o_totalprice / 2000)) AS w, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+    r AS (SELECT o_custkey, i, w, 1 AS k, 0 AS band FROM o WHERE i = 1
+      UNION ALL SELECT o.o_custkey, o.i, CASE WHEN k >= 5 OR r.w + o.w > 460.0 THEN o.w ELSE r.w + o.w END, CASE WHEN k >= 5 OR r.w + o.w > 460.0 THEN 1 ELSE k + 1 END, band + (k >= 5 OR r.w + o.w > 460.0)::INT FROM r JOIN o ON o.o_custkey = r.o_custkey AND o.i = r.i + 1)
+    SELECT o_custkey, array_to_string(list(band ORDER BY i), ',') AS bands FROM r GROUP BY o_custkey""",
+)
 def _(t):
     """Column widths of a sheet per customer: the order prices, in order of their key."""
     w = F.least(F.lit(200.0), F.greatest(F.lit(32.0), F.col("o_totalprice") / 2000))
     sheets = t.orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", w.alias("w")))).alias("c"))
-    return sheets.select("o_custkey", F.array_join(Z.band_columns(F.transform("c", lambda x: x["w"])).cast("array<string>"), ",").alias("bands"))
+    return sheets.select("o_custkey", F.array_join(Z.band_columns(F.transform("c", lambda x: x["w"]), 5, 460.0).cast("array<string>"), ",").alias("bands"))
 
 
 # --- statistics -----------------------------------------------------------------------------
@@ -354,7 +360,7 @@ def _(t):
         (F.col("l_quantity") / 200).alias("width"), (F.col("l_quantity") / 100).alias("height"),
         (F.col("l_extendedprice") / 100000).alias("score"),
     )
-    return ST.suppress_overlaps(r).select("doc_id", "page_no", "region_no")
+    return ST.suppress_overlaps(r, limit=None).select("doc_id", "page_no", "region_no")
 
 
 # --- comparison -----------------------------------------------------------------------------

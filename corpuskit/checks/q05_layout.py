@@ -203,17 +203,25 @@ def _(t):
     )
 
 
-@register(
-    "grid_cleanup",
-    """WITH c AS (SELECT l_returnflag AS doc_id, l_suppkey AS sheet_no, l_orderkey AS row_no, l_partkey % 40 AS col_no, repeat(l_linestatus, CAST(l_quantity * 15 AS INT)) AS value FROM lineitem),
+_GRID = """WITH c AS (SELECT l_returnflag AS doc_id, l_suppkey AS sheet_no, l_orderkey AS row_no, l_partkey % 40 AS col_no, repeat(l_linestatus, CAST(l_quantity * 15 AS INT)) AS value FROM lineitem),
     s AS (SELECT * FROM c WHERE sheet_no % 7 <> 3 AND row_no % 10 <> 4 AND col_no <> 2),
-    r AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY sheet_no) AS a, dense_rank() OVER (PARTITION BY doc_id, sheet_no ORDER BY row_no) AS b, dense_rank() OVER (PARTITION BY doc_id, sheet_no ORDER BY col_no) AS d FROM s)
-    SELECT doc_id, sheet_no, row_no, col_no, CASE WHEN length(value) <= 500 THEN value ELSE substr(value, 1, 499) || '…' END AS value FROM r WHERE a <= 50 AND b <= 1000 AND d <= 32""",
-)
+    r AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY sheet_no) AS a, dense_rank() OVER (PARTITION BY doc_id, sheet_no ORDER BY row_no) AS b, dense_rank() OVER (PARTITION BY doc_id, sheet_no ORDER BY col_no) AS d FROM s)"""
+CAPS = {"sheets": 40, "rows": 300, "columns": 32, "chars": 500}
+
+
+@register("grid_cleanup", f"{_GRID} SELECT doc_id, sheet_no, row_no, col_no, value FROM s")
 def _(t):
     return L.grid_cleanup(*grid(t))[0]
 
 
+@register(
+    "grid_cleanup_capped",
+    f"{_GRID} SELECT doc_id, sheet_no, row_no, col_no, CASE WHEN length(value) <= 500 THEN value ELSE substr(value, 1, 499) || '…' END AS value FROM r WHERE a <= 40 AND b <= 300 AND d <= 32",
+)
+def _(t):
+    return L.grid_cleanup(*grid(t), **CAPS)[0]
+
+
 def grid(t):
     c = t.lineitem.select(
         F.col("l_returnflag").alias("doc_id"), F.col("l_suppkey").alias("sheet_no"), F.col("l_orderkey").alias("row_no"),
@@ -225,30 +233,51 @@ def grid(t):
     return c, hidden.unionByName(c.filter("col_no = 2").select("doc_id", F.lit("column").alias("kind"), "sheet_no", F.col("col_no").alias("at")))
 
 
-@register("grid_cleanup_notes", """WITH c AS (SELECT DISTINCT l_returnflag AS doc_id, l_suppkey AS s, l_orderkey AS r, l_partkey % 40 AS k FROM lineitem)
-    SELECT doc_id, 'hidden sheets' AS kind, count(DISTINCT s) AS n FROM c WHERE s % 7 = 3 GROUP BY ALL UNION ALL SELECT doc_id, 'hidden rows', count(DISTINCT (s, r)) FROM c WHERE r % 10 = 4 GROUP BY ALL
-    UNION ALL SELECT doc_id, 'hidden columns', count(DISTINCT s) FROM c WHERE k = 2 GROUP BY ALL""")
-def _(t):
-    return L.grid_cleanup(*grid(t))[1].filter(F.col("kind").startswith("hidden"))
-
-
 @register(
-    "workbook_plan",
-    """WITH c AS (SELECT l_suppkey AS doc_id, l_linenumber::BIGINT AS page_no, l_partkey % 3 AS table_no, l_orderkey % 50 AS row_no, l_partkey % 40 AS col_no FROM lineitem WHERE l_suppkey % 4 <> 1 OR l_partkey % 3 = 0),
-    t AS (SELECT doc_id, page_no, table_no, max(row_no) FILTER (col_no < 32) + 1 AS row_count, max(col_no) FILTER (col_no < 32) + 1 AS column_count FROM c GROUP BY ALL HAVING min(col_no) < 32),
-    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY table_no) AS k, count(*) OVER (PARTITION BY doc_id, page_no) AS n FROM t)
-    SELECT doc_id, page_no, 'table' AS kind, 'Page ' || (page_no + 1) || ' Table' || CASE WHEN n > 1 THEN ' ' || k ELSE '' END AS sheet_name, row_count, column_count FROM k
-    UNION ALL SELECT l_suppkey, l_linenumber, 'text', 'Page ' || (l_linenumber + 1) || ' Text', count(*), 1 FROM lineitem GROUP BY l_suppkey, l_linenumber""",
+    "grid_cleanup_notes",
+    f"""{_GRID}, h AS (SELECT DISTINCT doc_id, sheet_no AS s, row_no AS r, col_no AS k FROM c)
+    SELECT doc_id, 'hidden sheets' AS kind, count(DISTINCT s) AS n FROM h WHERE s % 7 = 3 GROUP BY ALL UNION ALL SELECT doc_id, 'hidden rows', count(DISTINCT (s, r)) FROM h WHERE r % 10 = 4 GROUP BY ALL
+    UNION ALL SELECT doc_id, 'hidden columns', count(DISTINCT s) FROM h WHERE k = 2 GROUP BY ALL
+    UNION ALL SELECT doc_id, 'sheets over the cap', count(DISTINCT sheet_no) FROM r WHERE a > 40 GROUP BY ALL UNION ALL SELECT doc_id, 'rows over the cap', count(DISTINCT (sheet_no, row_no)) FROM r WHERE b > 300 GROUP BY ALL
+    UNION ALL SELECT doc_id, 'columns over the cap', count(DISTINCT (sheet_no, col_no)) FROM r WHERE d > 32 GROUP BY ALL
+    UNION ALL SELECT doc_id, 'shortened cells', count(*) FROM r WHERE a <= 40 AND b <= 300 AND d <= 32 AND length(value) > 500 GROUP BY ALL""",
 )
 def _(t):
-    c = t.lineitem.filter("l_suppkey % 4 <> 1 OR l_partkey % 3 = 0").select(
+    return L.grid_cleanup(*grid(t), **CAPS)[1]
+
+
+_BOOK = """WITH c AS (SELECT l_suppkey AS doc_id, l_linenumber::BIGINT AS page_no, l_partkey % 3 AS table_no, l_orderkey % 50 AS row_no, l_partkey % 40 AS col_no, l_returnflag AS value FROM lineitem)"""
+
+
+def book(t):
+    cells = t.lineitem.select(
         F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").cast("bigint").alias("page_no"), (F.col("l_partkey") % 3).alias("table_no"),
         (F.col("l_orderkey") % 50).alias("row_no"), (F.col("l_partkey") % 40).alias("col_no"), F.col("l_returnflag").alias("value"),
     )
-    lines = t.lineitem.select(
+    return cells, t.lineitem.select(
         F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").cast("bigint").alias("page_no"), F.col("l_orderkey").alias("line_no"), F.col("l_linestatus").alias("text")
     )
-    return L.workbook_plan(c, lines, True)[0].drop("preview")
+
+
+@register(
+    "workbook_plan",
+    f"""{_BOOK}, t AS (SELECT doc_id, page_no, table_no, max(row_no) + 1 AS row_count, max(col_no) + 1 AS column_count, array_to_string(list(value ORDER BY col_no, value) FILTER (row_no = 0), ' | ') AS head FROM c GROUP BY ALL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY table_no) AS k, count(*) OVER (PARTITION BY doc_id, page_no) AS n FROM t)
+    SELECT doc_id, page_no, 'table' AS kind, 'Page ' || (page_no + 1) || ' Table' || CASE WHEN n > 1 THEN ' ' || k ELSE '' END AS sheet_name, row_count, column_count,
+      CASE WHEN length(coalesce(head, '')) <= 160 THEN coalesce(head, '') ELSE substr(head, 1, 159) || '…' END AS preview FROM k
+    UNION ALL SELECT l_suppkey, l_linenumber, 'text', 'Page ' || (l_linenumber + 1) || ' Text', count(*), 1, arg_min(l_linestatus, l_orderkey) FROM lineitem GROUP BY l_suppkey, l_linenumber""",
+)
+def _(t):
+    return L.workbook_plan(*book(t), True)[0]
+
+
+@register(
+    "workbook_notes",
+    f"""{_BOOK} SELECT doc_id, 'column-capped tables' AS kind, count(*) AS n FROM (SELECT doc_id, page_no, table_no FROM c GROUP BY ALL HAVING max(col_no) >= 32) GROUP BY doc_id
+    UNION ALL SELECT l_suppkey, 'page text left out: page ' || (l_linenumber + 1), count(*) FROM lineitem GROUP BY l_suppkey, l_linenumber""",
+)
+def _(t):
+    return L.workbook_plan(*book(t), False, columns=32, chars=32_767)[1]
 
 
 @register(

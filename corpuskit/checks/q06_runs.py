@@ -231,7 +231,7 @@ def edit_log(t):
 @register("replay")
 def _(t):
     """Checked against a plain loop, and against its stream, in the tests."""
-    return E.replay(edit_log(t), "user_id")
+    return E.replay(edit_log(t), "user_id", None)
 
 
 # --- streams over the same tables -------------------------------------------------------------

@@ -47,9 +47,9 @@ FORMULA_SYNTAX = (
 
 # Fixed value: shapes of local file paths.
 PATH_PATTERN = (
-    r"(?:(?<![A-Za-z])[A-Za-z]:[\\/][^" + SPACE_CHARS + r""""'<>)]{1,200}"""
-    r"|\\\\[A-Za-z0-9._-]+\\[^" + SPACE_CHARS + r""""'<>)]{1,200}"""
-    r"|/(?:Users|home)/[^" + SPACE_CHARS + r""""'<>)]{1,200})"""
+    r"(?:(?<![A-Za-z])[A-Za-z]:[\\/][^" + SPACE_CHARS + r""""'<>)]+"""
+    r"|\\\\[A-Za-z0-9._-]+\\[^" + SPACE_CHARS + r""""'<>)]+"""
+    r"|/(?:Users|home)/[^" + SPACE_CHARS + r""""'<>)]+)"""
 )
 
 TOKEN = r"[\p{L}\p{N}]+"

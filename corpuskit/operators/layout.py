@@ -482,15 +482,15 @@ def signature_lines(rules: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-MAX_SHEETS, MAX_ROWS, MAX_COLUMNS, MAX_CELL = 50, 1000, 32, 500
-MAX_SHEET_CELL = 32_767
-
-
-def grid_cleanup(cells: DataFrame, hidden: DataFrame) -> tuple[DataFrame, DataFrame]:
+def grid_cleanup(
+    cells: DataFrame, hidden: DataFrame, sheets: int | None = None, rows: int | None = None,
+    columns: int | None = None, chars: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Spreadsheet import rules on a cell table, and a note with a count for all that is dropped.
 
     ``cells``: doc_id, sheet_no, row_no, col_no, value; ``hidden``: doc_id, kind (sheet, row,
-    column), sheet_no, at. The caps are part of the rules.
+    column), sheet_no, at. The first ``sheets``, ``rows``, ``columns`` that are shown and the first
+    ``chars`` of a cell stay, where a number is given.
     """
     def marks(kind, *on):
         return hidden.filter(F.col("kind") == kind).select(*on).distinct()
@@ -506,38 +506,45 @@ def grid_cleanup(cells: DataFrame, hidden: DataFrame) -> tuple[DataFrame, DataFr
         distinct = shown.select(*keys, of).distinct()
         return number_rows(distinct, keys, of, out=out)
 
-    s = ranked(["doc_id"], "sheet_no", "_s")
-    r = ranked(["doc_id", "sheet_no"], "row_no", "_r")
-    c = ranked(["doc_id", "sheet_no"], "col_no", "_c")
-    kept = (
-        shown.join(s.filter(F.col("_s") <= MAX_SHEETS), ["doc_id", "sheet_no"])
-        .join(r.filter(F.col("_r") <= MAX_ROWS), ["doc_id", "sheet_no", "row_no"])
-        .join(c.filter(F.col("_c") <= MAX_COLUMNS), ["doc_id", "sheet_no", "col_no"])
-        .select(*cells.columns)
-    )
-    long = F.length("value") > MAX_CELL
-    out = kept.withColumn("value", F.coalesce(elide(F.col("value"), MAX_CELL), F.lit("")))
+    kept, over = shown, []
+    for keys, of, most, kind in (
+        (["doc_id"], "sheet_no", sheets, "sheets over the cap"),
+        (["doc_id", "sheet_no"], "row_no", rows, "rows over the cap"),
+        (["doc_id", "sheet_no"], "col_no", columns, "columns over the cap"),
+    ):
+        if most is not None:
+            r = ranked(keys, of, "_r")
+            kept = kept.join(r.filter(F.col("_r") <= most).drop("_r"), [*keys, of])
+            over.append((r.filter(F.col("_r") > most), kind))
+    kept = kept.select(*cells.columns)
+    shortened = F.col("value") if chars is None else elide(F.col("value"), chars)
+    out = kept.withColumn("value", F.coalesce(shortened, F.lit("")))
+    if chars is not None:
+        over.append((kept.filter(F.length("value") > chars), "shortened cells"))
 
     def note(df, kind):
         return df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select("doc_id", F.lit(kind).alias("kind"), "n")
 
     notes = note(sheet, "hidden sheets")
-    for df, kind in (
-        (row, "hidden rows"), (col, "hidden columns"),
-        (s.filter(F.col("_s") > MAX_SHEETS), "sheets over the cap"), (r.filter(F.col("_r") > MAX_ROWS), "rows over the cap"),
-        (c.filter(F.col("_c") > MAX_COLUMNS), "columns over the cap"), (kept.filter(long), "shortened cells"),
-    ):
+    for df, kind in ((row, "hidden rows"), (col, "hidden columns"), *over):
         notes = notes.unionByName(note(df, kind))
     return out, notes
 
 
-def workbook_plan(cells: DataFrame, text_lines: DataFrame, include_text: bool) -> tuple[DataFrame, DataFrame]:
+def workbook_plan(
+    cells: DataFrame, text_lines: DataFrame, include_text: bool, columns: int | None = None, chars: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Sheets of a workbook per document: one per table, one per page text; and the notes.
 
     ``cells``: doc_id, page_no, table_no, row_no, col_no, value; ``text_lines``: doc_id, page_no,
-    line_no, text (lines outside tables).
+    line_no, text (lines outside tables). Where the target format has limits, ``columns`` and
+    ``chars`` of a cell say so; what goes over them is left out with a note.
     """
-    capped = cells.withColumn("value", F.substring("value", 1, MAX_SHEET_CELL)).filter(F.col("col_no") < MAX_COLUMNS)
+    capped = cells
+    if chars is not None:
+        capped = capped.withColumn("value", F.substring("value", 1, chars))
+    if columns is not None:
+        capped = capped.filter(F.col("col_no") < columns)
     first = F.when(F.col("row_no") == 0, F.struct("col_no", "value"))
     per = capped.groupBy(*PAGE, "table_no").agg(
         (F.max("row_no") + 1).alias("row_count"), (F.max("col_no") + 1).alias("column_count"),
@@ -557,8 +564,10 @@ def workbook_plan(cells: DataFrame, text_lines: DataFrame, include_text: bool) -
         *PAGE, F.lit("text").alias("kind"), F.concat(F.lit("Page "), human, F.lit(" Text")).alias("sheet_name"),
         "row_count", F.lit(1).cast("bigint").alias("column_count"), elide(F.col("_first")).alias("preview"),
     )
-    cut = cells.groupBy("doc_id").agg(F.count_if(F.length("value") > MAX_SHEET_CELL).alias("n")).filter("n > 0")
-    wide = cells.groupBy(*PAGE, "table_no").agg(F.max("col_no").alias("_c")).filter(F.col("_c") >= MAX_COLUMNS)
+    too_long = F.lit(False) if chars is None else F.length("value") > chars
+    too_wide = F.lit(False) if columns is None else F.col("_c") >= columns
+    cut = cells.groupBy("doc_id").agg(F.count_if(too_long).alias("n")).filter("n > 0")
+    wide = cells.groupBy(*PAGE, "table_no").agg(F.max("col_no").alias("_c")).filter(too_wide)
     notes = cut.select("doc_id", F.lit("truncated cells").alias("kind"), "n").unionByName(
         wide.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select("doc_id", F.lit("column-capped tables").alias("kind"), "n")
     )

@@ -21,8 +21,9 @@ def running_sums(
     sums: dict[str, Column],
     block: int = BLOCK,
     totals: dict[str, str] | None = None,
+    tie: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Add inclusive running sums in ``pos`` order per key.
+    """Add inclusive running sums in ``pos`` order per key; ``tie`` orders rows of one position.
 
     ``totals`` maps an output column to the sum whose whole-key total it should hold.
     """
@@ -30,7 +31,7 @@ def running_sums(
     blk = F.floor(F.col(pos) / block)
     base = df.withColumns({**{f"_v_{n}": e for n, e in sums.items()}, "_blk": blk})
     part = [*keys, "_blk"]
-    inside = Window.partitionBy(*part).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*part).orderBy(pos, *tie).rowsBetween(Window.unboundedPreceding, 0)
     local = base.withColumns({n: F.sum(f"_v_{n}").over(inside) for n in sums})
     per_block = base.groupBy(*part).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums])
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
@@ -86,15 +87,19 @@ def number_rows(
 
 
 def previous_values(
-    df: DataFrame, keys: list[str], pos: str, values: dict[str, str], block: int = BLOCK
+    df: DataFrame, keys: list[str], pos: str, values: dict[str, str], block: int = BLOCK,
+    tie: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Add the value of the row before (``out`` → source column), across block edges."""
+    """Add the value of the row before (``out`` → source column), across block edges.
+
+    ``tie`` orders rows of one position.
+    """
     base = df.withColumn("_blk", F.floor(F.col(pos) / block))
     part = [*keys, "_blk"]
-    w = Window.partitionBy(*part).orderBy(pos)
+    w = Window.partitionBy(*part).orderBy(pos, *tie)
     packed = F.struct(*[F.col(c).alias(f"_p_{c}") for c in dict.fromkeys(values.values())])
     local = base.withColumn("_prev", F.lag(packed).over(w))
-    last = base.groupBy(*part).agg(F.max_by(packed, pos).alias("_last"))
+    last = base.groupBy(*part).agg(F.max_by(packed, F.struct(pos, *tie)).alias("_last"))
     kw = Window.partitionBy(*keys).orderBy("_blk")
     carry = last.select(*part, F.lag("_last").over(kw).alias("_carry")).filter(
         F.col("_carry").isNotNull()

@@ -66,7 +66,7 @@ def search(postings: DataFrame, query: str, limit: int | None = None) -> DataFra
     out = best.select(*keys, "snippet", score.cast("bigint").alias("score")).orderBy(
         F.desc("score"), *keys
     )
-    return out.limit(limit) if limit else out
+    return out if limit is None else out.limit(limit)
 
 
 def attach_doc_meta(hits: DataFrame, meta: DataFrame) -> DataFrame:

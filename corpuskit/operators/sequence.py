@@ -104,22 +104,25 @@ def compose_split(files: DataFrame, title: str = "title") -> DataFrame:
 def reorder_pages(pages: DataFrame, order: DataFrame) -> DataFrame:
     """Apply an order table (doc_id, page_key, new_pos) where it is an exact permutation.
 
-    A document whose order misses, repeats or invents a page keeps its order; ``applied`` says.
+    A document whose order misses, repeats or invents a page, or a position, keeps its order;
+    ``applied`` says.
     """
     j = pages.select("doc_id", "page_key").join(
         order.withColumn("_o", F.lit(1)), ["doc_id", "page_key"], "full"
     )
     have = pages.select("doc_id", "page_key", F.lit(1).alias("_h"))
     j = j.join(have, ["doc_id", "page_key"], "left")
+    n = F.count(F.lit(1))
     ok = j.groupBy("doc_id").agg(
         (
             (F.count_if(F.col("_o").isNull()) == 0)
             & (F.count_if(F.col("_h").isNull()) == 0)
-            & (F.count(F.lit(1)) == F.max("new_pos") + 1)
-            & (F.sum("new_pos") == F.max("new_pos") * (F.max("new_pos") + 1) / 2)
+            & (F.min("new_pos") == 0) & (F.max("new_pos") == n - 1)
+            & (F.count_distinct("new_pos") == n) & (F.count_distinct("page_key") == n)
         ).alias("applied")
     )
-    joined = pages.join(order, ["doc_id", "page_key"], "left").join(ok, "doc_id", "left")
+    one = order.groupBy("doc_id", "page_key").agg(F.min("new_pos").alias("new_pos"))
+    joined = pages.join(one, ["doc_id", "page_key"], "left").join(ok, "doc_id", "left")
     applied = F.coalesce(F.col("applied"), F.lit(False))
     return joined.select(
         *[c for c in pages.columns if c != "pos"],

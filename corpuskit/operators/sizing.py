@@ -387,7 +387,7 @@ def page_batches(pages: DataFrame, uses: DataFrame, per_batch: int = 8) -> tuple
     return batched, first
 
 
-def workspace_capacity(files: DataFrame, max_count: int = 20, soft_bytes: int = 1_610_612_736) -> DataFrame:
+def workspace_capacity(files: DataFrame, max_count: int, soft_bytes: int) -> DataFrame:
     """Per workspace in order: may this file still open, and is the soft byte limit passed?"""
     run = running_sums(files, ["workspace"], "pos", {"open_count": F.lit(1).cast("bigint"), "open_bytes": F.col("bytes")})
     return run.withColumns({
@@ -396,7 +396,7 @@ def workspace_capacity(files: DataFrame, max_count: int = 20, soft_bytes: int =
     })
 
 
-def band_columns(widths: Column, max_columns: int = 12, max_width: float = 460.0) -> Column:
+def band_columns(widths: Column, max_columns: int, max_width: float) -> Column:
     """Band number of each column: a new band when the next one would not fit."""
 
     def step(acc: Column, w: Column) -> Column:

@@ -68,23 +68,23 @@ def correlation(field: Column, template: Column) -> Column:
 
 
 def correlate_vectors(
-    field: DataFrame, templates: DataFrame, on: str, min_score: float = 0.75, top: int = 64
+    field: DataFrame, templates: DataFrame, on: str, min_score: float = 0.75, top: int | None = None
 ) -> DataFrame:
     """Best vectors per template. ``field``: vec_id, vec, ``on``; ``templates``: ``on``, template_id, template.
 
-    Vectors meet only the templates of their own class, by an equi-join; the best ``top`` per
-    template are found in two steps, so a template with most of the vectors is no hot spot.
+    Vectors meet only the templates of their own class, by an equi-join; with ``top``, the best of
+    each template are found in two steps, so a template with most of the vectors is no hot spot.
     """
     scored = field.join(templates, on).withColumn("score", correlation(F.col("vec"), F.col("template")))
     good = scored.filter(F.col("score") >= min_score).select("template_id", "vec_id", "score")
-    return top_per_key(good, ["template_id"], [F.desc("score"), F.col("vec_id")], top, "vec_id")
+    return good if top is None else top_per_key(good, ["template_id"], [F.desc("score"), F.col("vec_id")], top, "vec_id")
 
 
-def suppress_overlaps(regions: DataFrame, iou: float = 0.3, limit: int = 64) -> DataFrame:
+def suppress_overlaps(regions: DataFrame, iou: float = 0.3, limit: int | None = None) -> DataFrame:
     """Greedy choice per page: best score first, dropping what overlaps a chosen box.
 
     ``regions``: doc_id, page_no, region_no, x, y, width, height, score. Rows stream through in
-    (page, score) order; the state is the chosen boxes of the current page, at most ``limit``.
+    (page, score) order; the state is the chosen boxes of the current page, at most ``limit`` if given.
     """
     cols = ["doc_id", "page_no", "region_no", "x", "y", "width", "height", "score"]
     ordered = keep_parallel(regions.select(*cols), "doc_id", "page_no").sortWithinPartitions(
@@ -98,7 +98,7 @@ def suppress_overlaps(regions: DataFrame, iou: float = 0.3, limit: int = 64) ->
             for row in pdf.itertuples(index=False):
                 if (row.doc_id, row.page_no) != page:
                     page, chosen = (row.doc_id, row.page_no), []
-                free = len(chosen) < limit
+                free = limit is None or len(chosen) < limit
                 for x, y, w, h in chosen if free else ():
                     ox = min(x + w, row.x + row.width) - max(x, row.x)
                     oy = min(y + h, row.y + row.height) - max(y, row.y)

@@ -107,8 +107,9 @@ def free_names(wanted: DataFrame, existing: DataFrame, name: str = "name", pos:
     """The first of ``name.ext``, ``name (1).ext``, … not in the target folder, ignoring case.
 
     ``existing`` (folder, name) is fixed; each wanted row (folder, name, pos) also takes its name.
+    A numbered name also keeps clear of every name that is wanted as such, in whatever order.
     """
-    ext = r"^(.*?)(\.[^.]*)?$"
+    ext = r"^(.+?)(\.[^.]*)?$"
 
     def parts(c):
         return F.regexp_extract(c, ext, 1), F.regexp_extract(c, ext, 2)
@@ -119,14 +120,15 @@ def free_names(wanted: DataFrame, existing: DataFrame, name: str = "name", pos:
     w = number_rows(w, grp, pos, out="_k")
     e_stem, e_tail = parts(F.lower("name"))
     taken = existing.select("folder", e_stem.alias("_es"), e_tail.alias("_tail")).distinct()
-    suffix = r"^(.*) \(([1-9][0-9]{0,8})\)$"
-    numbered = taken.select(
+    suffix = r"^(.*) \(([1-9][0-9]{0,17})\)$"
+    asked = w.select("folder", F.col("_stem").alias("_es"), "_tail")
+    numbered = taken.unionByName(asked).distinct().select(
         "folder", F.regexp_extract("_es", suffix, 1).alias("_stem"), "_tail",
         F.regexp_extract("_es", suffix, 2).try_cast("bigint").alias("_n"),
     ).filter("_n IS NOT NULL")
     plain = taken.select("folder", F.col("_es").alias("_stem"), "_tail", F.lit(0).cast("bigint").alias("_n"))
     groups = w.select(*grp).distinct()
-    closed = plain.unionByName(numbered).join(groups, grp, "left_semi")
+    closed = plain.unionByName(numbered).distinct().join(groups, grp, "left_semi")
     closed = number_rows(closed, grp, "_n", out="_i").select(
         *grp, ((F.col("_n") - F.col("_i") + 1) * 2).alias("_at"), F.lit(1).cast("bigint").alias("_one")
     )

@@ -27,14 +27,15 @@ def micros() -> Column:
 def sessions(events: DataFrame, key: str, gap_seconds: float) -> DataFrame:
     """Add ``session_no`` per key: a new one after a pause longer than the gap.
 
-    Blocks of one day keep a key with most of the events from ending in one task.
+    Blocks of one day keep a key with most of the events from ending in one task. Events of one
+    time go by event_id, in both steps.
     """
     e = events.withColumn("_us", micros())
-    p = previous_values(e, [key], "_us", {"_before": "_us"}, block=DAY)
+    tie = ("event_id",)
+    p = previous_values(e, [key], "_us", {"_before": "_us"}, DAY, tie)
     new = F.coalesce(F.col("_us") - F.col("_before") > gap_seconds * 1e6, F.lit(False))
-    return running_sums(p.withColumn("_new", new.cast("bigint")), [key], "_us", {"session_no": F.col("_new")}, block=DAY).drop(
-        "_us", "_before", "_new"
-    )
+    flagged = p.withColumn("_new", new.cast("bigint"))
+    return running_sums(flagged, [key], "_us", {"session_no": F.col("_new")}, DAY, tie=tie).drop("_us", "_before", "_new")
 
 
 def coalesce_edits(events: DataFrame, key: str, gap_seconds: float) -> DataFrame:
@@ -136,7 +137,7 @@ def expire_stream(arrivals: DataFrame, pickups: DataFrame, key: str, limit: str
     return a.join(p, on, "leftOuter").filter("p_key IS NULL").select(F.col("a_key").alias(key), "event_id", F.col("a_ts").alias("ts"))
 
 
-def bounded_history(log: DataFrame, key: str, per_key: int = 50, total: int = 400) -> DataFrame:
+def bounded_history(log: DataFrame, key: str, per_key: int, total: int) -> DataFrame:
     """The newest entries: at most ``per_key`` per document and ``total`` in all."""
     newest = [F.desc("ts"), F.desc("event_id")]
     return top_per_key(log, [key], newest, per_key, "event_id").orderBy(*newest).limit(total)
@@ -147,9 +148,6 @@ def progress(notes: DataFrame) -> DataFrame:
     return notes.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-DEPTH = 50
-
-
 def _replay_step(done: deque, undone: list, op: str, value) -> None:
     if op == "undo":
         if done:
@@ -162,18 +160,18 @@ def _replay_step(done: deque, undone: list, op: str, value) -> None:
         undone.clear()
 
 
-def replay(log: DataFrame, key: str) -> DataFrame:
+def replay(log: DataFrame, key: str, depth: int | None) -> DataFrame:
     """State per document after its do / undo / redo events (op, value) in time order.
 
-    A new edit clears what could be redone; at most 50 steps can be undone. Rows stream in order
-    through a kernel whose state is those steps.
+    A new edit clears what could be redone; at most ``depth`` steps can be undone (None: all). Rows
+    stream in order through a kernel whose state is those steps.
     """
     ordered = keep_parallel(log.select(key, "event_id", micros().alias("_us"), "op", "value"), key).sortWithinPartitions(
         key, "_us", "event_id"
     )
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, done, undone, seen = None, deque(maxlen=DEPTH), [], False
+        current, done, undone, seen = None, deque(maxlen=depth), [], False
 
         def row():
             return {key: current, "value": done[-1] if done else None, "undo_depth": len(done), "redo_depth": len(undone)}
@@ -184,7 +182,7 @@ def replay(log: DataFrame, key: str) -> DataFrame:
                 if not seen or k != current:
                     if seen:
                         out.append(row())
-                    current, done, undone, seen = k, deque(maxlen=DEPTH), [], True
+                    current, done, undone, seen = k, deque(maxlen=depth), [], True
                 _replay_step(done, undone, op, value)
             if out:
                 yield pd.DataFrame(out)
@@ -195,11 +193,11 @@ def replay(log: DataFrame, key: str) -> DataFrame:
     return ordered.mapInPandas(kernel, f"{key} {kind[key]}, value {kind['value']}, undo_depth bigint, redo_depth bigint")
 
 
-def replay_stream(log: DataFrame, key: str) -> DataFrame:
+def replay_stream(log: DataFrame, key: str, depth: int | None) -> DataFrame:
     """The streaming form: the newest state of every document that had events in a batch."""
     def step(keys, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         old = state.get if state.exists else ([], [])
-        done, undone = deque(old[0], maxlen=DEPTH), list(old[1])
+        done, undone = deque(old[0], maxlen=depth), list(old[1])
         pdf = pd.concat(list(batches)).sort_values(["us", "event_id"])
         for op, value in zip(pdf["op"], pdf["value"]):
             _replay_step(done, undone, op, float(value))

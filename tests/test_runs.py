@@ -58,11 +58,11 @@ def test_replay_and_its_stream(spark):
             done.append(v)
             undone.clear()
     want = {(d, a[-1] if a else None, len(a), len(b)) for d, (a, b) in want.items()}
-    assert {tuple(r) for r in E.replay(df, "doc_id").collect()} == want
+    assert {tuple(r) for r in E.replay(df, "doc_id", 50).collect()} == want
 
     base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     df.coalesce(1).write.parquet(f"{base}/in")
-    out = E.replay_stream(spark.readStream.schema(df.schema).parquet(f"{base}/in"), "doc_id")
+    out = E.replay_stream(spark.readStream.schema(df.schema).parquet(f"{base}/in"), "doc_id", 50)
     q = out.writeStream.outputMode("update").option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).foreachBatch(
         lambda b, n: b.write.mode("overwrite").parquet(f"{base}/out/batch_id={n}")
     ).start()
