@@ -25,10 +25,12 @@ def _(t):
 
 @register(
     "pages_without_text",
-    f"WITH {S.PAGES} SELECT doc_id, page_no FROM pg WHERE len({S.TOKENS}) = 0",
+    f"WITH {S.PAGES}, q AS (SELECT doc_id, page_no, CASE WHEN page_no % 5 = 3 THEN '-- ' ELSE text END AS text FROM pg) SELECT doc_id, page_no FROM q WHERE len({S.TOKENS}) = 0",
 )
 def _(t):
-    return PG.pages_without_text(pages_of(t)).select("doc_id", F.col("page_no").cast("bigint"))
+    """Every fifth page is a picture: its text is nothing but dashes."""
+    pages = pages_of(t).withColumn("text", F.when(F.col("page_no") % 5 == 3, "-- ").otherwise(F.col("text")))
+    return PG.pages_without_text(pages).select("doc_id", F.col("page_no").cast("bigint"))
 
 
 @register(
@@ -85,15 +87,21 @@ def _(t):
 @register(
     "verify_redaction",
     f"""WITH {S.PAGES}, {S.hits_sql('pg', 'doc_id, page_no')}, {_CUT},
-    v AS (SELECT h.doc_id, NOT EXISTS (SELECT 1 FROM outp o WHERE o.doc_id = h.doc_id AND contains(lower(o.text), lower(h.m))) AS pass FROM hits h)
-    SELECT doc_id, count(*) AS marks, count(*) FILTER (pass) AS passed, bool_and(pass) AS verified FROM v GROUP BY doc_id""",
+    seen AS (SELECT doc_id, page_no, CASE WHEN doc_id % 7 = 3 AND page_no = 1 THEN NULL ELSE lower(text) END AS low FROM outp),
+    v AS (SELECT h.doc_id, EXISTS (SELECT 1 FROM seen o WHERE o.doc_id = h.doc_id AND contains(o.low, lower(h.m))) AS lft, EXISTS (SELECT 1 FROM seen o WHERE o.doc_id = h.doc_id AND o.low IS NULL) AS dark FROM hits h)
+    SELECT doc_id, count(*) AS marks, count(*) FILTER (NOT lft AND NOT dark) AS passed, count(*) FILTER (NOT lft AND dark) AS undecided, bool_and(NOT lft AND NOT dark) AS verified FROM v GROUP BY doc_id""",
 )
 def _(t):
-    """The output is written and read back, so the check sees what was really stored."""
+    """The output is written and read back, so the check sees what was really stored.
+
+    The second page of every seventh document cannot be read.
+    """
     pages = pages_of(t).select("doc_id", "page_no", "text")
     path = f"{checkpoint_folder(t.spark)}/redacted-{t.spark.sparkContext.applicationId}"
     R.redact_patterns(pages).write.mode("overwrite").parquet(path)
-    verdicts = R.verify_redaction(t.spark.read.parquet(path), R.scan_patterns(pages))
+    dark = (F.col("doc_id") % 7 == 3) & (F.col("page_no") == 1)
+    seen = t.spark.read.parquet(path).withColumn("text", F.when(~dark, F.col("text")))
+    verdicts = R.verify_redaction(seen, R.scan_patterns(pages))
     return R.verification_summary(verdicts)
 
 

@@ -181,7 +181,7 @@ def _(t):
 
 @register(
     "compose_split",
-    W + """, f AS (SELECT doc_id, pos // 2 AS file_no, arg_min(substr(text, 1, 1), pos) AS title FROM dp GROUP BY ALL),
+    W + """, f AS (SELECT doc_id, pos // 2 AS file_no, arg_min(text, pos) AS title FROM dp GROUP BY ALL),
     g AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n_files, CASE WHEN trim(title) = '' THEN NULL ELSE trim(title) END AS tt FROM f),
     h AS (SELECT *, coalesce(tt, 'part_' || CASE WHEN file_no >= 99 THEN CAST(file_no + 1 AS VARCHAR) ELSE lpad(CAST(file_no + 1 AS VARCHAR), 2, '0') END) AS stem FROM g),
     i AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(stem) ORDER BY file_no) AS k FROM h)
@@ -189,7 +189,7 @@ def _(t):
 )
 def _(t):
     p = dp(t).withColumn("file_no", F.floor(F.col("pos") / 2))
-    files = p.groupBy("doc_id", "file_no").agg(F.min_by(F.substring("text", 1, 1), "pos").alias("title"))
+    files = p.groupBy("doc_id", "file_no").agg(F.min_by("text", "pos").alias("title"))
     n = files.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_files"))
     return SQ.compose_split(files.join(n, "doc_id")).select("doc_id", "file_no", "file_name")
 
@@ -494,11 +494,11 @@ def bookmarks(t):
     p = dp(t)
     third = (F.floor(F.col("pos") / 3)).cast("int")
     path = F.when(F.col("pos") % 3 == 0, F.array(third)).otherwise(F.array(third, (F.col("pos") % 3 - 1).cast("int")))
-    title = F.when(F.col("pos") % 7 == 3, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.substring(F.regexp_replace("text", r"\W", ""), 1, 8)))
+    title = F.when(F.col("pos") % 7 == 3, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.regexp_replace("text", r"\W", "")))
     return p.select("doc_id", F.col("pos").alias("node_no"), path.alias("path"), title.alias("title"), "page_key")
 
 
-_T = "CASE WHEN a.pos % 7 = 3 OR substr(regexp_replace(a.text, '[^0-9A-Za-z_]', '', 'g'), 1, 8) = '' THEN 'Untitled' ELSE substr(regexp_replace(a.text, '[^0-9A-Za-z_]', '', 'g'), 1, 8) END"
+_T = "CASE WHEN a.pos % 7 = 3 OR regexp_replace(a.text, '[^0-9A-Za-z_]', '', 'g') = '' THEN 'Untitled' ELSE regexp_replace(a.text, '[^0-9A-Za-z_]', '', 'g') END"
 
 
 @register(

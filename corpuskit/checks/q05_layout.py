@@ -390,11 +390,11 @@ _LINK = r"<a\s[^>]*href=\"([^\"]*)\"[^>]*>"
 @register(
     "html_links",
     """WITH a AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a>') AS l FROM pages), b AS (SELECT page_id, unnest(l) AS a, generate_subscripts(l, 1) - 1 AS n FROM a),
-    c AS (SELECT page_id, n, replace(regexp_extract(a, 'href="([^"]*)"', 1), '&amp;', '&') AS href FROM b)
-    SELECT page_id, n, href, regexp_matches(href, '^(https?://.|mailto:|tel:)') AS safe, starts_with(href, '#') AS internal FROM c""".replace("\\\\", "\\"),
+    c AS (SELECT page_id, n, a, replace(regexp_extract(a, 'href="([^"]*)"', 1), '&amp;', '&') AS href FROM b)
+    SELECT page_id, n, href, trim(regexp_replace(replace(regexp_replace(a, '<[^>]*>', '', 'g'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text, regexp_matches(href, '^(https?://.|mailto:|tel:)') AS safe, starts_with(href, '#') AS internal FROM c""".replace("\\\\", "\\"),
 )
 def _(t):
-    return H.html_links(t.pages).drop("text")
+    return H.html_links(t.pages)
 
 
 @register(

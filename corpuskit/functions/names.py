@@ -89,18 +89,17 @@ def bates_label(prefix: str, digits: int, start: int, offset: Column) -> Column:
 
 
 def column_ref(index: Column) -> Column:
-    """0 → A, 25 → Z, 26 → AA, up to three letters (18 278 columns)."""
+    """0 → A, 25 → Z, 26 → AA, up to five letters; NULL below 0 and beyond (12 356 630 columns)."""
 
     def letter(n: Column) -> Column:
         return F.call_function("char", (n % 26 + 65).cast("bigint"))
 
-    second = F.floor(index / 26) - 1
-    third = F.floor(second / 26) - 1
-    return F.concat(
-        F.when(third >= 0, letter(third)).otherwise(""),
-        F.when(second >= 0, letter(second)).otherwise(""),
-        letter(index),
-    )
+    rest, letters = index, [letter(index)]
+    for _ in range(4):
+        rest = F.floor(rest / 26) - 1
+        letters.insert(0, F.when(rest >= 0, letter(rest)).otherwise(""))
+    known = (index >= 0) & (index < sum(26**k for k in range(1, 6)))
+    return F.when(known, F.concat(*letters))
 
 
 def cell_address(row: Column, col: Column) -> Column:

@@ -151,10 +151,15 @@ def find_paths(c: Column) -> Column:
 
 
 def needle_spellings(c: Column) -> Column:
-    """Forms under which a needle may survive: lower case, wide characters, hex digits."""
+    """Forms under which a needle may survive: lower case, two bytes a character, hex digits.
+
+    Characters beyond two bytes have no wide form; hex digits need characters of one byte.
+    """
     low = F.lower(c)
-    wide = F.array_join(F.transform(chars(low), lambda ch: F.concat(F.lit("\u0000"), ch)), "")
-    return F.array(low, wide, F.lower(F.hex(F.encode(c, "ISO-8859-1"))))
+    wide = F.decode(F.encode(rx_replace(low, "[\\x{10000}-\\x{10FFFF}]", ""), "UTF-16BE"), "ISO-8859-1")
+    narrow = c.rlike("^[\\x00-\\xFF]+$")
+    digits = F.lower(F.hex(F.encode(F.when(narrow, c).otherwise(F.lit("")), "ISO-8859-1")))
+    return F.when(narrow, F.array(low, wide, digits)).otherwise(F.array(low, wide))
 
 
 def strip_invalid_xml(c: Column) -> Column:

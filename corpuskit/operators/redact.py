@@ -112,40 +112,51 @@ def residual_check(
 
 
 def verify_redaction(outputs: DataFrame, marks: DataFrame, text: str = "text") -> DataFrame:
-    """One verdict per mark, checked on the output: gone from its document, and readable.
+    """One verdict per mark, checked on the output: gone from its document, and provably so.
 
-    ``marks``: doc_id, page_no, start, category, hit. A mark passes if its text is nowhere in
-    the pages of its document any more and the page could be read. ``verified`` holds for a
-    document only if all of its marks pass.
+    ``marks``: doc_id, page_no, start, category, hit. A mark passes if its text is in no spelling
+    anywhere in its document any more and every page of it could be read; ``state`` tells a text
+    that is ``left`` from one that is ``undecided`` for pages nobody could read. ``verified`` holds
+    for a document only if all of its marks pass.
     """
     pages = outputs.select("doc_id", "page_no", F.lower(text).alias("_low"))
-    wanted = marks.select("doc_id", F.lower("hit").alias("_form")).distinct()
+    wanted = marks.select("doc_id", "hit").distinct().select(
+        "doc_id", F.lower("hit").alias("_hit"), F.explode(needle_spellings(F.col("hit"))).alias("_form")
+    ).filter("_form <> ''").distinct()
     # one row per page and needle of the same document only: both sides share doc_id
     left = (
         pages.join(wanted, "doc_id")
         .filter(F.contains(F.col("_low"), F.col("_form")))
-        .groupBy("doc_id", "_form")
-        .agg(F.count(F.lit(1)).alias("pages_left"))
+        .groupBy("doc_id", "_hit")
+        .agg(F.count_distinct("page_no").alias("pages_left"))
     )
+    dark = pages.filter(F.col("_low").isNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages_dark"))
     own = pages.select("doc_id", "page_no", F.col("_low").isNotNull().alias("_readable"))
     judged = (
-        marks.withColumn("_form", F.lower("hit"))
-        .join(left, ["doc_id", "_form"], "left")
+        marks.withColumn("_hit", F.lower("hit"))
+        .join(left, ["doc_id", "_hit"], "left")
         .join(own, ["doc_id", "page_no"], "left")
+        .join(dark, "doc_id", "left")
     )
     readable = F.coalesce(F.col("_readable"), F.lit(False))
-    passed = readable & F.col("pages_left").isNull()
+    state = (
+        F.when(F.col("pages_left").isNotNull(), "left")
+        .when(~readable | F.col("pages_dark").isNotNull(), "undecided")
+        .otherwise("removed")
+    )
     detail = (
-        F.when(~readable, "page could not be read")
-        .when(F.col("pages_left").isNotNull(), F.concat(F.lit("text still on "), F.col("pages_left").cast("string"), F.lit(" page(s)")))
+        F.when(F.col("pages_left").isNotNull(), F.concat(F.lit("text still on "), F.col("pages_left").cast("string"), F.lit(" page(s)")))
+        .when(~readable, "page could not be read")
+        .when(F.col("pages_dark").isNotNull(), F.concat(F.col("pages_dark").cast("string"), F.lit(" page(s) of the document could not be read")))
         .otherwise("removed")
     )
-    return judged.select(*marks.columns, passed.alias("pass"), detail.alias("detail"))
+    return judged.select(*marks.columns, (state == "removed").alias("pass"), state.alias("state"), detail.alias("detail"))
 
 
 def verification_summary(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("marks"),
         F.count_if("pass").alias("passed"),
+        F.count_if(F.col("state") == "undecided").alias("undecided"),
         F.bool_and("pass").alias("verified"),
     )
