@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -233,98 +233,72 @@ def table_regions(lines: DataFrame) -> DataFrame:
     ).filter("n_lines >= 2").drop("_island")
 
 
-def _grid(items: list[tuple[str, float, float, float, float]]) -> list[list[str]]:
-    """Rows and columns of positioned words (text, x, y, width, height), y down."""
-    items = [(t.strip(), x, y, w, h) for t, x, y, w, h in items if t.strip()]
-    if not items:
-        return []
-    heights = sorted(abs(i[4]) for i in items if i[4])
-    tall = heights[len(heights) // 2] if heights else 10.0
-    y_tol, word_gap, align = max(3.0, tall * 0.5), max(8.0, tall * 0.6), max(20.0, tall * 2)
-
-    rows: list[dict] = []
-    for it in sorted(items, key=lambda i: (i[2], i[1])):
-        row = next((r for r in rows if abs(r["y"] - it[2]) <= y_tol), None)
-        if row is None:
-            rows.append({"y": it[2], "items": [it]})
-        else:
-            row["items"].append(it)
-            k = len(row["items"])
-            row["y"] += (it[2] - row["y"]) / k
-    rows.sort(key=lambda r: r["y"])
-
-    words = []
-    for row in rows:
-        line: list[list] = []
-        for t, x, _, w, _h in sorted(row["items"], key=lambda i: i[1]):
-            if line and x - (line[-1][1] + line[-1][2]) <= word_gap:
-                last = line[-1]
-                last[0] += " " + t
-                last[2] = max(last[2], x + w - last[1])
-            else:
-                line.append([t, x, w])
-        words.append(line)
-
-    columns: list[dict] = []
-    for r, line in enumerate(words):
-        for _, x, w in line:
-            right, best, best_score = x + w, None, float("-inf")
-            for c in columns:
-                if r in c["rows"]:
-                    continue
-                overlap = max(0.0, min(right, c["hi"]) - max(x, c["lo"]))
-                dl, dr = abs(x - c["left"]), abs(right - c["right"])
-                if (overlap > 0 or min(dl, dr) <= align) and 1000 - min(dl, dr) + overlap > best_score:
-                    best, best_score = c, 1000 - min(dl, dr) + overlap
-            if best is None:
-                columns.append({"lo": x, "hi": right, "left": x, "right": right, "rows": {r}})
-                continue
-            best["rows"].add(r)
-            k = len(best["rows"])
-            best["lo"], best["hi"] = min(best["lo"], x), max(best["hi"], right)
-            best["left"] += (x - best["left"]) / k
-            best["right"] += (right - best["right"]) / k
-
-    merged: list[dict] = []
-    for c in sorted(columns, key=lambda c: c["left"]):
-        p = merged[-1] if merged else None
-        if p and not (c["rows"] & p["rows"]) and c["left"] - p["right"] <= 5:
-            p["rows"] |= c["rows"]
-            p["left"], p["right"] = (p["left"] + c["left"]) / 2, (p["right"] + c["right"]) / 2
-        else:
-            merged.append(c)
-
-    grid = [[""] * max(1, len(merged)) for _ in words]
-    for r, line in enumerate(words):
-        for t, x, w in line:
-            at = min(range(len(merged)), key=lambda i: min(abs(x - merged[i]["left"]), abs(x + w - merged[i]["right"])))
-            grid[r][at] = f"{grid[r][at]} {t}" if grid[r][at] else t
-    return grid
+REGION = [*PAGE, "table_no"]
+
+
+def _islands(keys: list[str], start: str, stop: str, order: list[str], gap, out: str):
+    """(flag, number) columns: intervals that are at most ``gap`` apart, in ``order``, share a number."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    reach = F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce((F.col(start) - reach > gap).cast("bigint"), F.lit(0).cast("bigint"))
+    return opens.alias(f"_opens_{out}"), F.sum(f"_opens_{out}").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(out)
+
+
+def _numbered(df: DataFrame, keys: list[str], start: str, stop: str, order: list[str], gap, out: str) -> DataFrame:
+    flag, number = _islands(keys, start, stop, order, gap, out)
+    return df.select("*", flag).select("*", number).drop(f"_opens_{out}")
 
 
 def extract_tables(items: DataFrame) -> DataFrame:
     """Cells of each table region: doc_id, page_no, table_no, row_no, col_no, value.
 
-    ``items``: doc_id, page_no, table_no, text, x, y, width, height. The kernel sees the items
-    of one region of one page as one array per row, spread over the whole cluster.
+    ``items``: doc_id, page_no, table_no, text, x, y, width, height. Everything is a merge of
+    intervals inside a region: items at most half a usual height apart are a row, items of a row with
+    less than a word's space between them a cell, and cells over the same stretch of the page a
+    column. Cells that span several columns of the region's fullest rows do not make columns; they
+    stand in the first one they touch. Windows and joins all share the region as their key.
     """
-    item = F.struct("text", "x", "y", "width", "height")
-    regions = items.groupBy(*PAGE, "table_no").agg(F.sort_array(F.collect_list(item)).alias("items"))
-
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for d, p, t, its in pdf.itertuples(index=False):
-                grid = _grid([(i["text"] or "", i["x"], i["y"], i["width"], i["height"]) for i in its])
-                out += [(d, p, t, r, c, v) for r, row in enumerate(grid) for c, v in enumerate(row)]
-            yield pd.DataFrame(out, columns=["doc_id", "page_no", "table_no", "row_no", "col_no", "value"])
-
-    kind = dict(items.dtypes)
-    schema = (
-        f"doc_id {kind['doc_id']}, page_no {kind['page_no']}, table_no {kind['table_no']}, row_no bigint, "
-        "col_no bigint, value string"
-    )
-    return regions.mapInPandas(kernel, schema)
+    words = items.select(
+        *REGION, trim_space(F.coalesce("text", F.lit(""))).alias("text"), "x", "y",
+        (F.col("x") + F.col("width")).alias("right"), F.abs("height").alias("tall"),
+    ).filter("text <> ''")
+    usual = F.coalesce(
+        F.percentile(F.when(F.col("tall") > 0, F.col("tall")), 0.5).over(Window.partitionBy(*REGION)), F.lit(10.0)
+    )
+    sized = words.withColumn("usual", usual)
+    rows = _numbered(sized, REGION, "y", "y", ["y", "x", "text"], F.greatest(F.lit(3.0), F.col("usual") * 0.5), "row_no")
+    in_row = [*REGION, "row_no"]
+    parts = _numbered(rows, in_row, "x", "right", ["x", "right", "text"], F.greatest(F.lit(8.0), F.col("usual") * 0.6), "cell_no")
+    cells = parts.groupBy(*in_row, "cell_no").agg(
+        F.min("x").alias("x"), F.max("right").alias("right"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "right", "text"))), lambda w: w["text"]), " ").alias("value"),
+    )
+    full = cells.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*in_row))).withColumn(
+        "_most", F.max("_n").over(Window.partitionBy(*REGION))
+    )
+    base = _numbered(full.filter("_n = _most"), REGION, "x", "right", ["x", "right", "row_no"], F.lit(0.0), "_base").groupBy(
+        *REGION, "_base"
+    ).agg(F.min("x").alias("_lo"), F.max("right").alias("_hi"))
+    whole = base.groupBy(*REGION).agg(F.collect_list(F.struct("_lo", "_hi")).alias("_bases"))
+    touched = F.size(F.filter("_bases", lambda b: (b["_lo"] < F.col("right")) & (F.col("x") < b["_hi"])))
+    marked = full.join(whole, REGION).withColumn("_spans", touched > 1).drop("_bases", "_n", "_most")
+    own = _numbered(marked.filter("NOT _spans"), REGION, "x", "right", ["x", "right", "row_no"], F.lit(0.0), "col_no")
+    columns = own.groupBy(*REGION, "col_no").agg(F.min("x").alias("_lo"), F.max("right").alias("_hi"))
+    edges = columns.groupBy(*REGION).agg(
+        F.array_sort(F.collect_list(F.struct("_lo", "_hi", "col_no"))).alias("_columns"), F.count(F.lit(1)).alias("_width")
+    )
+    first = F.get(F.filter("_columns", lambda c: (c["_lo"] < F.col("right")) & (F.col("x") < c["_hi"])), F.lit(0))["col_no"]
+    wide = marked.filter("_spans").join(edges, REGION).withColumn("col_no", F.coalesce(first, F.lit(0).cast("bigint")))
+    placed = own.select(*in_row, "col_no", "x", "value").unionByName(wide.select(*in_row, "col_no", "x", "value"))
+    filled = placed.groupBy(*in_row, "col_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "value"))), lambda c: c["value"]), " ").alias("value")
+    )
+    frame = rows.select(*in_row).distinct().join(edges.select(*REGION, "_width"), REGION).select(
+        *in_row, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_width") - 1)).alias("col_no")
+    )
+    return frame.join(filled, [*in_row, "col_no"], "left").select(
+        *in_row, "col_no", F.coalesce("value", F.lit("")).alias("value")
+    )
 
 
 def heading_parents(headings: DataFrame, max_levels: int = 3) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_CHARS = 250
 # Abbreviations that never end a sentence, and those that do unless it runs on.
 ALWAYS = {
     "dr.", "mr.", "mrs.", "ms.", "st.", "prof.", "sr.", "jr.", "mt.", "vs.", "cf.", "fig.", "no.", "e.g.", "i.e.",
@@ -18,71 +18,70 @@ SOMETIMES = {
     "a.m.", "p.m.", "etc.", "approx.", "jan.", "feb.", "mar.", "apr.", "jun.", "jul.", "aug.", "sep.", "sept.",
     "oct.", "nov.", "dec.",
 }
-SOFT = set(",;:，、；：،؛")
-_BASE = re.compile(r"[^.!?。！？]+(?:[.!?。！？]+|$)")
-
-
-def _trim(text: str, a: int, b: int) -> tuple[int, int] | None:
-    while a < b and text[a].isspace():
-        a += 1
-    while b > a and text[b - 1].isspace():
-        b -= 1
-    return (a, b) if a < b else None
-
-
-def _runs_on(text: str, a: int, b: int, following: int) -> bool:
-    """Does the piece a..b end in an abbreviation, so that the next piece belongs to it?"""
-    tail = text[max(a, b - 80) : b]
-    cut = max((i for i, ch in enumerate(tail) if ch.isspace()), default=-1)
-    word = tail[cut + 1 :].lstrip("(\"'“‘[")
-    if not word.endswith("."):
-        return False
-    if len(word) == 2 and word[0].isupper():
-        return True
-    low = word.lower()
-    if low in ALWAYS:
-        return True
-    first = text[following : following + 1]
-    if not (first.islower() or first in "0123456789"):
-        return False
-    if low in SOMETIMES or re.fullmatch(r"[0-9]+\.", word):
+# Where a long sentence may be cut, what may open a word, and what ends a sentence.
+SOFT = ",;:，、；：،؛"
+OPENERS = "(\"'“‘["
+_PIECE = re.compile(r"[^.!?。！？]+(?:[.!?。！？]+|$)")
+_LOOSE = re.compile(r"[0-9]+\.|(?:[^\W\d_]\.){2,}")
+
+
+def _joins(word: str, following: str) -> bool:
+    """Whether a sentence that ends in ``word`` goes on with the character ``following``."""
+    word = word.lstrip(OPENERS)
+    if word.lower() in ALWAYS or len(word) == 2 and word[0].isupper() and word[1] == ".":
         return True
-    return len(word) >= 4 and len(word) % 2 == 0 and all(
-        ch.isalpha() if i % 2 == 0 else ch == "." for i, ch in enumerate(word)
+    goes_on = following.islower() or following in tuple("0123456789")
+    return goes_on and (word.lower() in SOMETIMES or _LOOSE.fullmatch(word) is not None)
+
+
+@lru_cache(maxsize=8)
+def _cuts(limit: int) -> re.Pattern:
+    """The longest part up to ``limit``, from its half on: behind a soft break, before a blank, or anywhere."""
+    half = limit // 2
+    return re.compile(
+        rf".{{{half},{limit - 1}}}[{SOFT}](?![0-9])|.{{{half + 1},{limit}}}(?=\s)|.{{{limit}}}", re.S
     )
 
 
-def _cap(text: str, a: int, b: int) -> list[tuple[int, int]]:
-    """Pieces of at most MAX_CHARS: cut after a soft break, else at a blank, else hard."""
-    out = []
-    while b - a > MAX_CHARS:
-        limit, floor = a + MAX_CHARS, a + MAX_CHARS // 2
-        after_soft = (
-            i for i in range(limit, floor, -1)
-            if text[i - 1] in SOFT and not (i < len(text) and text[i] in "0123456789")
-        )
-        at_blank = (i for i in range(limit, floor, -1) if i < len(text) and text[i].isspace())
-        cut = next(after_soft, None) or next(at_blank, None) or limit
-        out.append(_trim(text, a, cut))
-        a = cut
-    out.append(_trim(text, a, b))
-    return [p for p in out if p]
-
-
-def sentence_ranges(text: str) -> list[tuple[int, int]]:
-    merged: list[list[int]] = []
-    for m in _BASE.finditer(text):
-        piece = _trim(text, *m.span())
-        if piece is None:
+def _spans(text: str, limit: int | None) -> Iterator[tuple[int, int]]:
+    """Sentences with the blanks at their ends, parts of at most ``limit`` characters if given."""
+    begin = stop = None
+    for piece in [*_PIECE.finditer(text), None]:
+        first = None if piece is None else piece.group().lstrip()[:1]
+        if first == "":
             continue
-        if merged and _runs_on(text, *merged[-1], piece[0]):
-            merged[-1][1] = piece[1]
-        else:
-            merged.append(list(piece))
-    return [p for a, b in merged for p in _cap(text, a, b)]
+        if begin is not None:
+            words = text[begin:stop].split()
+            if first is not None and _joins(words[-1], first):
+                stop = piece.end()
+                continue
+            if limit is not None:
+                begin += len(text[begin:stop]) - len(text[begin:stop].lstrip())
+                while len(text[begin:stop].rstrip()) > limit:
+                    cut = _cuts(limit).match(text, begin).end()
+                    yield begin, cut
+                    begin = cut
+            yield begin, stop
+        if piece is not None:
+            begin, stop = piece.span()
+
+
+def sentence_ranges(text: str, limit: int | None = None) -> list[tuple[int, int]]:
+    """(start, end) of each sentence, without the blanks around it.
+
+    ``limit`` cuts longer sentences into parts, as speech or subtitles need it.
+    """
+    out = []
+    for a, b in _spans(text, limit):
+        body = text[a:b]
+        inner = body.strip()
+        if inner:
+            a += len(body) - len(body.lstrip())
+            out.append((a, a + len(inner)))
+    return out
 
 
-def sentences(pages: DataFrame, text: str = "text") -> DataFrame:
+def sentences(pages: DataFrame, text: str = "text", limit: int | None = None) -> DataFrame:
     """One row per sentence: sentence_no, start, end, sentence. Whole texts, Arrow batches."""
     keep = [c for c in pages.columns if c != text]
 
@@ -90,7 +89,7 @@ def sentences(pages: DataFrame, text: str = "text") -> DataFrame:
         for pdf in batches:
             rows, nos, starts, ends, texts = [], [], [], [], []
             for i, body in enumerate(pdf[text]):
-                for n, (a, b) in enumerate(sentence_ranges(body or "")):
+                for n, (a, b) in enumerate(sentence_ranges(body or "", limit)):
                     rows.append(i)
                     nos.append(n)
                     starts.append(a)

@@ -197,7 +197,9 @@ def test_sentences():
 
     assert parts("Dr. Smith came at 3. then left. OK! J. Doe too.") == ["Dr. Smith came at 3. then left.", "OK!", "J. Doe too."]
     long = "word " * 120 + "end."
-    assert all(len(p) <= 250 for p in parts(long)) and " ".join(parts(long)) == long
+    assert parts(long) == [long]
+    cut = [long[a:b] for a, b in sentence_ranges(long, 250)]
+    assert all(len(p) <= 250 for p in cut) and " ".join(cut) == long
 
 
 def test_index_update(spark):
@@ -213,3 +215,38 @@ def test_index_update(spark):
     assert {(r.token, r.doc_id) for r in new.collect()} == {("alpha", 1), ("beta", 1), ("delta", 2), ("beta", 2), ("beta", 4)}
     hits = SE.search(new, "beta alpha").collect()
     assert [(r.doc_id, r.score) for r in hits] == [(1, 25), (2, 10), (4, 10)]
+
+
+def test_bank_statement_and_sparse_tables(spark):
+    statement = [
+        ("Date", 40, 50, 30), ("Description", 140, 50, 70), ("Amount", 320, 50, 45), ("Balance", 450, 50, 45),
+        ("2026-08-01", 40, 80, 60), ("Payroll", 140, 80, 40), ("Direct", 185, 80, 35), ("+$2,500.00", 320, 80, 65), ("$2,500.00", 450, 80, 60),
+        ("2026-08-02", 40, 110, 60), ("Coffee", 140, 110, 35), ("Shop", 180, 110, 25), ("-$4.50", 320, 110, 35), ("$2,495.50", 450, 110, 60),
+        ("Carried over to the next page of this statement", 40, 140, 400), (" ", 40, 170, 5),
+    ]
+    sparse = [
+        ("ID", 20, 20, 15), ("Name", 100, 20, 30), ("Status", 200, 20, 40), ("1", 20, 40, 10), ("Alice", 100, 40, 30),
+        ("Active", 200, 40, 35), ("2", 20, 60, 10), ("Bob", 100, 60, 25),
+    ]
+    rows = [(1, 0, t, x * 1.0, y * 1.0, w * 1.0, 12.0) for t, x, y, w in statement]
+    rows += [(1, 1, t, x * 1.0, y * 1.0, w * 1.0, 10.0) for t, x, y, w in sparse] + [(2, 0, None, 1.0, 1.0, 1.0, 0.0)]
+    df = spark.createDataFrame(
+        [(d, 0, n, *rest) for d, n, *rest in rows],
+        "doc_id int, page_no int, table_no int, text string, x double, y double, width double, height double",
+    )
+    got = {}
+    for r in sorted(L.extract_tables(df).collect()):
+        got.setdefault((r.doc_id, r.table_no), {}).setdefault(r.row_no, []).append(r.value)
+    assert list(got[1, 0].values()) == [
+        ["Date", "Description", "Amount", "Balance"], ["2026-08-01", "Payroll Direct", "+$2,500.00", "$2,500.00"],
+        ["2026-08-02", "Coffee Shop", "-$4.50", "$2,495.50"], ["Carried over to the next page of this statement", "", "", ""],
+    ]
+    assert list(got[1, 1].values()) == [["ID", "Name", "Status"], ["1", "Alice", "Active"], ["2", "Bob", ""]]
+    assert (2, 0) not in got
+
+
+def test_html_lists_of_any_depth(spark):
+    df = spark.createDataFrame([(1, "<ul><li>x" * 5000)], "page_id int, html string")
+    rows = H.html_blocks(df, max_depth=8).collect()
+    assert [r.text for r in rows if r.kind == "note"] == ["lists deeper than 8 levels are shown at that depth"]
+    assert max(r.depth for r in H.html_blocks(df).collect()) == 4999
