@@ -41,6 +41,13 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def slices(batch: pa.RecordBatch, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``size`` bytes, so that little of it is Python objects at a time."""
+    step = max(1, batch.num_rows * size // max(size, batch.nbytes))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def map_batches(
     df: DataFrame,
     inputs: list[str],
@@ -48,7 +55,7 @@ def map_batches(
     fields: list[T.StructField],
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """Add the columns ``fields`` that ``fn`` makes from lists of ``inputs``, batch by batch.
+    """Add the columns ``fields`` that ``fn`` makes from lists of ``inputs``, a few megabytes at a time.
 
     ``keep`` names the columns to carry along (all by default) and they never become Python
     objects. A kept column whose name equals a new one, in any case, gives way to the new one.
@@ -65,7 +72,7 @@ def map_batches(
     places = [names.index(c) for c in inputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             got = fn({c: batch.column(i).to_pylist() for c, i in zip(inputs, places, strict=True)})
             yield pa.RecordBatch.from_arrays(
                 [

@@ -161,29 +161,37 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     carried along, those named like a new column give way.
     """
     held = fresh(docs, "_held")
-    got = docs.withColumn(held, F.lit(None).cast(MATCHES))
-    for block in _blocks(benchmark, item_id, item_text, block_chars):
+    *before, last = _blocks(benchmark, item_id, item_text, block_chars)
+    got = docs.withColumn(held, F.lit(None).cast(MATCHES)) if before else docs
+
+    def searched(block: DataFrame, texts: str, state: str | None):
         rows = sorted({(r[0] or "", r[1] or "") for r in block.collect()})
         shipped = docs.sparkSession.sparkContext.broadcast(TestSet(rows, window))
 
-        def run(data, shipped=shipped):
+        def found(data) -> tuple[list[list[bytes]], list[list[dict]]]:
             tests = shipped.value
-            found = [list(x or []) for x in data[held]]
-            if tests.ids:
-                for first, some in shards([words_of(t) for t in data[text]]):
-                    for d, start, item, at, n in search_shard(some, tests):
-                        found[first + d].append(
-                            {"item_id": tests.ids[item], "start": start, "words": n, "item_start": at}
-                        )
-            return {held: found}
-
-        got = map_batches(got, [text, held], run, [T.StructField(held, MATCHES)], [*docs.columns, held])
+            words = [words_of(t) for t in data[texts]]
+            out = [list(x or []) for x in data[state]] if state else [[] for _ in words]
+            for first, some in shards(words) if tests.ids else ():
+                for d, start, item, at, n in search_shard(some, tests):
+                    out[first + d].append({"item_id": tests.ids[item], "start": start, "words": n, "item_start": at})
+            return words, out
+
+        return found
+
+    for block in before:
+        step = searched(block, text, held)
+        got = map_batches(
+            got, [text, held], lambda data, step=step: {held: step(data)[1]}, [T.StructField(held, MATCHES)],
+            [*docs.columns, held],
+        )
+    final = searched(last, text, held if before else None)
 
     def close(data):
         out = {"n_words": [], "n_hit": [], "n_items": [], "items": [], "matches": []}
-        for t, found in zip(data[text], data[held], strict=True):
-            found = sorted(found or [], key=lambda x: (x["start"], x["item_id"], x["item_start"], x["words"]))
-            n = len(words_of(t))
+        for words, found in zip(*final(data), strict=True):
+            found.sort(key=lambda x: (x["start"], x["item_id"], x["item_start"], x["words"]))
+            n = len(words)
             edges = np.zeros(n + 1, np.int64)
             for x in found:
                 edges[x["start"]] += 1
@@ -201,7 +209,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
         T.StructField("n_items", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
         T.StructField("matches", MATCHES),
     ]
-    return map_batches(got, [text, held], close, fields, docs.columns)
+    return map_batches(got, [text, held] if before else [text], close, fields, docs.columns)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuskit.llm.common import map_batches, quoted
+from corpuskit.llm.common import map_batches, quoted, slices
 
 DIM = 1024
 #: Characters worked on at a time, and distinct trigrams with vectors at a time.
@@ -154,7 +154,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", dim: int
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             langs = batch.column(1).to_pylist()
             for first, rows in profiles(batch.column(0).to_pylist(), dim):
                 for name, row in zip(langs[first:first + len(rows)], rows, strict=True):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpuskit.llm.common import quoted
+from corpuskit.llm.common import quoted, slices
 
 LENGTH = 2048
 SHARD = 1 << 21
@@ -151,7 +151,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: in
                 yield pa.RecordBatch.from_pylist(rows[at:at + 512], schema=arrow)
 
         shard, held = [], 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.array([*encode(t or ""), end_id], np.uint32)
                 shard.append((i, ids))
