@@ -16,9 +16,9 @@ import hashlib
 import json
 import unicodedata
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
-import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +26,31 @@ from pyspark.sql import types as T
 
 from corpuskit.llm.common import fresh, map_batches, quoted
 
-CACHE = 400_000
+#: Words, and pairs of tokens, that each of the two generations of a memory holds.
+WORDS, PAIRS = 80_000, 120_000
 NEVER = 1 << 62
 
 
+class Memory:
+    """A bounded memory in two generations: what is used in time moves on, the rest is forgotten."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key):
+        got = self.new.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -81,14 +102,13 @@ class WordBpe:
             whole = vocab[left + right]
             self.rank[vocab[left], vocab[right]] = (r, whole)
             self.parts.setdefault(whole, (r, vocab[left], vocab[right]))
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible = Memory(PAIRS)
         # decoding: all tokens in one string, with the offset of each
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
-        n = max(names) + 1
-        self.offsets = np.zeros(n + 1, np.int64)
-        np.cumsum([len(names.get(i, "")) for i in range(n)], out=self.offsets[1:])
-        self.letters_of_all = "".join(names.get(i, "") for i in range(n))
-        self.known: dict[str, tuple[str, int, str]] = {}
+        texts = [names.get(i, "") for i in range(max(names) + 1)]
+        self.offsets = [0, *accumulate(map(len, texts))]
+        self.letters_of_all = "".join(texts)
+        self.known = Memory(WORDS)
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether merging the text of both tokens by rank ends in exactly these two.
@@ -116,41 +136,44 @@ class WordBpe:
                 limit, a = (pa[0], 0), pa[2]
             else:
                 limit, b = (pb[0], 2), pb[1]
-        if len(self.compatible) > 4 * CACHE:
-            self.compatible.clear()
-        self.compatible[left, right] = good
+        self.compatible.put((left, right), good)
         return good
 
     def encode_word(self, letters: str) -> list[int]:
         """Token ids of one word, given in byte letters with the last in its end form."""
         n = len(letters)
+        # at each place the tokens that begin there, in growing length: (end, token)
         found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (size, token) in self.automaton.iter(letters):
-            found[end - size + 1].append((size, token))
-        # at each place tokens come in growing length
-        next_try = [len(x) - 1 for x in found]
+        for last, (size, token) in self.automaton.iter(letters):
+            found[last - size + 1].append((last + 1, token))
         dead = bytearray(n + 1)
         out: list[int] = []
-        starts: list[int] = []
-        at = 0
+        # for each token taken: its place, and the tokens there that were not tried yet
+        taken: list[tuple[int, int]] = []
+        at, k = 0, len(found[0]) - 1
+        allowed = self.compatible.new.get
         while at < n:
-            k = next_try[at]
+            here = found[at]
+            before = out[-1] if out else None
             while k >= 0:
-                size, token = found[at][k]
-                if not dead[at + size] and (not out or self.may_follow(out[-1], token)):
-                    break
+                end, token = here[k]
+                if not dead[end]:
+                    if before is None:
+                        break
+                    good = allowed((before, token))
+                    if self.may_follow(before, token) if good is None else good:
+                        break
                 k -= 1
             if k >= 0:
-                next_try[at] = k
                 out.append(token)
-                starts.append(at)
-                at += size
+                taken.append((at, k))
+                at = end
+                k = len(found[at]) - 1 if at < n else 0
             else:
                 # no token fits here after the last one: take that back, never end one here again
                 dead[at] = 1
-                next_try[at] = len(found[at]) - 1
                 out.pop()
-                at = starts.pop()
+                at, k = taken.pop()
         return out
 
     def pieces(self, text: str) -> list[str]:
@@ -169,9 +192,7 @@ class WordBpe:
             letters = word.encode().decode("latin-1").translate(self.inner)
             ids = self.encode_word(letters[:-1] + self.ends[letters[-1]])
             got = (" ".join(map(str, ids)), len(ids), self.decode(ids))
-            if len(self.known) > CACHE:
-                self.known.clear()
-            self.known[word] = got
+            self.known.put(word, got)
         return got
 
     def entries(self, text: str | None) -> list[tuple[str, int, str]]:
@@ -181,7 +202,9 @@ class WordBpe:
             if k % 2:
                 out.append((str(self.special[piece]), 1, piece))
             else:
-                out.extend(map(self.entry, self.words.findall(self.normal(piece))))
+                words = self.words.findall(self.normal(piece))
+                recent = self.known.new.get
+                out.extend(recent(w) or self.entry(w) for w in words)
         return out
 
     def encode(self, text: str | None) -> list[int]:
