@@ -144,10 +144,13 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", dim: int
     if not sizes:
         return [], np.zeros((0, dim))
     grain = 1 << 20
-    rate: Column = F.lit(0)
-    for name, n in sizes.items():
-        rate = F.when(F.col("lang") == name, F.lit(min(grain, max(1, max_per_lang * grain // n)))).otherwise(rate)
-    chosen = some.filter(F.pmod(F.xxhash64("text"), F.lit(grain)) < rate)
+    rates = labelled.sparkSession.createDataFrame(
+        [(name, min(grain, max(1, max_per_lang * grain // n))) for name, n in sizes.items()], "lang string, rate long"
+    )
+    # one row per language, and no more than max_langs of them
+    chosen = some.join(F.broadcast(rates), "lang").filter(F.pmod(F.xxhash64("text"), F.lit(grain)) < F.col("rate")).select(
+        "text", "lang"
+    )
     schema = T.StructType([
         T.StructField("lang", T.StringType()), T.StructField("at", T.IntegerType()), T.StructField("sum", T.DoubleType()),
     ])
