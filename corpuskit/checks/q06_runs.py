@@ -5,8 +5,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpuskit.checks import sqlparts as S
+from corpuskit.checks.q02_text import pages_of
 from corpuskit.checks.registry import register
-from corpuskit.functions import text as X
+from corpuskit.operators import search as SE
 from corpuskit.plans import recipe as RC
 from corpuskit.plans.formulas import with_formulas
 from corpuskit.session import checkpoint_folder
@@ -76,14 +77,13 @@ def _fz(c):
     f"WITH a AS (SELECT p_partkey, greatest({_fz('p_name')}, {_fz('p_brand')}) AS score FROM part) SELECT p_partkey, round(score, 6) AS score FROM a WHERE score > 0 ORDER BY a.score DESC, p_partkey LIMIT 50",
 )
 def _(t):
-    score = F.greatest(X.fuzzy_score(F.col("p_name"), F.lit("br")), X.fuzzy_score(F.col("p_brand"), F.lit("br")))
-    ranked = t.part.select("p_partkey", score.alias("s")).filter("s > 0").orderBy(F.desc("s"), "p_partkey").limit(50)
-    return ranked.select("p_partkey", F.round("s", 6).alias("score"))
+    ranked = SE.fuzzy_rank(t.part, ["p_name", "p_brand"], "br", "p_partkey", 50)
+    return ranked.select("p_partkey", F.round("score", 6).alias("score"))
 
 
 @register("recent_files", "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id LIMIT 20")
 def _(t):
-    return t.events.orderBy(F.desc("ts"), "event_id").limit(20).select("event_id", "user_id")
+    return SE.most_recent(t.events, "ts", "event_id", 20).select("event_id", "user_id")
 
 
 # --- recipes and formulas -------------------------------------------------------------------
@@ -132,16 +132,41 @@ _RUN = f"""{S.hits_sql('documents', 'doc_id')}, h AS (SELECT doc_id, count(*) AS
 @register(
     "recipe_notes",
     f"""WITH {_RUN} SELECT 'failed' AS kind, 'The file could not be read.' AS detail, count(*) AS n FROM e WHERE bad UNION ALL SELECT 'changed', n || ' spans cut', count(*) FROM e WHERE NOT bad AND n > 0 GROUP BY n
-    UNION ALL SELECT 'metadata-scrubbed', 'author', count(*) FROM e WHERE NOT bad AND au UNION ALL SELECT 'kept-original', 'compress: result not smaller', count(*) FROM e WHERE NOT bad AND nw >= nb HAVING count(*) > 0
+    UNION ALL SELECT 'changed', 'unheard-of: unknown step, step left out', count(*) FROM e WHERE NOT bad
+    UNION ALL SELECT 'metadata-scrubbed', 'author', count(*) FROM e WHERE NOT bad AND au UNION ALL SELECT 'kept-original', 'compress: estimate not smaller', count(*) FROM e WHERE NOT bad AND nw >= nb HAVING count(*) > 0
     UNION ALL SELECT 'changed', 'headerFooter: no settings, step left out', count(*) FROM e WHERE NOT bad""",
 )
 def _(t):
     return recipe_run(t)[1].groupBy("kind", "detail").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("recipe_outputs", f"WITH {_RUN} SELECT d.doc_id, CASE WHEN bad THEN strlen(text) ELSE least(nw, nb) END::BIGINT AS n_bytes, bad AS failed FROM e d JOIN documents USING (doc_id)")
+@register("recipe_outputs", f"WITH {_RUN} SELECT d.doc_id, CASE WHEN bad THEN strlen(text) ELSE nb END::BIGINT AS n_bytes, CASE WHEN NOT bad THEN least(nw, nb) END::BIGINT AS n_bytes_estimate, bad AS failed FROM e d JOIN documents USING (doc_id)")
 def _(t):
-    return recipe_run(t)[0].select("doc_id", "n_bytes", F.col("error").isNotNull().alias("failed"))
+    return recipe_run(t)[0].select("doc_id", "n_bytes", "n_bytes_estimate", F.col("error").isNotNull().alias("failed"))
+
+
+@register(
+    "recipe_pages",
+    f"""WITH {S.PAGES}, a AS (SELECT doc_id, page_no, text, count(*) OVER (PARTITION BY doc_id) AS n FROM pg),
+    b AS (SELECT doc_id, (n + 3) // 4 * 4 AS total, n FROM a GROUP BY ALL),
+    s AS (SELECT doc_id, n, total, generate_series AS slot, CASE WHEN (generate_series % 2 = 1) = (generate_series // 2 % 2 = 0) THEN generate_series // 2 ELSE total - 1 - generate_series // 2 END AS page_no FROM b, generate_series(0, total - 1)),
+    h AS (SELECT doc_id, slot // 2 AS sheet, total // 2 AS sheets, string_agg(coalesce(text, ''), chr(10) ORDER BY slot) AS body FROM s LEFT JOIN a USING (doc_id, page_no) GROUP BY ALL)
+    SELECT doc_id, sheet AS page_no, md5(CASE WHEN sheet BETWEEN 1 AND 2 THEN 'p ' || (sheet + 1) || ' of ' || sheets || chr(10) || body ELSE body END) AS text_md5 FROM h""",
+)
+def _(t):
+    """Booklet sheets of whole documents, then a label on the second and third of them; no step is lost."""
+    one = pages_of(t).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
+    docs = one.select(
+        "doc_id", F.lit("x.pdf").alias("file"), F.array_join(F.transform("p", lambda x: x["text"]), RC.PAGE_BREAK).alias("text"),
+        F.lit(0).cast("bigint").alias("n_bytes"),
+    )
+    recipe = RC.Recipe(["nup", "headerFooter"], {
+        "nup": {"layout": "booklet"}, "headerFooter": {"headerText": "p {n} of {total}", "footerText": " ", "pageRange": "2-3"},
+    })
+    out = recipe.run(docs)[0]
+    return out.select("doc_id", F.posexplode(F.split("text", RC.PAGE_BREAK, -1)).alias("page_no", "x")).select(
+        "doc_id", F.col("page_no").cast("bigint").alias("page_no"), F.md5("x").alias("text_md5")
+    )
 
 
 @register(
@@ -268,6 +293,47 @@ def _(t):
     )
 
 
+def event_stream(t, keep="true"):
+    e = stream_of(t, "events").filter(keep)
+    return e.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+
+
+def complete(t, df):
+    """The whole result of a stream that has read all there is."""
+    base = f"{checkpoint_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    df.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(
+        lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out")
+    ).start().awaitTermination()
+    return t.spark.read.schema(df.schema).parquet(f"{base}/out")
+
+
+@register("coalesce_edits_stream", f"WITH {_SES.format(gap=7200000000)} SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS edits FROM b GROUP BY user_id, s")
+def _(t):
+    out = complete(t, E.coalesce_edits_stream(event_stream(t), "user_id", "2 hours"))
+    return out.select("user_id", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "edits")
+
+
+@register("debounce_stream", f"WITH {_SES.format(gap=3600000000)} SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM b GROUP BY user_id, s")
+def _(t):
+    return complete(t, E.debounce_stream(event_stream(t), "user_id", "1 hour")).select("user_id", "event_id")
+
+
+@register("expire_stream", """SELECT user_id, event_id FROM events a WHERE event_type IN ('view', 'click') AND NOT EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'purchase' AND p.user_id = a.user_id AND p.ts >= a.ts AND epoch_us(p.ts) <= epoch_us(a.ts) + 21600000000)""")
+def _(t):
+    """A far later event of each side, of a user nobody is, lets all waiting ends pass."""
+    base = f"{checkpoint_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    e = log(t)
+    late = e.limit(1).withColumns({"ts": F.col("ts") + F.expr("interval 100 years"), "user_id": F.lit(-1).cast("bigint")})
+    both = e.unionByName(late.withColumn("event_type", F.lit("view"))).unionByName(late.withColumn("event_type", F.lit("purchase")))
+    both.write.parquet(f"{base}/in")
+
+    def side(kinds):
+        return t.spark.readStream.schema(both.schema).parquet(f"{base}/in").filter(F.col("event_type").isin(*kinds))
+
+    gone = E.expire_stream(side(["view", "click"]), side(["purchase"]), "user_id", "6 hours")
+    return run_to_table(t, gone).filter("user_id >= 0").select("user_id", "event_id")
+
+
 @register("rate_limit_stream", _LIMIT)
 def _(t):
     e = stream_of(t, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions.patterns import match_spans
-from corpuskit.functions.text import SPACE, snippet, sums_before, tokenize, trim_space
+from corpuskit.functions.text import SPACE, fuzzy_score, snippet, sums_before, tokenize, trim_space
 
 
 def build_index(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -69,6 +69,18 @@ def search(postings: DataFrame, query: str, limit: int | None = None) -> DataFra
     return out if limit is None else out.limit(limit)
 
 
+def fuzzy_rank(items: DataFrame, names: list[str], query: str, tie: str, limit: int) -> DataFrame:
+    """The items any of whose names matches the query loosely, best first; ``score`` is the best name's."""
+    scores = [fuzzy_score(F.col(c), F.lit(query)) for c in names]
+    best = scores[0] if len(scores) == 1 else F.greatest(*scores)
+    return items.withColumn("score", best).filter("score > 0").orderBy(F.desc("score"), tie).limit(limit)
+
+
+def most_recent(files: DataFrame, when: str, tie: str, limit: int) -> DataFrame:
+    """The ``limit`` rows opened last."""
+    return files.orderBy(F.desc(when), tie).limit(limit)
+
+
 def attach_doc_meta(hits: DataFrame, meta: DataFrame) -> DataFrame:
     """Document facts beside each hit; a hit of an unknown document keeps NULLs."""
     return hits.join(meta, "doc_id", "left")

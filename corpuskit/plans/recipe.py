@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions.geometry import projected_bytes
 from corpuskit.functions.names import filename_pattern, running_label, strip_extension
-from corpuskit.operators.predicates import never_larger
+from corpuskit.operators.metadata import FIELDS, FLAGS, scrub_metadata
+from corpuskit.operators.predicates import never_larger, parse_page_range
 from corpuskit.operators.redact import redact_patterns
 from corpuskit.operators.sequence import global_numbers
 from corpuskit.operators.unique_names import unique_names
@@ -128,27 +129,71 @@ def redact_tool(df: DataFrame, settings: dict | None) -> DataFrame:
 
 
 def metadata_tool(df: DataFrame, settings: dict | None) -> DataFrame:
-    held = F.coalesce(F.col("author") != "", F.lit(False))
-    note = _note("metadata-scrubbed", F.lit("author"), held)
-    return df.withColumns({"notes": F.concat("notes", note), "author": F.lit(None).cast("string")})
+    """Clears every metadata field and flag the documents have; the note names those that held something."""
+    names = [F.when(F.coalesce(F.col(c) != "", F.lit(False)), F.lit(c)) for c in FIELDS if c in df.columns]
+    names += [F.when(F.coalesce(F.col(c), F.lit(False)), F.lit(c)) for c in FLAGS if c in df.columns]
+    held = F.concat_ws(", ", *names)
+    return scrub_metadata(df.withColumn("notes", F.concat("notes", _note("metadata-scrubbed", held, held != ""))))
 
 
 def compress_tool(df: DataFrame, settings: dict) -> DataFrame:
-    """Expected size under the size model; a result that is not smaller keeps the original."""
+    """Fills ``n_bytes_estimate`` by the size model; nothing is compressed here, so ``n_bytes`` stays."""
     new = projected_bytes(F.col("n_bytes"), F.lit(float(settings["quality"]))).cast("bigint")
     choice = never_larger(F.col("n_bytes"), new, F.lit(True))
-    note = _note("kept-original", F.lit("compress: result not smaller"), choice == "original")
+    note = _note("kept-original", F.lit("compress: estimate not smaller"), choice == "original")
     return df.withColumns({
-        "n_bytes": F.when(choice == "result", new).otherwise(F.col("n_bytes")), "notes": F.concat("notes", note),
+        "n_bytes_estimate": F.when(choice == "result", new).otherwise(F.col("n_bytes")), "notes": F.concat("notes", note),
     })
 
 
+PAGE_BREAK = "\f"
+
+
+def _with_pages(df: DataFrame, pages: Column) -> DataFrame:
+    return df.withColumn("text", F.array_join(pages, PAGE_BREAK)).withColumn("n_bytes", F.octet_length("text").cast("bigint"))
+
+
 def header_footer_tool(df: DataFrame, settings: dict) -> DataFrame:
-    head, foot = settings["headerText"], settings["footerText"]
-    parts = [running_label(x, F.lit(1), F.lit(1)) for x in (head,) if x.strip()]
-    parts += [F.col("text")] + [running_label(x, F.lit(1), F.lit(1)) for x in (foot,) if x.strip()]
-    text = F.concat_ws("\n", *parts)
-    return df.withColumns({"text": text}).withColumn("n_bytes", F.octet_length("text").cast("bigint"))
+    """Labels on the pages in range; a text's pages are parted by form feeds."""
+    pages = F.split("text", PAGE_BREAK, -1)
+    spans = parse_page_range(settings.get("pageRange"))
+
+    def labelled(page: Column, i: Column) -> Column:
+        def label(template: str) -> list[Column]:
+            return [running_label(template, i + 1, F.size(pages))] if template.strip() else []
+
+        text = F.concat_ws("\n", *label(settings["headerText"]), page, *label(settings["footerText"]))
+        if spans is None:
+            return text
+        inside = F.lit(False)
+        for a, b in spans:
+            inside = inside | (i + 1).between(a, b)
+        return F.when(inside, text).otherwise(page)
+
+    return _with_pages(df, F.transform(pages, labelled))
+
+
+def nup_tool(df: DataFrame, settings: dict) -> DataFrame:
+    """Pages put together on sheets in the layout's order; a sheet is a page of what comes out."""
+    booklet, per = settings["layout"] == "booklet", 4 if settings["layout"] == "4-up" else 2
+    paged = df.withColumn("_pages", F.split("text", PAGE_BREAK, -1))
+    n = F.size("_pages")
+    total = (F.ceil(n / 4) * 4 if booklet else F.ceil(n / per) * per).cast("int")
+
+    def page_at(slot: Column) -> Column:
+        if booklet:
+            side = F.floor(slot / 2).cast("int")
+            near = (slot % 2 == 1) == (side % 2 == 0)
+            slot = F.when(near, side).otherwise(total - 1 - side)
+        return F.coalesce(F.get("_pages", slot), F.lit(""))
+
+    slots = F.transform(F.sequence(F.lit(0), total - 1), page_at)
+    filled = paged.withColumn("_slots", slots)
+    sheets = F.transform(
+        F.sequence(F.lit(0), (F.size("_slots") / per).cast("int") - 1),
+        lambda k: F.array_join(F.slice("_slots", k * per + 1, per), "\n"),
+    )
+    return _with_pages(filled, sheets).drop("_pages", "_slots")
 
 
 class Recipe:
@@ -156,13 +201,15 @@ class Recipe:
 
     Documents: doc_id, file, text, n_bytes and what else the tools need. A tool is any function
     (DataFrame, settings) → DataFrame that keeps one row per document; ``register`` adds one.
-    The whole recipe is one lazy plan; notes travel with their row and are split off at the end.
+    The whole recipe is one lazy plan; notes travel with their row and are split off at the end. Every
+    step that does not run is a note on every document.
     """
 
     def __init__(self, tools: list[str], settings: dict[str, dict] | None = None):
         self.tools, self.settings = tools, settings or {}
         self.known = {
-            "redact": redact_tool, "metadata": metadata_tool, "compress": compress_tool, "headerFooter": header_footer_tool,
+            "redact": redact_tool, "metadata": metadata_tool, "compress": compress_tool,
+            "headerFooter": header_footer_tool, "nup": nup_tool,
         }
 
     def register(self, name: str, tool) -> Recipe:
@@ -172,19 +219,24 @@ class Recipe:
     def run(self, docs: DataFrame, refused: Column | None = None) -> tuple[DataFrame, DataFrame]:
         """(outputs, notes). Documents with a refusal reason pass through as failed."""
         why = refused if refused is not None else F.lit(None).cast("string")
+        if "n_bytes_estimate" not in docs.columns:
+            docs = docs.withColumn("n_bytes_estimate", F.lit(None).cast("bigint"))
         df = docs.withColumn("error", why).withColumn(
             "notes", _note("failed", F.col("error"), F.col("error").isNotNull())
         )
         bad, good = df.filter(F.col("error").isNotNull()), df.filter(F.col("error").isNull())
         for name in self.tools:
             tool = self.known.get(name)
+            why_not = None
             if tool is None:
-                continue
-            if name in SETTINGS and name not in self.settings:
-                warning = _note("changed", F.lit(f"{name}: no settings, step left out"), F.lit(True))
-                good = good.withColumn("notes", F.concat("notes", warning))
-                continue
-            good = tool(good, self.settings.get(name))
+                why_not = "draws on pages" if name in SETTINGS else "unknown step"
+            elif name in SETTINGS and name not in self.settings:
+                why_not = "no settings"
+            if why_not is None:
+                good = tool(good, self.settings.get(name))
+            else:
+                left_out = _note("changed", F.lit(f"{name}: {why_not}, step left out"), F.lit(True))
+                good = good.withColumn("notes", F.concat("notes", left_out))
         out = good.select(*df.columns).unionByName(bad)
         notes = out.select("doc_id", "file", F.explode("notes").alias("n")).select("doc_id", "file", "n.kind", "n.detail")
         return out.drop("notes"), notes
