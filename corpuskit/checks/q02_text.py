@@ -1,5 +1,7 @@
 """Pages, patterns, redaction and search."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpuskit.checks import sqlparts as S
@@ -210,13 +212,32 @@ def _(t):
     return SE.classify_files(meta, files).select("doc_id", "state")
 
 
+@register("search_stored", f"WITH {_SEARCH} SELECT doc_id, page_no, snippet, score FROM res")
+def _(t):
+    """The index is written by token bucket and only the buckets of the query are read."""
+    path = f"{checkpoint_folder(t.spark)}/index-{uuid.uuid4().hex}"
+    SE.write_index(SE.build_index(pages_of(t)), path)
+    return SE.search(SE.stored_postings(t.spark, path, "the of and"), "the of and").select(
+        "doc_id", F.col("page_no").cast("bigint"), "snippet", "score"
+    )
+
+
 @register(
     "index_stats",
-    f"""WITH {S.PAGES}, p AS (SELECT doc_id, len(list_distinct({S.TOKENS})) AS n FROM pg)
-    SELECT count(DISTINCT doc_id) AS files_indexed, count(*) AS pages_indexed, sum(n)::BIGINT AS total_tokens, count(*) FILTER (n = 0) AS pages_without_text FROM p""",
+    f"""WITH {S.PAGES}, q AS (SELECT doc_id, CASE WHEN page_no % 5 = 3 AND doc_id % 3 <> 2 THEN '' ELSE text END AS text, CASE WHEN page_no % 5 = 3 THEN [NULL, 'failed', 'recognised'][doc_id % 3 + 1] END AS ocr FROM pg WHERE doc_id % 17 <> 3),
+    p AS (SELECT doc_id, ocr, len(list_distinct({S.TOKENS})) AS n FROM q)
+    SELECT count(DISTINCT doc_id) AS files_indexed, count(*) AS pages_indexed, sum(n)::BIGINT AS total_tokens, count(*) FILTER (n = 0) AS pages_without_text, (SELECT count(*) FROM documents WHERE doc_id % 17 = 3) AS files_skipped,
+      count(*) FILTER (n = 0 AND ocr IS NULL) AS pages_awaiting, count(*) FILTER (ocr = 'recognised') AS pages_recognised, count(*) FILTER (ocr = 'failed') AS pages_failed FROM p""",
 )
 def _(t):
-    return SE.index_stats(None, pages_of(t))
+    """Every fifth page is a scan: not tried yet, failed or recognised by its document."""
+    scan, third = F.col("page_no") % 5 == 3, F.col("doc_id") % 3
+    state = F.when(scan & (third == 1), "failed").when(scan & (third == 2), "recognised")
+    pages = pages_of(t).filter("doc_id % 17 <> 3").select(
+        "doc_id", F.when(scan & (third != 2), "").otherwise(F.col("text")).alias("text"), state.alias("ocr")
+    )
+    files = t.documents.select("doc_id", (F.col("doc_id") % 17 != 3).alias("readable"))
+    return SE.index_stats(pages, files)
 
 
 @register(

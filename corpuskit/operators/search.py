@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskit.functions.patterns import match_spans
@@ -42,6 +42,16 @@ def write_index(postings: DataFrame, path: str, buckets: int = 64) -> None:
     )
 
 
+def stored_postings(spark: SparkSession, path: str, query: str, buckets: int = 64) -> DataFrame:
+    """The postings of a query's tokens from a written index; only the buckets of these are read.
+
+    The bucket numbers are constants of the plan, so they prune folders before anything is listed.
+    """
+    tokens = query_tokens(query)
+    places = [F.pmod(F.xxhash64(F.lit(x)), F.lit(buckets)).cast("int") for x in tokens]
+    return spark.read.parquet(path).filter(F.col("bucket").isin(places) & F.col("token").isin(tokens))
+
+
 def query_tokens(query: str) -> list[str]:
     """Distinct tokens of a query, in order. A query is one short string, not data."""
     return list(dict.fromkeys(re.findall(r"[^\W_]+", query.strip().lower())))
@@ -130,14 +140,32 @@ def update_index(
     return kept.unionByName(fresh.select(*postings.columns))
 
 
-def index_stats(postings: DataFrame, pages: DataFrame, text: str = "text") -> DataFrame:
-    """One row: files and pages indexed, postings, pages without text."""
-    per_page = pages.select("doc_id", F.size(tokenize(F.col(text))).alias("n"))
-    return per_page.agg(
-        F.count_distinct("doc_id").alias("files_indexed"),
-        F.count(F.lit(1)).alias("pages_indexed"),
-        F.sum("n").alias("total_tokens"),
-        F.sum(F.when(F.col("n") == 0, 1).otherwise(0)).alias("pages_without_text"),
+def index_stats(pages: DataFrame, files: DataFrame, text: str = "text") -> DataFrame:
+    """One row about a folder and its index.
+
+    ``pages``: doc_id, text and ``ocr`` (recognised, failed or NULL); ``files``: doc_id, readable. Counts
+    the files and pages indexed and their tokens, files skipped as unreadable, and of the pages:
+    without text, still awaiting recognition (no text, not tried), recognised, failed.
+    """
+    kind = dict(pages.dtypes)["doc_id"]
+    n = F.size(tokenize(F.col(text)))
+    facts = pages.select(
+        "doc_id", n.alias("n"), F.lit(1).alias("page"), F.lit(0).alias("skipped"),
+        ((n == 0) & F.col("ocr").isNull()).cast("int").alias("awaiting"), "ocr",
+    ).unionByName(files.filter(~F.coalesce(F.col("readable"), F.lit(False))).select(
+        F.lit(None).cast(kind).alias("doc_id"), F.lit(0).alias("n"), F.lit(0).alias("page"), F.lit(1).alias("skipped"),
+        F.lit(0).alias("awaiting"), F.lit(None).cast("string").alias("ocr"),
+    ))
+
+    def total(c):
+        return F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+
+    return facts.agg(
+        F.count_distinct("doc_id").alias("files_indexed"), total("page").alias("pages_indexed"),
+        total("n").alias("total_tokens"), F.count_if((F.col("page") == 1) & (F.col("n") == 0)).alias("pages_without_text"),
+        total("skipped").alias("files_skipped"), total("awaiting").alias("pages_awaiting"),
+        F.count_if(F.col("ocr") == "recognised").alias("pages_recognised"),
+        F.count_if(F.col("ocr") == "failed").alias("pages_failed"),
     )
 
 

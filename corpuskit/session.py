@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -38,6 +40,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, where it is not installed on them."""
+    root = Path(__file__).resolve().parent
+    held = Path(tempfile.mkdtemp(prefix="spark-")) / "corpuskit.zip"
+    with zipfile.ZipFile(held, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    # Spark copies it from the driver to wherever tasks run
+    spark.sparkContext.addPyFile(str(held))
+
+
 def cut_lineage(df):
     """Checkpoint to the shared folder, so loops neither recompute nor depend on one executor."""
     sc = df.sparkSession.sparkContext

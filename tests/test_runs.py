@@ -94,3 +94,28 @@ def test_oracle(spark, name):
 
     state, note, _, _ = K.compare(spark, K.database("/root/testdata/sf0.001"), "/root/testdata/sf0.001", name)
     assert state == "ok", note
+
+
+def test_the_package_reaches_executors_that_lack_it(tmp_path):
+    """Another interpreter, in another folder, whose workers find the package only if it is shipped."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[1])
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").getOrCreate()
+sys.path.remove({root!r})
+from corpuskit.session import ship_package
+ship_package(spark)
+from corpuskit.operators.sentences import sentences
+print("ROWS", sentences(spark.createDataFrame([(1, "One. Two.")], "doc_id int, text string")).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    code = code.replace(f"sys.path.remove({root!r})\nfrom corpuskit.session", "from corpuskit.session")
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "ROWS 2" in out.stdout, out.stderr[-2000:]
