@@ -74,35 +74,39 @@ def residual_check(
 ) -> DataFrame:
     """Which needles still occur in which outputs, ignoring case: (needle_id, *id_cols).
 
-    A needle can only occur where one of its inner words occurs, so candidates come from an
-    equi-join on the longest inner word; the text itself then decides. Needles without an inner
-    word meet the texts by their first three characters, which any occurrence contains.
-    ``raw_stream`` also looks for the wide and hex spellings.
+    A needle can only occur where each of its inner words occurs, so candidates come from an
+    equi-join on its rarest inner word, by how many outputs hold the word; the text itself then
+    decides. Needles without an inner word meet the texts by their first three characters, which
+    any occurrence contains. ``raw_stream`` also looks for the wide and hex spellings.
     """
     low = F.lower(F.col(needle))
     forms = needle_spellings(F.col(needle)) if raw_stream else F.array(low)
     spelled = (
         needles.filter(F.length(needle) > 0)
         .select(F.col(needle_id).alias("_nid"), F.explode(forms).alias("_form"))
-        .distinct()
+        .filter("_form <> ''").distinct()
     )
     words = all_tokens(F.col("_form"))
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    anchored = spelled.withColumn("_anchor", longest["w"])
-    by_word = anchored.filter(F.col("_anchor").isNotNull())
-    by_gram = spelled.join(by_word.select("_nid", "_form"), ["_nid", "_form"], "left_anti")
+    inner = F.array_distinct(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))))
+    named = spelled.withColumn("_words", inner)
+    wanted = named.select("_nid", "_form", F.explode("_words").alias("_anchor"))
 
     body = outputs.select(*id_cols, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
     tokens = body.select(*id_cols, F.explode(F.array_distinct(all_tokens(F.col("_low")))).alias("_anchor"))
-    pairs = tokens.join(by_word, "_anchor").select("_nid", "_form", *id_cols)
-    if not by_gram.isEmpty():
-        grams = by_gram.withColumn("_anchor", F.substring("_form", 1, 3))
-        cut = F.concat(*[_grams(F.col("_letters"), n) for n in (1, 2, 3)])
-        spread = body.withColumn("_letters", chars(F.col("_low"))).select(
-            *id_cols, F.explode(F.array_distinct(cut)).alias("_anchor")
-        )
-        pairs = pairs.unionByName(spread.join(grams, "_anchor").select("_nid", "_form", *id_cols))
+    held = tokens.join(wanted.select("_anchor").distinct(), "_anchor", "left_semi")
+    spread = held.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_n"))
+    # a word that no output holds comes first and finds nothing, as it should
+    rarest = wanted.join(spread, "_anchor", "left").groupBy("_nid", "_form").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_anchor").alias("word"))).alias("_r")
+    ).select("_nid", "_form", F.col("_r.word").alias("_anchor"))
+    pairs = held.join(rarest, "_anchor").select("_nid", "_form", *id_cols)
+
+    short = named.filter(F.size("_words") == 0).select("_nid", "_form", F.substring("_form", 1, 3).alias("_anchor"))
+    cut = F.concat(*[_grams(F.col("_letters"), n) for n in (1, 2, 3)])
+    pieces = body.withColumn("_letters", chars(F.col("_low"))).select(
+        *id_cols, F.explode(F.array_distinct(cut)).alias("_anchor")
+    )
+    pairs = pairs.unionByName(pieces.join(short, "_anchor").select("_nid", "_form", *id_cols))
     return (
         pairs.join(body, id_cols)
         .filter(F.contains(F.col("_low"), F.col("_form")))
