@@ -27,7 +27,20 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@_query("op4_quality_rules")
+_OP4 = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+  w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+  g AS (SELECT rid, i, array_to_string(ws[i:i + 4], ' ') AS five FROM w, unnest(range(1, len(ws) - 3)) u(i)),
+  r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY rid, five) AS c FROM g) WHERE c > 1) GROUP BY rid),
+  m AS (SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (rid)),
+  b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+  h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed)::DOUBLE AS k FROM b WHERE source IS NOT NULL GROUP BY source),
+  q AS (SELECT sum(k) / sum(n) AS mean, sum(k * k / n) / sum(n) - (sum(k) / sum(n)) ** 2 - sum(k) / sum(n) * (1 - sum(k) / sum(n)) * count(*) / sum(n) AS v FROM h),
+  x AS (SELECT source, CASE WHEN v > 0 THEN (k + mean * greatest(mean * (1 - mean) / v - 1, 1e-6)) / (n + greatest(mean * (1 - mean) / v - 1, 1e-6)) ELSE mean END > 0.5 AS bad FROM h, q)
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(bad, false) AS kept FROM b LEFT JOIN x USING (source)"""
+
+
+@_query("op4_quality_rules", _OP4)
 def op4(spark, folder):
     docs = _table(spark, folder, "documents")
     return quality.judge(docs, keep=["doc_id"]).select("doc_id", *quality.MEASURES, "base_failed", "kept")
@@ -43,9 +56,26 @@ def op8(spark, folder):
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
-@_query("op10_decontaminate")
+def _words_sql(c: str) -> str:
+    low = f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+_OP10 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_words_sql("coalesce(text, '')")} AS ws FROM documents),
+  b AS (SELECT item_id, ws, least(10, len(ws)) AS k FROM (SELECT item_id, {_words_sql("coalesce(text, '')")} AS ws FROM benchmark) WHERE len(ws) > 0),
+  bw AS (SELECT DISTINCT item_id, k, array_to_string(ws[i:i + k - 1], ' ') AS win FROM b, unnest(range(1, len(ws) - k + 2)) u(i)),
+  dw AS (SELECT rid, i, k, array_to_string(ws[i:i + k - 1], ' ') AS win FROM d, (SELECT DISTINCT k FROM b), unnest(range(1, len(ws) - k + 2)) u(i)),
+  hit AS (SELECT rid, i, k, item_id FROM dw JOIN bw USING (k, win)),
+  pos AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM hit) GROUP BY rid),
+  its AS (SELECT rid, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(item_id::VARCHAR))), ',') AS s FROM hit GROUP BY rid)
+  SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+  FROM d LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)"""
+
+
+@_query("op10_decontaminate", _OP10)
 def op10(spark, folder):
-    return decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    found = decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.drop("matches")
 
 
 @_query("op1_html_extraction")
@@ -73,7 +103,18 @@ def op7(spark, folder):
     return pii.personal_data(_table(spark, folder, "documents"))
 
 
-@_query("op9_line_dedup")
+_OP9 = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, md5(text) AS k, string_split(text, chr(10)) AS ls FROM documents),
+  f AS (SELECT rid, doc_id, k, list_filter(list_transform(range(1, len(ls) + 1), lambda i: {'pos': i, 'w': len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')), 't': regexp_replace(ls[i], '^[ \t\x0b\x0c\r]+|[ \t\x0b\x0c\r]+$', '', 'g')}), lambda x: x.w > 0) AS fl FROM d),
+  g AS (SELECT rid, doc_id, k, fl, i, list_min(list_filter(range(1, 51), lambda n: i + n - 1 <= len(fl) AND list_sum(list_transform(fl[i:i + n - 1], lambda x: x.w)) >= 50)) AS n FROM f, unnest(range(1, len(fl) + 1)) u(i)),
+  p AS (SELECT rid, doc_id, k, fl[i].pos AS first, fl[i + n - 1].pos AS last, array_to_string(list_transform(fl[i:i + n - 1], lambda x: x.t), chr(10)) AS body FROM g WHERE n IS NOT NULL),
+  o AS (SELECT body, arg_min({'doc_id': doc_id, 'k': k, 'first': first, 'last': last}, (doc_id IS NULL, doc_id, k, first)) AS o FROM p GROUP BY body),
+  l AS (SELECT DISTINCT rid, unnest(range(first, last + 1)) AS pos FROM p JOIN o USING (body) WHERE NOT (p.doc_id IS NOT DISTINCT FROM o.o.doc_id AND p.k = o.o.k) OR p.first > o.o.last),
+  z AS (SELECT rid, list(pos) AS gone FROM l GROUP BY rid)
+  SELECT doc_id, t AS text, n_removed, length(t)::BIGINT AS n_chars FROM (SELECT doc_id, coalesce(len(gone), 0)::BIGINT AS n_removed,
+    CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(gone, i)), lambda i: ls[i]), chr(10)) END AS t FROM d LEFT JOIN z USING (rid))"""
+
+
+@_query("op9_line_dedup", _OP9)
 def op9(spark, folder):
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("bigint"))
