@@ -94,7 +94,7 @@ def _(t):
       'The formulas refer to each other in a loop (a → b → a).' AS loop_error, 'Field "l_returnflag" is not a number ("' || l_returnflag || '").' AS text_error, 'There is no field named "nowhere".' AS unknown_error FROM lineitem""",
 )
 def _(t):
-    out = with_formulas(t.lineitem, {
+    out = with_formulas(SRC.spread(t.lineitem), {
         "quarter": "net / 4 + -2.5", "net": "[l_extendedprice] * (1 - l_discount)", "ratio": "l_quantity / l_tax",
         "a": "b + 1", "b": "a * 2", "word": "l_returnflag + 1", "lost": "nowhere + 1",
     })

@@ -144,8 +144,10 @@ def list_field_value(values: Column) -> tuple[Column, Column]:
 
 def plain_decimal(c: Column, places: int) -> Column:
     """Decimal text with at most ``places`` digits and no trailing zeros or point."""
-    text = F.format_string(f"%.{places}f", c.cast("double"))
-    return rx_replace(rx_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    # decimals hold everything below 10^(38 - places); the few numbers beyond are formatted
+    exact = c.cast("double").try_cast(f"decimal(38,{places})").cast("string")
+    text = F.coalesce(exact, F.format_string(f"%.{places}f", c.cast("double")))
+    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit(".")) if places else text
 
 
 def format_formula_number(c: Column) -> Column:
