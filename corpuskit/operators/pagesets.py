@@ -68,18 +68,22 @@ def moved_pages(matched: DataFrame) -> DataFrame:
     judged = j.withColumn("_settled", settled).select(*matched.columns, "_settled")
     quiet = judged.filter("_settled").select(*matched.columns, F.lit(False).alias("moved"))
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        pdf["moved"] = _outside_longest_run(pdf["before_pos"].tolist())
-        return pdf
+    @F.pandas_udf("array<boolean>")
+    def outside(stretches: pd.Series) -> pd.Series:
+        return stretches.map(lambda v: _outside_longest_run(list(v)))
 
-    # settled pages cut a document into stretches that do not influence each other
+    # settled pages cut a document into stretches that do not influence each other; each is one
+    # array, so a batch holds many of them
     stretch = running_sums(judged, ["doc_id"], "pos", {"_stretch": F.col("_settled").cast("bigint")})
-    busy = stretch.filter(~F.col("_settled")).drop("_settled")
-    schema = busy.select(*matched.columns, "_stretch").schema
-    schema = schema.add("moved", "boolean")
-    out = busy.select(*matched.columns, "_stretch").groupBy("doc_id", "_stretch").applyInPandas(kernel, schema)
-    return quiet.unionByName(out.drop("_stretch"))
+    rest = [c for c in matched.columns if c not in ("doc_id", "pos")]
+    busy = stretch.filter(~F.col("_settled")).groupBy("doc_id", "_stretch").agg(
+        F.array_sort(F.collect_list(F.struct("pos", *rest))).alias("_pages")
+    )
+    flagged = busy.select("doc_id", "_pages", outside(F.transform("_pages", lambda x: x["before_pos"])).alias("_out"))
+    out = flagged.select("doc_id", F.explode(F.arrays_zip("_pages", "_out")).alias("_x")).select(
+        "doc_id", "_x._pages.*", F.col("_x._out").alias("moved")
+    )
+    return quiet.unionByName(out)
 
 
 def align_pages(baseline: DataFrame, current: DataFrame) -> DataFrame:
