@@ -250,3 +250,60 @@ def test_html_lists_of_any_depth(spark):
     rows = H.html_blocks(df, max_depth=8).collect()
     assert [r.text for r in rows if r.kind == "note"] == ["lists deeper than 8 levels are shown at that depth"]
     assert max(r.depth for r in H.html_blocks(df).collect()) == 4999
+
+
+def test_reorder_needs_a_permutation(spark):
+    from corpuskit.operators.sequence import reorder_pages
+
+    pages = spark.createDataFrame([(d, f"k{i}", i) for d in range(4) for i in range(4)], "doc_id int, page_key string, pos long")
+    targets = {0: [3, 2, 1, 0], 1: [0, 0, 3, 3], 2: [1, 2, 3, 4], 3: [0, 1, 2, None]}
+    order = spark.createDataFrame(
+        [(d, f"k{i}", t) for d, ts in targets.items() for i, t in enumerate(ts) if t is not None], "doc_id int, page_key string, new_pos long"
+    )
+    got = {(r.doc_id, r.page_key): (r.pos, r.applied) for r in reorder_pages(pages, order).collect()}
+    assert len(got) == 16
+    assert [got[0, f"k{i}"] for i in range(4)] == [(3 - i, True) for i in range(4)]
+    assert all(got[d, f"k{i}"] == (i, False) for d in (1, 2, 3) for i in range(4))
+    twice = spark.createDataFrame([(0, "k0", 0), (0, "k0", 1), (0, "k1", 2), (0, "k2", 3)], order.schema)
+    assert reorder_pages(pages.filter("doc_id = 0"), twice).count() == 4
+
+
+def test_free_names_never_meet(spark):
+    from corpuskit.operators.unique_names import free_names
+
+    wanted = spark.createDataFrame(
+        [("f", n, i) for i, n in enumerate(["a.pdf", "a.pdf", "a (1).pdf", "A.PDF", ".pdf", ".pdf", "b (12345678901).pdf"])],
+        "folder string, name string, pos long",
+    )
+    have = spark.createDataFrame([("f", "A (2).pdf"), ("g", "a.pdf")], "folder string, name string")
+    got = [r.free_name for r in sorted(free_names(wanted, have).collect(), key=lambda r: r.pos)]
+    assert got == ["a.pdf", "a (3).pdf", "a (1).pdf", "A (4).PDF", ".pdf", ".pdf (1)", "b (12345678901).pdf"]
+    assert len({n.lower() for n in got}) == len(got)
+
+
+def test_redaction_is_undecided_where_pages_cannot_be_read(spark):
+    from corpuskit.operators.redact import verification_summary, verify_redaction
+
+    out = spark.createDataFrame(
+        [(1, 0, "clean"), (1, 1, None), (2, 0, "clean"), (3, 0, "\x00s\x00e\x00c"), (4, 0, "x 5365C3 y".lower()), (5, 0, None), (5, 1, "Sec")],
+        "doc_id int, page_no int, text string",
+    )
+    marks = spark.createDataFrame(
+        [(d, 0, 0, "word", "Sec") for d in (1, 2, 3, 5)] + [(4, 0, 0, "word", "Seé".replace("é", "Ã"))],
+        "doc_id int, page_no int, start int, category string, hit string",
+    )
+    got = {r.doc_id: (r["pass"], r.state) for r in verify_redaction(out, marks).collect()}
+    assert got == {1: (False, "undecided"), 2: (True, "removed"), 3: (False, "left"), 4: (False, "left"), 5: (False, "left")}
+    sums = {r.doc_id: (r.verified, r.undecided) for r in verification_summary(verify_redaction(out, marks)).collect()}
+    assert sums[1] == (False, 1) and sums[2] == (True, 0)
+
+
+def test_search_limits_and_session_ties(spark):
+    from corpuskit.streaming import edits as E
+
+    posts = SE.build_index(spark.createDataFrame([(1, 0, "the cat"), (2, 0, "the dog")], "doc_id int, page_no int, text string"))
+    assert SE.search(posts, "the", limit=0).count() == 0 and SE.search(posts, "the", limit=1).count() == 1
+    rows = [(1, i, 1_700_000_000 + s) for i, s in enumerate([0, 5, 5, 5, 100, 100, 101])]
+    events = spark.createDataFrame(rows, "doc_id int, event_id int, s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = {(r.event_id, r.session_no) for r in E.sessions(events, "doc_id", 10).collect()}
+    assert got == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 1), (5, 1), (6, 1)}
