@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuskit.llm.common import fresh, map_batches, quoted, stored, text_key, word_blocks
+from corpuskit.llm.common import map_batches, quoted, stored, word_blocks
+from corpuskit.llm.near_copies import keep_one  # noqa: F401  (its rows need no two-bit links)
 
 SHINGLE = 3
 SEED = 42
@@ -153,33 +154,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return with_components(prints).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without near-duplicates: of each component the row of the smallest id stays.
-
-    Rows of a null id stay only if no row of their component has an id, and then one of them does.
-    Among rows of one id, and among rows without one, the smallest text key decides, then chance
-    between rows that are alike in both.
-    """
-    key = fresh(docs, "_text_key")
-    slim = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text")).withColumn("key", text_key("text"))
-    prints = stored(with_fingerprint(slim, "text", ["doc_id", "key"]), "fingerprints")
-    per_print = stored(prints.groupBy(F.col("fingerprint").alias("fp")).agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")).alias("first")
-    ), "prints")
-    roots = components(near_links(per_print.select("fp")), "fp", "hub")
-    stay = per_print.join(roots, per_print["fp"] == roots["u"], "left").groupBy(
-        F.coalesce("v", "fp").alias("root")
-    ).agg(F.min("first").alias("first")).select("first.doc_id", "first.key").distinct()
-    wanted = stay.select(F.col("doc_id").alias("_stay_id"), F.col("key").alias("_stay_key"))
-    keyed = docs.withColumn(key, text_key(text))
-    kept = keyed.join(
-        wanted, keyed[f"`{doc_id}`"].eqNullSafe(wanted["_stay_id"]) & (keyed[f"`{key}`"] == wanted["_stay_key"]),
-        "left_semi",
-    )
-    rank = fresh(kept, "_rank")
-    alike = Window.partitionBy(quoted(doc_id), quoted(key)).orderBy(F.lit(1))
-    return kept.withColumn(rank, F.row_number().over(alike)).filter(quoted(rank) == 1).select(
-        *[quoted(c) for c in docs.columns]
-    )
