@@ -119,3 +119,26 @@ print("ROWS", sentences(spark.createDataFrame([(1, "One. Two.")], "doc_id int, t
     code = code.replace(f"sys.path.remove({root!r})\nfrom corpuskit.session", "from corpuskit.session")
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert "ROWS 2" in out.stdout, out.stderr[-2000:]
+
+
+def test_diff_long_pairs_keeps_documents_apart(spark, monkeypatch, tmp_path):
+    """No pair holds more than one document, and a very long document is one pair."""
+    from corpuskit.checks import load
+    from corpuskit.checks import q04_sizes as Q
+
+    docs = [(i, " ".join(f"w{i}_{k}" for k in range(7 + i))) for i in range(30)]
+    docs += [(30, " ".join(f"v{k % 5000}" for k in range(60_000))), (31, ""), (32, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    real, whole = Q.C.diff_pairs, []
+    monkeypatch.setattr(Q.C, "diff_pairs", lambda pairs: whole.append(pairs) or real(pairs))
+    got = {r.pair_id: (r.n_equal, r.n_insert, r.n_delete) for r in load().QUERIES["diff_long_pairs"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, text in docs:
+        n = len((text or "").split())
+        gone = len(range(1, n, 3))
+        if n:
+            e, s, d = want.get(i % 7, (0, 0, 0))
+            want[i % 7] = (e + n - gone, s, d + gone)
+    assert got == want
+    sides = sorted(len((r.old or "").split()) for r in whole[0].collect())
+    assert sides == sorted(len((text or "").split()) for _, text in docs)
