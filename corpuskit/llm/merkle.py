@@ -73,7 +73,7 @@ def fold(node: Column, path: Column) -> Column:
 
 
 def numbered(nodes: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """Add ``pos``, a row's place (from 0) in its group by ``order``, and ``total``, the group's rows.
+    """Add ``pos``, a row's place (from 0) in its group by ``order``, ``total``, the group's rows, and ``row``, a number of its own.
 
     ``order`` should tell all rows apart, so that equal ones can be dealt to several partitions.
     """
@@ -90,7 +90,7 @@ def numbered(nodes: DataFrame, group: str, order: list[str]) -> DataFrame:
         F.sum("n").over(whole).alias("total"),
     )
     return placed.join(starts, [group, "part"]).withColumn("pos", F.col("row") + F.col("shift")).drop(
-        "row", "part", "shift"
+        "part", "shift"
     )
 
 
@@ -117,36 +117,52 @@ def _blocks(nodes: DataFrame, extra: list[str], done: int) -> DataFrame:
     return out.withColumnRenamed(f"level{STEPS}", "h")
 
 
-def tree(nodes: DataFrame, extra: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(blocks, roots) of the trees over ``nodes`` (grp, pos, total, h and ``extra`` columns).
+def _ended(i: int) -> Column:
+    """Whether a block of round ``i`` is the top of its group's tree."""
+    return F.col("depth") <= STEPS * (i + 1)
 
-    ``blocks`` are the lowest ones, with ``above``: the flanks on the way from the block to its group's
-    root. ``roots`` has grp and h. ``nodes`` are read once.
+
+def tree(nodes: DataFrame, extra: list[str]) -> tuple[list[DataFrame], DataFrame]:
+    """(rounds, roots) of the trees over ``nodes`` (grp, pos, total, h and ``extra`` columns).
+
+    Each round has the blocks of one stage of the climb, the first one the ``nodes``; ``roots`` has grp
+    and h. ``nodes`` are read once.
     """
     level = nodes.withColumn("depth", _depth(F.col("total")))
     rounds: list[DataFrame] = []
-    while True:
-        done = STEPS * len(rounds)
-        rounds.append(stored(_blocks(level, extra if not rounds else [], done), "blocks"))
-        done += STEPS
-        level = rounds[-1].filter(F.col("depth") > done).select("grp", F.col("block").alias("pos"), "h", "depth")
-        # the number of rounds is the depth of the largest group; one number comes here
-        if level.isEmpty():
-            break
     roots: DataFrame | None = None
-    for i, r in enumerate(rounds):
-        ended = r.filter(F.col("depth") <= STEPS * (i + 1)).select("grp", "h")
+    while True:
+        i = len(rounds)
+        rounds.append(stored(_blocks(level, extra if not rounds else [], STEPS * i), "blocks"))
+        ended = rounds[-1].filter(_ended(i)).select("grp", "h")
         roots = ended if roots is None else roots.union(ended)
-    none = F.array().cast("array<struct<left:string,right:string>>")
-    above = rounds[-1].withColumn("above", none)
-    for r in reversed(rounds[:-1]):
-        kids = above.select("grp", F.inline(F.transform(
-            F.sequence(F.lit(0), F.size("nodes") - 1), lambda i: F.struct(
-                (F.col("block") * BLOCK + i).alias("block"), F.concat(_path(i), F.col("above")).alias("above"),
-            )
-        )))
-        above = r.join(kids, ["grp", "block"], "left").withColumn("above", F.coalesce("above", none))
-    return above, roots
+        level = rounds[-1].filter(~_ended(i)).select("grp", F.col("block").alias("pos"), "h", "depth")
+        # the number of rounds is the depth of the largest group; one row at most comes here
+        if level.isEmpty():
+            return rounds, roots
+
+
+def _kids(blocks: DataFrame, made) -> DataFrame:
+    """A row per node of each block: the struct that ``made`` gives for a node's place, and the block's root columns."""
+    return blocks.select("subroot", "root", F.inline(F.transform(F.sequence(F.lit(0), F.size("nodes") - 1), made)))
+
+
+def descended(rounds: list[DataFrame], over: DataFrame) -> DataFrame:
+    """The lowest blocks with ``above``, ``subroot`` and ``root``.
+
+    ``over`` has these per grp; ``above`` are the flanks from there up. It only joins the one top block of
+    each group, and what it adds goes down block by block, so a group of any size stays spread.
+    """
+    above: DataFrame | None = None
+    for i, r in reversed(list(enumerate(rounds))):
+        now = r.filter(_ended(i)).join(over, "grp")
+        if above is not None:
+            kids = _kids(above, lambda at: F.struct(
+                F.col("grp"), (F.col("block") * BLOCK + at).alias("block"), F.concat(_path(at), F.col("above")).alias("above"),
+            ))
+            now = now.unionByName(r.join(kids, ["grp", "block"]))
+        above = now
+    return above
 
 
 def manifest(docs: DataFrame, fields: list[str], group: str, order: str, changed: dict[str, Column], when: Column) -> DataFrame:
@@ -167,21 +183,19 @@ def manifest(docs: DataFrame, fields: list[str], group: str, order: str, changed
         quoted(order).alias("id"), plain.alias("h"), F.when(when, altered).alias("other"),
         F.monotonically_increasing_id().alias("nth"),
     ), "leaves")
-    low, roots = tree(numbered(leaves, "grp", ["id", "h", "nth"]).drop("nth"), ["id", "other"])
+    rounds, roots = tree(numbered(leaves, "grp", ["id", "h", "nth"]).drop("nth", "row"), ["id", "other"])
     tops = numbered(stored(roots.select(F.lit("").alias("grp"), F.col("grp").alias("id"), "h"), "roots"), "grp", ["id"])
-    top, root = tree(tops, ["id"])
-    over = top.join(root.select("grp", F.col("h").alias("root")), "grp").select("root", F.inline(F.transform(
-        F.sequence(F.lit(0), F.size("nodes") - 1), lambda i: F.struct(
-            F.col("nodes")[i]["id"].alias("grp"), F.col("nodes")[i]["h"].alias("subroot"),
-            F.concat(_path(i), F.col("above")).alias("top"),
-        )
-    )))
-    rows = low.join(over, "grp").select("subroot", "root", F.inline(F.transform(
-        F.sequence(F.lit(0), F.size("nodes") - 1), lambda i: F.struct(
-            F.col("nodes")[i]["id"].alias("id"), F.col("nodes")[i]["h"].alias("leaf"),
-            F.col("nodes")[i]["other"].alias("other"), F.concat(_path(i), F.col("above"), F.col("top")).alias("path"),
-        )
-    )))
+    top_rounds, root = tree(tops.drop("row"), ["id"])
+    none = F.array().cast("array<struct<left:string,right:string>>")
+    top = descended(top_rounds, root.select("grp", F.lit("").alias("subroot"), F.col("h").alias("root"), none.alias("above")))
+    over = _kids(top, lambda at: F.struct(
+        F.col("nodes")[at]["id"].alias("grp"), F.col("nodes")[at]["h"].alias("own"),
+        F.concat(_path(at), F.col("above")).alias("above"),
+    )).select("grp", F.col("own").alias("subroot"), "root", "above")
+    rows = _kids(descended(rounds, over), lambda at: F.struct(
+        F.col("nodes")[at]["id"].alias("id"), F.col("nodes")[at]["h"].alias("leaf"), F.col("nodes")[at]["other"].alias("other"),
+        F.concat(_path(at), F.col("above")).alias("path"),
+    ))
     folded = rows.withColumn("folded_root", fold(F.coalesce("other", "leaf"), F.col("path")))
     return folded.select(
         F.col("id").alias(order), "leaf", "subroot", "root", proof(F.col("path")).alias("proof_sha256"), "folded_root",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import bpe, counts, decontaminate, html_text, language, lines, merkle, packing, pii, quality, simhash
+from corpuskit.llm import bpe, counts, decontaminate, html_text, language, lines, merkle, packing, phrases, pii, quality, simhash, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -169,3 +169,38 @@ _OP11 = f"""WITH d AS (SELECT doc_id, coalesce('.' || lang, '') AS g, {_h(*_LEAF
 @_query("op11_merkle_manifest", _OP11)
 def op11(spark, folder):
     return merkle.documents_manifest(_table(spark, folder, "documents"))
+
+
+_OP12 = r"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+  p AS (SELECT lang, regexp_extract_all(unnest(ps), '[^\x20\x09]+') AS ws FROM d),
+  g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM p, unnest(range(1, 6)) x(k), unnest(range(1, len(ws) - k + 2)) u(i)),
+  f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+  t AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+  c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND a >= 100),
+  s AS (SELECT c.lang, c.k, c.phrase, c.a, x.a AS l, y.a AS r, n, (1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a) AS score, i
+    FROM c CROSS JOIN unnest(range(1, 5)) u(i) JOIN t ON t.lang = c.lang
+    JOIN f x ON x.lang = c.lang AND x.k = i AND x.phrase = array_to_string(ws[1:i], ' ')
+    JOIN f y ON y.lang = c.lang AND y.k = c.k - i AND y.phrase = array_to_string(ws[i + 1:], ' ') WHERE i < c.k),
+  b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+  o AS (SELECT lang, array_to_string(ws[i:i + j - 1], ' ') AS phrase, max(a) AS more FROM c, unnest(range(2, 5)) x(j), unnest(range(1, 5)) u(i) WHERE j < k AND i + j - 1 <= k GROUP BY 1, 2),
+  z AS (SELECT b.* FROM b LEFT JOIN o USING (lang, phrase) WHERE more IS NULL OR 100 * more < 100 * b.a),
+  q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM z)
+  SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM q WHERE rank <= 2000"""
+
+
+@_query("op12_phrase_mining", _OP12)
+def op12(spark, folder):
+    return phrases.collocations(_table(spark, folder, "documents"))
+
+
+_OP13 = """WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, label, CASE WHEN list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) THEN embedding::DOUBLE[] END AS e FROM embeddings),
+  k AS (SELECT a.rid AS a, b.rid AS b FROM v a JOIN v b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+  r AS (SELECT rid AS a, rid AS b FROM v UNION SELECT r.a, k.b FROM r JOIN k ON r.b = k.a),
+  c AS (SELECT r.a, min(v.vec_id) AS component_id FROM r JOIN v ON v.rid = r.b GROUP BY r.a),
+  n AS (SELECT a, count(*) AS n_links FROM k GROUP BY a)
+  SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN c ON c.a = v.rid LEFT JOIN n ON n.a = v.rid"""
+
+
+@_query("op13_embedding_dedup", _OP13)
+def op13(spark, folder):
+    return vectors.near_vectors(_table(spark, folder, "embeddings"))
