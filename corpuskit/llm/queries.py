@@ -172,15 +172,17 @@ def op11(spark, folder):
 
 
 _OP12 = r"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
-  p AS (SELECT lang, regexp_extract_all(unnest(ps), '[^\x20\x09]+') AS ws FROM d),
-  g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM p, unnest(range(1, 6)) x(k), unnest(range(1, len(ws) - k + 2)) u(i)),
-  f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+  p AS (SELECT row_number() OVER () AS pid, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(ps) AS piece FROM d)),
+  w AS (SELECT pid, lang, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM p),
+  e AS (SELECT lang, word AS w1, lead(word, 1) OVER x AS w2, lead(word, 2) OVER x AS w3, lead(word, 3) OVER x AS w4, lead(word, 4) OVER x AS w5 FROM w WINDOW x AS (PARTITION BY pid ORDER BY i)),
+  g AS (SELECT lang, unnest([1, 2, 3, 4, 5]) AS k, unnest([w1, w1 || ' ' || w2, w1 || ' ' || w2 || ' ' || w3, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5]) AS phrase FROM e),
+  f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g WHERE phrase IS NOT NULL GROUP BY lang, k, phrase),
   t AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
   c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND a >= 100),
-  s AS (SELECT c.lang, c.k, c.phrase, c.a, x.a AS l, y.a AS r, n, (1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a) AS score, i
-    FROM c CROSS JOIN unnest(range(1, 5)) u(i) JOIN t ON t.lang = c.lang
-    JOIN f x ON x.lang = c.lang AND x.k = i AND x.phrase = array_to_string(ws[1:i], ' ')
-    JOIN f y ON y.lang = c.lang AND y.k = c.k - i AND y.phrase = array_to_string(ws[i + 1:], ' ') WHERE i < c.k),
+  y AS MATERIALIZED (SELECT lang, phrase, a, i, array_to_string(ws[1:i], ' ') AS p1, array_to_string(ws[i + 1:], ' ') AS p2 FROM (SELECT *, unnest([1, 2, 3, 4]) AS i FROM c) WHERE i < k),
+  x AS MATERIALIZED (SELECT lang, phrase, a FROM f WHERE a >= 100),
+  s AS (SELECT y.lang, y.phrase, y.a, x1.a AS l, x2.a AS r, n, (1000::HUGEINT * y.a * n) // (x1.a::HUGEINT * x2.a) AS score, i
+    FROM y JOIN x x1 ON x1.lang = y.lang AND x1.phrase = p1 JOIN x x2 ON x2.lang = y.lang AND x2.phrase = p2 JOIN t ON t.lang = y.lang),
   b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
   o AS (SELECT lang, array_to_string(ws[i:i + j - 1], ' ') AS phrase, max(a) AS more FROM c, unnest(range(2, 5)) x(j), unnest(range(1, 5)) u(i) WHERE j < k AND i + j - 1 <= k GROUP BY 1, 2),
   z AS (SELECT b.* FROM b LEFT JOIN o USING (lang, phrase) WHERE more IS NULL OR 100 * more < 100 * b.a),
