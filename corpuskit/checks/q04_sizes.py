@@ -7,6 +7,7 @@ from corpuskit.checks.q02_text import pages_of
 from corpuskit.checks.q03_sequences import dp
 from corpuskit.checks.registry import register
 from corpuskit.operators import compare as C
+from corpuskit.operators import long_diff as LD
 from corpuskit.operators import metadata as M
 from corpuskit.operators import pages as PG
 from corpuskit.operators import sizing as Z
@@ -407,15 +408,27 @@ def _(t):
     """Each whole document against itself without every third word, counted over seven groups of documents."""
     w = t.documents.select("doc_id", C.words(F.col("text")).alias("w"))
     less = F.filter("w", lambda x, i: i % 3 != 1)
-    whole = w.select(F.col("doc_id").alias("pair_id"), F.array_join("w", " ").alias("old"), F.array_join(less, " ").alias("new"))
+    return _long_counts(w.select(F.col("doc_id").alias("pair_id"), F.array_join("w", " ").alias("old"), F.array_join(less, " ").alias("new")))
 
+
+def _long_counts(pairs):
     def n(op):
         return F.size(F.filter("chunks", lambda c: c["op"] == op)).cast("bigint")
 
-    each = C.diff_pairs(whole).select((F.col("pair_id") % 7).alias("pair_id"), *[n(op).alias(f"n_{op}") for op in ("equal", "insert", "delete")])
-    # the twin has no row for a group without any word
-    some = each.filter("n_equal + n_insert + n_delete > 0")
-    return some.groupBy("pair_id").agg(*[F.sum(f"n_{op}").alias(f"n_{op}") for op in ("equal", "insert", "delete")])
+    per = LD.diff_long(pairs).select((F.col("pair_id") % 7).alias("pair_id"), *[n(op).alias(f"n_{op}") for op in ("equal", "insert", "delete")])
+    return per.groupBy("pair_id").agg(*[F.sum(f"n_{op}").alias(f"n_{op}") for op in ("equal", "insert", "delete")])
+
+
+@register(
+    "diff_edited_pairs",
+    f"""WITH {_LONG}, x AS (SELECT pair_id, i % 89 = 0 AS changed FROM (SELECT pair_id, unnest(range(1, len(w) + 1)) AS i FROM p))
+    SELECT pair_id, count(*) FILTER (NOT changed) AS n_equal, count(*) FILTER (changed) AS n_insert, count(*) FILTER (changed) AS n_delete FROM x GROUP BY pair_id""",
+)
+def _(t):
+    """Each whole document against itself with a word of its own in every 89th place."""
+    w = t.documents.select("doc_id", C.words(F.col("text")).alias("w"))
+    new = F.transform("w", lambda x, i: F.when((i + 1) % 89 == 0, F.concat(F.lit("<"), i.cast("string"), F.lit(">"))).otherwise(x))
+    return _long_counts(w.select(F.col("doc_id").alias("pair_id"), F.array_join("w", " ").alias("old"), F.array_join(new, " ").alias("new")))
 
 
 _TRIM = f"""{_PAIRS}, q AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(o), len(n)) + 1), lambda i: o[i] <> n[i])) - 1, least(len(o), len(n))) AS pre FROM p),

@@ -136,7 +136,24 @@ def _common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def _middle(old: list[str], new: list[str]) -> list[tuple[str, str]]:
+def contained(a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
+    """Places (i, j) that match all of the shorter side, if it stands in the other in order.
+
+    Then nothing can be longer. Taking the earliest place for each word finds such a match.
+    """
+    flip = len(a) > len(b)
+    short, long = (b, a) if flip else (a, b)
+    found, j = [], 0
+    for i, w in enumerate(short):
+        try:
+            j = long.index(w, j) + 1
+        except ValueError:
+            return None
+        found.append((j - 1, i) if flip else (i, j - 1))
+    return found
+
+
+def middle(old: list[str], new: list[str]) -> list[tuple[str, str]]:
     """(op, word) of the differing middle, inserts before deletes inside one change.
 
     Words that only one side has cannot be equal to anything, so only the others are matched.
@@ -144,7 +161,7 @@ def _middle(old: list[str], new: list[str]) -> list[tuple[str, str]]:
     shared = {w: n for n, w in enumerate(set(old) & set(new))}
     left = [i for i, w in enumerate(old) if w in shared]
     right = [j for j, w in enumerate(new) if w in shared]
-    common = _common([shared[old[i]] for i in left], [shared[new[j]] for j in right])
+    common = contained([shared[old[i]] for i in left], [shared[new[j]] for j in right]) or _common([shared[old[i]] for i in left], [shared[new[j]] for j in right])
     out: list[tuple[str, str]] = []
     i = j = 0
     for x, y in [*((left[x], right[y]) for x, y in common), (len(old), len(new))]:
@@ -179,7 +196,7 @@ def diff_pairs(pairs: DataFrame) -> DataFrame:
         for pdf in batches:
             ops, texts = [], []
             for a, b in zip(pdf["mid_old"], pdf["mid_new"], strict=True):
-                mid = _middle(listed_words(a), listed_words(b))
+                mid = middle(listed_words(a), listed_words(b))
                 ops.append("".join(op[0] for op, _ in mid))
                 texts.append(" ".join(w for _, w in mid))
             yield pdf[["pair_id", "head", "tail"]].assign(ops=ops, mid=texts)

@@ -121,10 +121,10 @@ def test_diff_has_no_bounds():
     rng = random.Random(6)
     old = [f"w{rng.randrange(3000)}" for _ in range(20_000)]
     new = [w for w in old if rng.random() < 0.5]
-    script = C._middle(old, new)
+    script = C.middle(old, new)
     assert [w for op, w in script if op == "equal"] == new
     other = [f"x{i}" for i in range(300_000)]
-    assert len(C._middle(old, other)) == 320_000
+    assert len(C.middle(old, other)) == 320_000
 
 
 def test_split_by_size(spark):
