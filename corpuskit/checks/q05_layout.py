@@ -112,6 +112,23 @@ def _(t):
     ).join(lens, ["doc_id", "page_no"])
 
 
+@register(
+    "page_blocks_tables",
+    f"""WITH {LAY}, m AS (SELECT *, max(line_no) OVER (PARTITION BY doc_id, page_no) >= 3 AND line_no IN (2, 3) AS tab FROM lay),
+    k AS (SELECT *, CASE WHEN tab THEN 'table' WHEN is_heading THEN 'heading' ELSE 'paragraph' END AS kind FROM m WHERE NOT (tab AND line_no = 3)),
+    b AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS pk FROM k)
+    SELECT doc_id, page_no, count(*) FILTER (NOT (kind = 'paragraph' AND coalesce(pk, '') = 'paragraph' AND NOT starts_paragraph)) AS n_blocks,
+      count(*) FILTER (kind = 'heading') AS n_headings, count(*) FILTER (kind = 'table') AS n_tables FROM b GROUP BY ALL""",
+)
+def _(t):
+    """Pages whose third and fourth line are a table."""
+    lines = L.layout_lines(page_runs(t))
+    tables = lines.filter("line_no = 3").select("doc_id", "page_no", F.lit(2).cast("bigint").alias("start_line"), F.lit(3).cast("bigint").alias("end_line"))
+    return L.page_blocks(lines, tables).groupBy("doc_id", "page_no").agg(
+        F.count(F.lit(1)).alias("n_blocks"), F.count_if(F.col("kind") == "heading").alias("n_headings"), F.count_if(F.col("kind") == "table").alias("n_tables")
+    )
+
+
 @register(
     "merge_runs",
     f"""WITH {S.PAGES}, w AS (SELECT doc_id, line_no // 10 AS page_no, line_no % 10 AS line_no, unnest(list_filter(string_split_regex(line, '{S.WS}+'), lambda x: x <> '')) AS w,
@@ -188,6 +205,16 @@ def _(t):
     return L.extract_tables(items).select("doc_id", "page_no", "row_no", "col_no", "value")
 
 
+@register("extract_tables_skewed", f"WITH {_TAB} SELECT doc_id, page_no, rn AS row_no, generate_series AS col_no, vals[generate_series + 1] AS value FROM tb, generate_series(0, 3)")
+def _(t):
+    """The same tables on pages that slope, all columns but one set to their right edges."""
+    c = F.col("item_no") % 10
+    items = table_items(t).withColumn("table_no", F.lit(0)).withColumn("y", F.col("y") + c * 1.3).withColumn(
+        "x", F.when(c == 1, F.col("x")).otherwise(F.col("x") + 80.0 - F.col("width"))
+    )
+    return L.extract_tables(items).select("doc_id", "page_no", "row_no", "col_no", "value")
+
+
 _DELIM = """SELECT doc_id, page_no, rn AS row_no, array_to_string(vals, ',') AS csv, array_to_string(vals, chr(9)) AS tsv FROM tb"""
 
 

@@ -10,12 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from corpuskit.functions.names import js_round
 from corpuskit.functions.text import collapse_space, elide, is_rtl, sums_before, trim_space
+from corpuskit.operators.grids import grid
 from corpuskit.operators.ordered import keep_parallel, number_rows, previous_values, running_max, running_sums
 from corpuskit.session import cut_lineage
 
@@ -236,68 +238,39 @@ def table_regions(lines: DataFrame) -> DataFrame:
 REGION = [*PAGE, "table_no"]
 
 
-def _islands(keys: list[str], start: str, stop: str, order: list[str], gap, out: str):
-    """(flag, number) columns: intervals that are at most ``gap`` apart, in ``order``, share a number."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    reach = F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.coalesce((F.col(start) - reach > gap).cast("bigint"), F.lit(0).cast("bigint"))
-    return opens.alias(f"_opens_{out}"), F.sum(f"_opens_{out}").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(out)
-
-
-def _numbered(df: DataFrame, keys: list[str], start: str, stop: str, order: list[str], gap, out: str) -> DataFrame:
-    flag, number = _islands(keys, start, stop, order, gap, out)
-    return df.select("*", flag).select("*", number).drop(f"_opens_{out}")
-
-
 def extract_tables(items: DataFrame) -> DataFrame:
     """Cells of each table region: doc_id, page_no, table_no, row_no, col_no, value.
 
-    ``items``: doc_id, page_no, table_no, text, x, y, width, height. Everything is a merge of
-    intervals inside a region: items at most half a usual height apart are a row, items of a row with
-    less than a word's space between them a cell, and cells over the same stretch of the page a
-    column. Cells that span several columns of the region's fullest rows do not make columns; they
-    stand in the first one they touch. Windows and joins all share the region as their key.
+    ``items``: doc_id, page_no, table_no, text, x, y, width, height. A region, which is a part of one
+    page, becomes one sorted row of words in the only shuffle. Words near the running mean height of a
+    row are in it, words of a row with less than a word's space between them are a cell, and cells are
+    in a column if their left or right edges line up or one lies over the other, at most one per row.
+    Cells that span several columns stand in one of them. Blank items do not count.
     """
     words = items.select(
-        *REGION, trim_space(F.coalesce("text", F.lit(""))).alias("text"), "x", "y",
-        (F.col("x") + F.col("width")).alias("right"), F.abs("height").alias("tall"),
-    ).filter("text <> ''")
-    usual = F.coalesce(
-        F.percentile(F.when(F.col("tall") > 0, F.col("tall")), 0.5).over(Window.partitionBy(*REGION)), F.lit(10.0)
-    )
-    sized = words.withColumn("usual", usual)
-    rows = _numbered(sized, REGION, "y", "y", ["y", "x", "text"], F.greatest(F.lit(3.0), F.col("usual") * 0.5), "row_no")
-    in_row = [*REGION, "row_no"]
-    parts = _numbered(rows, in_row, "x", "right", ["x", "right", "text"], F.greatest(F.lit(8.0), F.col("usual") * 0.6), "cell_no")
-    cells = parts.groupBy(*in_row, "cell_no").agg(
-        F.min("x").alias("x"), F.max("right").alias("right"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "right", "text"))), lambda w: w["text"]), " ").alias("value"),
-    )
-    full = cells.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*in_row))).withColumn(
-        "_most", F.max("_n").over(Window.partitionBy(*REGION))
-    )
-    base = _numbered(full.filter("_n = _most"), REGION, "x", "right", ["x", "right", "row_no"], F.lit(0.0), "_base").groupBy(
-        *REGION, "_base"
-    ).agg(F.min("x").alias("_lo"), F.max("right").alias("_hi"))
-    whole = base.groupBy(*REGION).agg(F.collect_list(F.struct("_lo", "_hi")).alias("_bases"))
-    touched = F.size(F.filter("_bases", lambda b: (b["_lo"] < F.col("right")) & (F.col("x") < b["_hi"])))
-    marked = full.join(whole, REGION).withColumn("_spans", touched > 1).drop("_bases", "_n", "_most")
-    own = _numbered(marked.filter("NOT _spans"), REGION, "x", "right", ["x", "right", "row_no"], F.lit(0.0), "col_no")
-    columns = own.groupBy(*REGION, "col_no").agg(F.min("x").alias("_lo"), F.max("right").alias("_hi"))
-    edges = columns.groupBy(*REGION).agg(
-        F.array_sort(F.collect_list(F.struct("_lo", "_hi", "col_no"))).alias("_columns"), F.count(F.lit(1)).alias("_width")
-    )
-    first = F.get(F.filter("_columns", lambda c: (c["_lo"] < F.col("right")) & (F.col("x") < c["_hi"])), F.lit(0))["col_no"]
-    wide = marked.filter("_spans").join(edges, REGION).withColumn("col_no", F.coalesce(first, F.lit(0).cast("bigint")))
-    placed = own.select(*in_row, "col_no", "x", "value").unionByName(wide.select(*in_row, "col_no", "x", "value"))
-    filled = placed.groupBy(*in_row, "col_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "value"))), lambda c: c["value"]), " ").alias("value")
-    )
-    frame = rows.select(*in_row).distinct().join(edges.select(*REGION, "_width"), REGION).select(
-        *in_row, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_width") - 1)).alias("col_no")
-    )
-    return frame.join(filled, [*in_row, "col_no"], "left").select(
-        *in_row, "col_no", F.coalesce("value", F.lit("")).alias("value")
+        *REGION, F.struct(
+            F.coalesce(F.col("y").cast("double"), F.lit(0.0)).alias("y"), F.coalesce(F.col("x").cast("double"), F.lit(0.0)).alias("x"),
+            F.coalesce((F.col("x") + F.col("width")).cast("double"), F.lit(0.0)).alias("right"),
+            trim_space(F.coalesce("text", F.lit(""))).alias("text"),
+            F.coalesce(F.abs("height").cast("double"), F.lit(0.0)).alias("tall"),
+        ).alias("w"),
+    ).filter("w.text <> ''")
+    regions = words.groupBy(*REGION).agg(F.collect_list("w").alias("words"))
+    # the columns of a struct column travel as plain arrays
+    flat = regions.select(*REGION, *[F.col(f"words.{c}").alias(c) for c in ("y", "x", "right", "text", "tall")])
+    out = StructType([*flat.schema.fields[:len(REGION)], StructField("rows", ArrayType(ArrayType(StringType())))])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [batch.column(i).to_pylist() for i in range(len(REGION), batch.num_columns)]
+            grids = [grid(list(zip(*region, strict=True))) for region in zip(*places, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:len(REGION)], pa.array(grids, pa.list_(pa.list_(pa.string())))], names=out.names
+            )
+
+    rows = flat.mapInArrow(kernel, out).select(*REGION, F.posexplode("rows").alias("row_no", "row"))
+    return rows.select(*REGION, F.col("row_no").cast("bigint").alias("row_no"), F.posexplode("row").alias("col_no", "value")).select(
+        *REGION, "row_no", F.col("col_no").cast("bigint").alias("col_no"), "value"
     )
 
 
