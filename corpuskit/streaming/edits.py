@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpuskit.operators.ordered import keep_parallel, previous_values, running_sums, top_per_key
+from corpuskit.streaming.ratelimit import rate_limited
 
 WATERMARK = "10 minutes"
 DAY = 86_400_000_000
@@ -67,23 +68,10 @@ def debounce_stream(events: DataFrame, key: str, quiet: str = "500 milliseconds"
 def rate_limit(events: DataFrame, key: str, seconds: float = 60) -> DataFrame:
     """Events that are at least ``seconds`` after the last one let through, per key.
 
-    Which events pass depends on the ones before, so rows stream in time order through a kernel
-    that remembers one time stamp.
+    Which events pass depends on the ones before; stretches of time are summed up side by side, so a
+    key with most of the events is many even tasks.
     """
-    ordered = keep_parallel(events.withColumn("_us", micros()), key).sortWithinPartitions(key, "_us", "event_id")
-
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, last = None, 0
-        for pdf in batches:
-            keep = []
-            for k, us in zip(pdf[key], pdf["_us"]):
-                passes = k != current or us - last >= seconds * 1e6
-                if passes:
-                    current, last = k, us
-                keep.append(passes)
-            yield pdf[keep]
-
-    return ordered.mapInPandas(kernel, ordered.schema).drop("_us")
+    return rate_limited(events.withColumn("_us", micros()), key, "event_id", "_us", seconds).drop("_us")
 
 
 def rate_limit_stream(events: DataFrame, key: str, seconds: float = 60, watermark: str = WATERMARK) -> DataFrame:

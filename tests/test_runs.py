@@ -115,10 +115,12 @@ ship_package(spark)
 from corpuskit.operators.sentences import sentences
 print("ROWS", sentences(spark.createDataFrame([(1, "One. Two.")], "doc_id int, text string")).count())
 """
-    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     code = code.replace(f"sys.path.remove({root!r})\nfrom corpuskit.session", "from corpuskit.session")
-    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
-    assert "ROWS 2" in out.stdout, out.stderr[-2000:]
+    # nothing of this process's Spark goes along, and the other one is small
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH" and not k.startswith(("PYSPARK_", "SPARK_"))}
+    env["PYSPARK_SUBMIT_ARGS"] = "--driver-memory 512m pyspark-shell"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "ROWS 2" in out.stdout, out.stderr[:3000] + out.stderr[-3000:]
 
 
 def test_diff_long_pairs_keeps_documents_apart(spark, monkeypatch, tmp_path):
@@ -129,8 +131,8 @@ def test_diff_long_pairs_keeps_documents_apart(spark, monkeypatch, tmp_path):
     docs = [(i, " ".join(f"w{i}_{k}" for k in range(7 + i))) for i in range(30)]
     docs += [(30, " ".join(f"v{k % 5000}" for k in range(60_000))), (31, ""), (32, None)]
     spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    real, whole = Q.C.diff_pairs, []
-    monkeypatch.setattr(Q.C, "diff_pairs", lambda pairs: whole.append(pairs) or real(pairs))
+    real, whole = Q.LD.diff_long, []
+    monkeypatch.setattr(Q.LD, "diff_long", lambda pairs: whole.append(pairs) or real(pairs))
     got = {r.pair_id: (r.n_equal, r.n_insert, r.n_delete) for r in load().QUERIES["diff_long_pairs"](spark, str(tmp_path)).collect()}
     want = {}
     for i, text in docs:
