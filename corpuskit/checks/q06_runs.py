@@ -194,6 +194,42 @@ def _(t):
     return recipe.run(recipe_docs(t))[0].select("doc_id", "file")
 
 
+_BROKEN = "doc_id % 17 = 0"
+
+
+def broken_every_17th(t):
+    """A tool that raises on every 17th document, and one after it that fails by an expression on every 23rd."""
+    def measured(doc, settings):
+        if doc["doc_id"] % 17 == 0:
+            raise ValueError("the page tree is broken")
+        text = doc["text"] or ""
+        return {"text": f"{text}|{len(text)}"}
+
+    def stamp(df, settings):
+        late = F.when(F.col("doc_id") % 23 == 0, F.lit("late")).otherwise(F.col("error"))
+        return df.withColumns({"file": F.concat(F.lit("x-"), "file"), "error": late})
+
+    recipe = RC.Recipe(["measure", "stamp"]).register("measure", RC.document_tool(measured, ["doc_id", "text"], ["text"])).register("stamp", stamp)
+    return recipe.run(recipe_docs(t))
+
+
+@register(
+    "recipe_failures",
+    f"""SELECT doc_id, 'failed' AS kind, CASE WHEN {_BROKEN} THEN 'ValueError: the page tree is broken' ELSE 'late' END AS detail FROM documents WHERE {_BROKEN} OR doc_id % 23 = 0""",
+)
+def _(t):
+    return broken_every_17th(t)[1].select("doc_id", "kind", "detail")
+
+
+@register(
+    "recipe_outputs_after_failures",
+    f"""WITH x AS (SELECT doc_id, {_BROKEN} AS broken, doc_id % 23 = 0 AS late, coalesce(text, '') AS t, text FROM documents)
+    SELECT doc_id, broken OR late AS failed, CASE WHEN broken OR late THEN '' ELSE 'x-' END || 'doc' || doc_id || '.pdf' AS file, md5(CASE WHEN broken THEN text ELSE t || '|' || length(t) END) AS text_md5 FROM x""",
+)
+def _(t):
+    return broken_every_17th(t)[0].select("doc_id", F.col("error").isNotNull().alias("failed"), "file", F.md5("text").alias("text_md5"))
+
+
 # --- event logs -----------------------------------------------------------------------------
 _SES = """a AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > {gap} THEN 1 ELSE 0 END AS nw FROM events),
   b AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a)"""

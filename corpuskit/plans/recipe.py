@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructType
 
 from corpuskit.functions.geometry import projected_bytes
 from corpuskit.functions.names import filename_pattern, running_label, strip_extension
@@ -196,17 +200,74 @@ def nup_tool(df: DataFrame, settings: dict) -> DataFrame:
     return _with_pages(filled, sheets).drop("_pages", "_slots")
 
 
+def document_tool(fn: Callable[[dict, dict | None], dict], reads: list[str], writes: list[str]):
+    """A tool from a function of one document, in which an error is that document's alone.
+
+    ``fn`` gets a dict of the columns ``reads`` and the step's settings and returns new values of (some of) the
+    columns ``writes``, which the documents have. What it raises becomes the document's ``error``; a document
+    with an error keeps its values and is not passed to ``fn`` again.
+    """
+    def tool(df: DataFrame, settings: dict | None) -> DataFrame:
+        keep = [c for c in df.columns if c not in writes and c != "error"]
+        rows = df.select(*keep, *writes, "error", *[F.col(c).alias(f"_in{i}") for i, c in enumerate(reads)])
+        out = StructType(rows.schema.fields[:len(keep) + len(writes) + 1])
+        kinds = [f.type for f in to_arrow_schema(out)][len(keep):]
+
+        def one(error, old: dict, given: dict) -> tuple:
+            if error is not None:
+                return (*old.values(), error)
+            try:
+                new = {**old, **fn(given, settings)}
+                # what does not fit the column is the document's error too
+                return (*(pa.scalar(new[c], kind).as_py() for c, kind in zip(writes, kinds)), None)
+            except Exception as e:
+                return (*old.values(), f"{type(e).__name__}: {e}")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = [c.to_pylist() for c in batch.columns[len(keep):]]
+                n = len(writes)
+                made = [one(row[n], dict(zip(writes, row)), dict(zip(reads, row[n + 1:]))) for row in zip(*lists)]
+                columns = list(zip(*made)) if made else [[] for _ in kinds]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:len(keep)], *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=out.names
+                )
+
+        done = rows.mapInArrow(run, out)
+        if "text" in writes and "n_bytes" not in writes:
+            done = done.withColumn("n_bytes", F.octet_length("text").cast("bigint"))
+        return done.select(*df.columns)
+
+    return tool
+
+
+def _guarded(tool, df: DataFrame, settings: dict | None) -> DataFrame:
+    """``df`` after a tool that may set ``error``; documents with one are as they were, with a note for a new one."""
+    old = F.struct(*df.columns)
+    out = tool(df.withColumn("_before", old), settings)
+    failed, fresh = F.col("error").isNotNull(), F.col("_before.error").isNull()
+    note = _note("failed", F.col("error"), fresh)
+    kept = {c: F.when(failed, F.col("_before")[c]).otherwise(F.col(c)) for c in df.columns if c not in ("error", "notes")}
+    kept["error"] = F.when(fresh, F.col("error")).otherwise(F.col("_before.error"))
+    kept["notes"] = F.when(failed | ~fresh, F.concat("_before.notes", note)).otherwise(F.col("notes"))
+    return out.select(*[kept[c].alias(c) for c in df.columns])
+
+
 class Recipe:
     """An ordered list of tools for every document, with a note for every outcome.
 
     Documents: doc_id, file, text, n_bytes and what else the tools need. A tool is any function
-    (DataFrame, settings) → DataFrame that keeps one row per document; ``register`` adds one.
+    (DataFrame, settings) → DataFrame that keeps one row per document; ``register`` adds one. A registered
+    tool may set a document's ``error`` (``document_tool`` does so for what a function raises, a tool of
+    column expressions by ``try_`` functions): that document fails with a note, keeps the values it had, and
+    takes no further part; all others go on.
     The whole recipe is one lazy plan; notes travel with their row and are split off at the end. Every
     step that does not run is a note on every document.
     """
 
     def __init__(self, tools: list[str], settings: dict[str, dict] | None = None):
         self.tools, self.settings = tools, settings or {}
+        self.may_fail: set[str] = set()
         self.known = {
             "redact": redact_tool, "metadata": metadata_tool, "compress": compress_tool,
             "headerFooter": header_footer_tool, "nup": nup_tool,
@@ -214,6 +275,7 @@ class Recipe:
 
     def register(self, name: str, tool) -> Recipe:
         self.known[name] = tool
+        self.may_fail.add(name)
         return self
 
     def run(self, docs: DataFrame, refused: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -225,17 +287,21 @@ class Recipe:
             "notes", _note("failed", F.col("error"), F.col("error").isNotNull())
         )
         bad, good = df.filter(F.col("error").isNotNull()), df.filter(F.col("error").isNull())
+        guard = False
         for name in self.tools:
             tool = self.known.get(name)
+            guard = guard or name in self.may_fail
             why_not = None
             if tool is None:
                 why_not = "draws on pages" if name in SETTINGS else "unknown step"
             elif name in SETTINGS and name not in self.settings:
                 why_not = "no settings"
             if why_not is None:
-                good = tool(good, self.settings.get(name))
+                given = self.settings.get(name)
+                good = _guarded(tool, good, given) if guard else tool(good, given)
             else:
                 left_out = _note("changed", F.lit(f"{name}: {why_not}, step left out"), F.lit(True))
+                left_out = F.when(F.col("error").isNull(), left_out).otherwise(F.array().cast(f"array<{NOTE}>"))
                 good = good.withColumn("notes", F.concat("notes", left_out))
         out = good.select(*df.columns).unionByName(bad)
         notes = out.select("doc_id", "file", F.explode("notes").alias("n")).select("doc_id", "file", "n.kind", "n.detail")

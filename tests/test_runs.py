@@ -96,6 +96,41 @@ def test_oracle(spark, name):
     assert state == "ok", note
 
 
+def test_a_document_that_fails_leaves_the_others_alone(spark):
+    from corpuskit.plans import recipe as RC
+
+    rows = [(i, f"f{i}", f"text {i}" if i % 5 else None, 6) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id int, file string, text string, n_bytes bigint").withColumn("_before2", F.lit(1))
+
+    def odd(doc, settings):
+        if doc["text"] is None:
+            raise KeyError("no text")
+        return {"text": doc["text"].upper(), "n_bytes": "many" if doc["doc_id"] == 7 else len(doc["text"])}
+
+    calls = RC.document_tool(odd, ["doc_id", "text"], ["text", "n_bytes"])
+    out, notes = RC.Recipe(["up", "missing", "up"]).register("up", calls).run(df, F.when(F.col("doc_id") == 1, F.lit("refused")))
+    got = {r.doc_id: r for r in out.collect()}
+    why = {}
+    for n in notes.collect():
+        why.setdefault(n.doc_id, []).append((n.kind, n.detail))
+    for i, _, text, _ in rows:
+        if i == 1:
+            assert got[i].error == "refused" and why[i] == [("failed", "refused")]
+        elif text is None or i == 7:
+            assert got[i].text == text and got[i].n_bytes == 6 and [k for k, _ in why[i]] == ["failed"]
+            assert ("no text" in why[i][0][1]) == (text is None)
+        else:
+            assert got[i].text == text.upper() and got[i].error is None and [k for k, _ in why[i]] == ["changed"]
+
+
+def test_private_characters_of_a_page_stay(spark):
+    from corpuskit.operators.html import html_blocks
+
+    html = "<p title='&quot;\uf8ff'>a \uf8fflt; b &amp; \ue000 &lt;c</p>"
+    rows = html_blocks(spark.createDataFrame([(1, html)], "page_id int, html string")).collect()
+    assert [r.text for r in rows] == ["a \uf8fflt; b & \ue000 <c"]
+
+
 def test_the_package_reaches_executors_that_lack_it(tmp_path):
     """Another interpreter, in another folder, whose workers find the package only if it is shipped."""
     import os
