@@ -271,10 +271,10 @@ def _(t):
     return gone.select("user_id", "event_id")
 
 
-@register(
-    "bounded_history",
-    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) SELECT event_id, user_id FROM r WHERE rn <= 5 ORDER BY ts DESC, event_id DESC LIMIT 200""",
-)
+_HISTORY = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) SELECT event_id, user_id FROM r WHERE rn <= 5 ORDER BY ts DESC, event_id DESC LIMIT 200"""
+
+
+@register("bounded_history", _HISTORY)
 def _(t):
     return E.bounded_history(log(t), "user_id", 5, 200).select("event_id", "user_id")
 
@@ -289,7 +289,21 @@ def edit_log(t):
     return log(t).withColumn("op", op)
 
 
-@register("replay")
+def edit_stream(t):
+    op = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("do")
+    return stream_of(t, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), op.alias("op"), "value")
+
+
+_REPLAY = """WITH RECURSIVE e AS (SELECT user_id, event_type AS t, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  r AS (SELECT DISTINCT user_id, 0::BIGINT AS n, []::DOUBLE[] AS d, []::DOUBLE[] AS u FROM events
+    UNION ALL SELECT r.user_id, e.n,
+      CASE WHEN t = 'error' THEN d[1:len(d) - 1] WHEN t = 'signup' THEN CASE WHEN len(u) > 0 THEN list_append(d, u[len(u)]) ELSE d END ELSE list_append(d, value) END,
+      CASE WHEN t = 'error' THEN CASE WHEN len(d) > 0 THEN list_append(u, d[len(d)]) ELSE u END WHEN t = 'signup' THEN u[1:len(u) - 1] ELSE [] END
+    FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+  SELECT user_id, d[len(d)] AS value, len(d) AS undo_depth, len(u) AS redo_depth FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1"""
+
+
+@register("replay", _REPLAY)
 def _(t):
     """Checked against a plain loop, and against its stream, in the tests."""
     return E.replay(edit_log(t), "user_id", None)
@@ -376,6 +390,40 @@ def _(t):
     return run_to_table(t, E.rate_limit_stream(e, "user_id", 21600)).select("user_id", "event_id")
 
 
+@register("bounded_history_stream", _HISTORY)
+def _(t):
+    """The same entries from a stream: keyed state, and a store of 200 rows merged batch by batch."""
+    base = f"{checkpoint_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    seen = [0]
+    e = stream_of(t, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+
+    def merge(batch, number):
+        E.merge_history(batch, number, f"{base}/store", "user_id", 200)
+        seen[0] = number
+
+    E.bounded_history_stream(e, "user_id", 5).writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").trigger(
+        availableNow=True
+    ).foreachBatch(merge).start().awaitTermination()
+    return E.history_of(t.spark, f"{base}/store", seen[0], dict(e.dtypes)["user_id"], "user_id").select("event_id", "user_id")
+
+
+@register("replay_stream", _REPLAY)
+def _(t):
+    """The newest state of each user from a stream; equals ``replay`` in the tests."""
+    base = f"{checkpoint_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    e = edit_stream(t)
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={number}")
+
+    states = E.replay_stream(e, "user_id", None)
+    states.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(
+        write
+    ).start().awaitTermination()
+    newest = F.max_by(F.struct(*states.columns), "batch_id").alias("s")
+    return t.spark.read.parquet(f"{base}/out").groupBy("user_id").agg(newest).select("s.*")
+
+
 @register("stream_progress", "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1")
 def _(t):
     """Running totals in update mode; the newest total of each kind is the largest."""

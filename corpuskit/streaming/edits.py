@@ -131,6 +131,45 @@ def bounded_history(log: DataFrame, key: str, per_key: int, total: int) -> DataF
     return top_per_key(log, [key], newest, per_key, "event_id").orderBy(*newest).limit(total)
 
 
+def bounded_history_stream(log: DataFrame, key: str, per_key: int) -> DataFrame:
+    """The streaming form, first half: the newest ``per_key`` entries of every key that had events in a batch.
+
+    Rows: ``key``, event_id, us. The state of a key is these entries, in any order of arrival; a key that
+    held more never does again.
+    """
+    def step(keys, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times, ids = state.get if state.exists else ((), ())
+        held = sorted({*zip(times, ids), *((int(u), int(i)) for b in batches for u, i in zip(b["us"], b["event_id"]))})[-per_key:]
+        state.update(([u for u, _ in held], [i for _, i in held]))
+        yield pd.DataFrame({key: [keys[0]] * len(held), "event_id": [i for _, i in held], "us": [u for u, _ in held]})
+
+    e = log.select(key, "event_id", micros().alias("us"))
+    return e.groupBy(key).applyInPandasWithState(
+        step, f"{key} {dict(e.dtypes)[key]}, event_id bigint, us bigint", "times array<bigint>, ids array<bigint>", "update",
+        GroupStateTimeout.NoTimeout,
+    )
+
+
+def merge_history(batch: DataFrame, number: int, folder: str, key: str, total: int) -> None:
+    """The streaming form, second half, for ``foreachBatch``: the newest ``total`` entries of all keys.
+
+    A batch brings whole new lists of its keys, which replace what the store has of them. What falls out of
+    the store never comes back, as a list only drops an entry for a newer one, so ``total`` rows are
+    enough. Two folders take turns, so a batch that is run again reads the same store as before.
+    """
+    spark = batch.sparkSession
+    new = batch.select(key, "event_id", "us")
+    if number:
+        old = spark.read.schema(new.schema).parquet(f"{folder}/{(number - 1) % 2}")
+        new = new.unionByName(old.join(batch.select(F.col(key).alias("_k")).distinct(), F.col(key).eqNullSafe(F.col("_k")), "left_anti"))
+    new.orderBy(F.desc("us"), F.desc("event_id")).limit(total).write.mode("overwrite").parquet(f"{folder}/{number % 2}")
+
+
+def history_of(spark, folder: str, last: int, key_type: str, key: str) -> DataFrame:
+    """The stored entries after batch ``last``."""
+    return spark.read.schema(f"{key} {key_type}, event_id bigint, us bigint").parquet(f"{folder}/{last % 2}")
+
+
 def progress(notes: DataFrame) -> DataFrame:
     """Counts by kind; on a stream use update or complete mode."""
     return notes.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

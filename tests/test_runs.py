@@ -123,6 +123,38 @@ def test_a_document_that_fails_leaves_the_others_alone(spark):
             assert got[i].text == text.upper() and got[i].error is None and [k for k, _ in why[i]] == ["changed"]
 
 
+def test_bounded_history_of_shuffled_arrivals(spark):
+    """Seven batches of events in any order give what all events at once give."""
+    import random
+    import tempfile
+
+    rng = random.Random(9)
+    rows = [(rng.choice([1, 1, 1, 2, 3, 4, 5]), i, 1_700_000_000 + rng.randint(0, 400)) for i in range(700)]
+    rng.shuffle(rows)
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    df = spark.createDataFrame(rows, "user_id int, event_id bigint, s bigint").select("user_id", "event_id", F.timestamp_seconds("s").alias("ts"))
+    for i in range(7):
+        spark.createDataFrame(rows[i * 100:(i + 1) * 100], "user_id int, event_id bigint, s bigint").select(
+            "user_id", "event_id", F.timestamp_seconds("s").alias("ts")
+        ).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    numbers = []
+
+    def merge(batch, number):
+        # each batch twice, as after a failure
+        E.merge_history(batch, number, f"{base}/store", "user_id", 30)
+        E.merge_history(batch, number, f"{base}/store", "user_id", 30)
+        numbers.append(number)
+
+    s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    E.bounded_history_stream(s, "user_id", 9).writeStream.outputMode("update").option("checkpointLocation", f"{base}/cp").trigger(
+        availableNow=True
+    ).foreachBatch(merge).start().awaitTermination(120)
+    assert numbers == list(range(7))
+    got = E.history_of(spark, f"{base}/store", 6, "int", "user_id").select("user_id", "event_id").collect()
+    want = E.bounded_history(df, "user_id", 9, 30).select("user_id", "event_id").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) == 30
+
+
 def test_private_characters_of_a_page_stay(spark):
     from corpuskit.operators.html import html_blocks
 
