@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpuskit.operators.ordered import keep_parallel, previous_values, running_sums, top_per_key
+from corpuskit.streaming.history import replayed
 from corpuskit.streaming.ratelimit import rate_limited
 
 WATERMARK = "10 minutes"
@@ -190,34 +191,10 @@ def _replay_step(done: deque, undone: list, op: str, value) -> None:
 def replay(log: DataFrame, key: str, depth: int | None) -> DataFrame:
     """State per document after its do / undo / redo events (op, value) in time order.
 
-    A new edit clears what could be redone; at most ``depth`` steps can be undone (None: all). Rows
-    stream in order through a kernel whose state is those steps.
+    A new edit clears what could be redone; at most ``depth`` steps can be undone (None: all). Blocks of a
+    document's log are summed up side by side, so one with most of the events is many even tasks.
     """
-    ordered = keep_parallel(log.select(key, "event_id", micros().alias("_us"), "op", "value"), key).sortWithinPartitions(
-        key, "_us", "event_id"
-    )
-
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, done, undone, seen = None, deque(maxlen=depth), [], False
-
-        def row():
-            return {key: current, "value": done[-1] if done else None, "undo_depth": len(done), "redo_depth": len(undone)}
-
-        for pdf in batches:
-            out = []
-            for k, op, value in zip(pdf[key], pdf["op"], pdf["value"]):
-                if not seen or k != current:
-                    if seen:
-                        out.append(row())
-                    current, done, undone, seen = k, deque(maxlen=depth), [], True
-                _replay_step(done, undone, op, value)
-            if out:
-                yield pd.DataFrame(out)
-        if seen:
-            yield pd.DataFrame([row()])
-
-    kind = dict(ordered.dtypes)
-    return ordered.mapInPandas(kernel, f"{key} {kind[key]}, value {kind['value']}, undo_depth bigint, redo_depth bigint")
+    return replayed(log.withColumn("_us", micros()), key, "_us", "event_id", "op", "value", depth, DAY)
 
 
 def replay_stream(log: DataFrame, key: str, depth: int | None) -> DataFrame:
