@@ -1,12 +1,14 @@
 """Line dedup by winnowing, in DataFrame operations only.
 
-A window is the shortest run of lines, from a line on, that holds a number of words (50). Its
-fingerprint is the smallest of its line hashes, so every run of lines that is a window long has a
-guaranteed fingerprint wherever it stands. Fingerprints join the windows' positions; windows that
-share the fingerprint and the hash of all their lines are the same passage. The first position of a
-passage is its origin, all later ones repeat it. A match extends both ways by the windows before and
-behind it, each matched on its own, so a repeated run is the union of its repeated windows; it is
-deleted, and the origin stays.
+A window is a shortest run of lines that holds a number of words (50): from a line on, or up to a line.
+Its fingerprint is the smallest of its line hashes; the places of these minima are the positions that
+winnowing selects. Positions join on the fingerprint, and only windows around positions that another
+one shares go on. Of those, windows with the same hash of all their lines are the same passage. The first
+place of a passage is its origin, all later ones repeat it.
+
+A match extends both ways, line by line, by the windows around it: a repeated run of 50 words or more
+begins with a window from its first line on and ends with one up to its last line, so the union of
+repeated windows is the whole run. It is deleted, and the origin stays.
 
 Every position is compared with the origin only, so a passage in a third of all documents costs as
 much as its occurrences, not their pairs.
@@ -29,10 +31,10 @@ def _lines(text: Column) -> Column:
 
 
 def windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, key, first, last, fingerprint, content_1, content_2) per window of each document.
+    """(doc_id, key, first, last, mark, fingerprint, content_1, content_2) per window of each document.
 
     ``docs`` has doc_id, key and text. Lines without a word take no part but lie inside windows.
-    Lines are compared without the white space at their ends.
+    Lines are compared without the white space at their ends. ``mark`` is the line of the fingerprint.
     """
     facts = docs.select("doc_id", "key", F.filter(
         F.transform(_lines(F.col("text")), lambda line, at: F.struct(
@@ -40,29 +42,36 @@ def windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
             F.xxhash64(F.btrim(line, F.lit(SPACES))).alias("hash"),
         )), lambda x: x["words"] > 0).alias("full"))
 
-    def window(line: Column, i: Column) -> Column:
-        # a window has at most as many lines as words, as each of its lines has one
-        near = F.slice("full", i + 1, words)
-        taken = F.aggregate(
+    def taken(near: Column) -> Column:
+        return F.aggregate(
             near,
             F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines")),
             lambda acc, x: F.when(acc["words"] >= words, acc).otherwise(
                 F.struct((acc["words"] + x["words"]).alias("words"), (acc["lines"] + 1).alias("lines"))
             ),
         )
-        return F.struct(line["at"].alias("first"), taken.alias("taken"), i.alias("i"))
 
-    found = facts.select("doc_id", "key", "full", F.transform("full", window).alias("found"))
+    # a window has at most as many lines as words, as each of its lines has one
+    def onward(_: Column, i: Column) -> Column:
+        t = taken(F.slice("full", i + 1, words))
+        return F.struct(t["words"].alias("words"), i.alias("i"), t["lines"].alias("n"))
+
+    def back(_: Column, i: Column) -> Column:
+        first = F.greatest(i - (words - 2), F.lit(1))
+        t = taken(F.reverse(F.slice("full", first, i + 2 - first)))
+        return F.struct(t["words"].alias("words"), (i + 1 - t["lines"]).alias("i"), t["lines"].alias("n"))
+
+    found = facts.select("doc_id", "key", "full", F.concat(F.transform("full", onward), F.transform("full", back)).alias("found"))
     whole = found.select("doc_id", "key", F.transform(
-        F.filter("found", lambda w: w["taken"]["words"] >= words),
-        lambda w: F.struct(w["first"].alias("first"), F.slice("full", w["i"] + 1, w["taken"]["lines"]).alias("lines")),
+        F.array_distinct(F.filter("found", lambda w: w["words"] >= words)), lambda w: F.slice("full", w["i"] + 1, w["n"]),
     ).alias("found"))
     # the plain explode would first filter by the array's size and so compute all of it once more
     each = whole.select("doc_id", "key", F.explode_outer("found").alias("w")).filter("w is not null")
+    least = F.array_min("w.hash")
     return each.select(
-        "doc_id", "key", F.col("w.first").alias("first"), F.element_at("w.lines", -1)["at"].alias("last"),
-        F.array_min("w.lines.hash").alias("fingerprint"), F.xxhash64("w.lines.hash").alias("content_1"),
-        F.xxhash64(F.lit(1), "w.lines.hash").alias("content_2"),
+        "doc_id", "key", F.col("w.at")[0].alias("first"), F.element_at("w.at", -1).alias("last"),
+        F.get("w.at", (F.array_position("w.hash", least) - 1).cast("int")).alias("mark"), least.alias("fingerprint"),
+        F.xxhash64("w.hash").alias("content_1"), F.xxhash64(F.lit(1), "w.hash").alias("content_2"),
     )
 
 
@@ -73,7 +82,11 @@ def repeated_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
     window repeats another only if it begins behind its end.
     """
     passage = ["fingerprint", "content_1", "content_2"]
-    places = stored(windows(docs, words), "windows")
+    every = stored(windows(docs, words), "windows")
+    # a minimum's line is one position, however many windows it is the minimum of
+    position = F.xxhash64("doc_id", "key", "mark")
+    shared = every.groupBy("fingerprint").agg(F.min(position).alias("one"), F.max(position).alias("other")).filter("one <> other")
+    places = stored(every.join(shared, "fingerprint", "left_semi"), "positions")
     origins = places.groupBy(*passage).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key", "first", "last")).alias("origin"),
         F.count(F.lit(1)).alias("n"),

@@ -105,8 +105,11 @@ def op7(spark, folder):
 
 _OP9 = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, md5(text) AS k, string_split(text, chr(10)) AS ls FROM documents),
   f AS (SELECT rid, doc_id, k, list_filter(list_transform(range(1, len(ls) + 1), lambda i: {'pos': i, 'w': len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')), 't': regexp_replace(ls[i], '^[ \t\x0b\x0c\r]+|[ \t\x0b\x0c\r]+$', '', 'g')}), lambda x: x.w > 0) AS fl FROM d),
-  g AS (SELECT rid, doc_id, k, fl, i, list_min(list_filter(range(1, 51), lambda n: i + n - 1 <= len(fl) AND list_sum(list_transform(fl[i:i + n - 1], lambda x: x.w)) >= 50)) AS n FROM f, unnest(range(1, len(fl) + 1)) u(i)),
-  p AS (SELECT rid, doc_id, k, fl[i].pos AS first, fl[i + n - 1].pos AS last, array_to_string(list_transform(fl[i:i + n - 1], lambda x: x.t), chr(10)) AS body FROM g WHERE n IS NOT NULL),
+  g AS (SELECT rid, doc_id, k, fl, i, list_min(list_filter(range(1, 51), lambda n: i + n - 1 <= len(fl) AND list_sum(list_transform(fl[i:i + n - 1], lambda x: x.w)) >= 50)) AS n,
+    list_min(list_filter(range(1, 51), lambda n: n <= i AND list_sum(list_transform(fl[i - n + 1:i], lambda x: x.w)) >= 50)) AS m FROM f, unnest(range(1, len(fl) + 1)) u(i)),
+  h AS (SELECT DISTINCT rid, doc_id, k, a, b, fl[a].pos AS first, fl[b].pos AS last, array_to_string(list_transform(fl[a:b], lambda x: x.t), chr(10)) AS body
+    FROM (SELECT *, i AS a, i + n - 1 AS b FROM g WHERE n IS NOT NULL UNION ALL SELECT *, i - m + 1 AS a, i AS b FROM g WHERE m IS NOT NULL)),
+  p AS (SELECT rid, doc_id, k, first, last, body FROM h),
   o AS (SELECT body, arg_min({'doc_id': doc_id, 'k': k, 'first': first, 'last': last}, (doc_id IS NULL, doc_id, k, first)) AS o FROM p GROUP BY body),
   l AS (SELECT DISTINCT rid, unnest(range(first, last + 1)) AS pos FROM p JOIN o USING (body) WHERE NOT (p.doc_id IS NOT DISTINCT FROM o.o.doc_id AND p.k = o.o.k) OR p.first > o.o.last),
   z AS (SELECT rid, list(pos) AS gone FROM l GROUP BY rid)

@@ -5,7 +5,7 @@ from tests.llm.conftest import docs_of, odd_docs
 
 
 def plain(rows, words):
-    """Deletes, place by place, every line of a window whose text an earlier place has."""
+    """Deletes, place by place, every line of a window, onward or back, whose text an earlier place has."""
     import hashlib
 
     def key(t):
@@ -17,13 +17,16 @@ def plain(rows, words):
         lines = doc[1].split("\n")
         full = [k for k, x in enumerate(lines) if x.split()]
         gone[doc] = set()
+        spans = set()
         for a in range(len(full)):
-            n, b = 0, a
-            while b < len(full) and n < words:
-                n += len(lines[full[b]].split())
-                b += 1
-            if n < words:
-                continue
+            for step in (1, -1):
+                n, b = 0, a
+                while 0 <= b < len(full) and n < words:
+                    n += len(lines[full[b]].split())
+                    b += step
+                if n >= words:
+                    spans.add((a, b) if step > 0 else (b + 1, a + 1))
+        for a, b in sorted(spans):
             text = tuple(lines[full[k]].strip(" \t\r") for k in range(a, b))
             place = (doc, full[a], full[b - 1])
             origin = first.setdefault(text, place)
@@ -61,6 +64,18 @@ def test_a_passage_of_over_fifty_words_stays_once(spark):
     assert all(got[i] == f"own line {i}\nmore of {i}\nend {i}" for i in range(1, 30))
 
 
+def test_a_match_extends_both_ways(spark):
+    """Lines too short for a window of their own go with the repeated run they are in."""
+    def line(n, name):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    run = [line(n, f"r{k}x") for k, n in enumerate((15, 30, 60, 30, 15))]
+    rows = [(i, "\n".join([f"own {i}", *run, f"end {i}"])) for i in range(5)]
+    rows.append((5, "\n".join(["other", *run[2:], "end"])))
+    got = {r.doc_id: r.text for r in N.without_repeats(docs_of(spark, rows)).collect()}
+    assert got == {0: rows[0][1], **{i: f"own {i}\nend {i}" for i in range(1, 5)}, 5: "other\nend"}
+
+
 def test_short_shared_lines_and_clean_documents_stay(spark):
     rows = [(i, f"All rights reserved.\nthe {i} text of {i * 7} here\nAll rights reserved.") for i in range(20)]
     got = {r.doc_id: r.text for r in N.without_repeats(docs_of(spark, rows)).collect()}
