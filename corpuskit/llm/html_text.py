@@ -3,16 +3,20 @@
 The standard library's parser streams events; no tree is built. Text between block boundaries is
 one line (a block). Each line has its characters and the tags inside and before it, links counted as
 markup, so prose has a high ratio and menus a low one. Ratios are smoothed with a Gaussian, so that
-a short paragraph between long ones counts with them. Lines are then split in two clusters by the
-threshold between two means.
+a short paragraph between long ones counts with them.
+
+Regions of the page (what stands directly in one article or main element, or in none) are weighed by
+their ratios and text; being an article or main only adds to the weight. Two clusters of the weights
+decide which regions are content; outside marked elements two clusters of the lines' ratios then decide
+which lines are.
 
 What a page declares to be no article (menus, asides, page headers and footers, forms, adverts,
-notices, comments; by element, role, or words in class and id) never takes part. Where a page marks
-its article, the lines in it are the content; ratios decide on pages that mark none.
+notices, comments; by element, role, or words in class and id) never takes part.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from html.parser import HTMLParser
 
@@ -60,12 +64,17 @@ def names_furniture(value: str, in_article: bool) -> bool:
 
 
 class Lines(HTMLParser):
-    """Turns parser events into lines: (text, tags, linked characters, 2 in an article or 1 in main)."""
+    """Turns parser events into lines: (text, tags, linked characters, 2 in an article or 1 in main, region)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, int]] = []
         self.open: list[tuple[str, bool]] = []  # name, whether it leaves the page's content
+        self.places: dict[str, list[int]] = {}  # of each name, where it is open
+        self.walls: list[int] = []  # where elements are open that implied ends do not go beyond
+        self.blocks: list[int] = []
+        self.regions: list[int] = []  # numbers of the open articles and mains
+        self.n_regions = 0
         self.out = 0
         self.articles = 0
         self.mains = 0
@@ -77,7 +86,9 @@ class Lines(HTMLParser):
     def finish_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, 2 if self.articles else 1 if self.mains else 0))
+            self.lines.append((
+                text, self.tags, self.linked, 2 if self.articles else 1 if self.mains else 0, self.regions[-1] if self.regions else 0,
+            ))
             self.tags = 0
         self.parts, self.linked = [], 0
 
@@ -102,11 +113,17 @@ class Lines(HTMLParser):
     def close_to(self, depth: int) -> None:
         while len(self.open) > depth:
             tag, out = self.open.pop()
+            self.places[tag].pop()
+            for held in (self.walls, self.blocks):
+                if held and held[-1] == len(self.open):
+                    held.pop()
             if not self.out and tag in BLOCKS:
                 self.finish_line()
             self.out -= out
             self.articles -= tag == "article"
             self.mains -= tag == "main"
+            if tag in ("article", "main"):
+                self.regions.pop()
             self.links -= tag == "a"
 
     def handle_starttag(self, tag, attrs):
@@ -123,7 +140,15 @@ class Lines(HTMLParser):
         out = self.leaves(tag, attrs)
         if out and not self.out and tag not in BLOCKS:
             self.parts.append(" ")
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCKS and tag != "p" or tag in OUTSIDE:
+            self.walls.append(len(self.open))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
         self.open.append((tag, out))
+        if tag in ("article", "main"):
+            self.n_regions += 1
+            self.regions.append(self.n_regions)
         self.out += out
         self.articles += tag == "article"
         self.mains += tag == "main"
@@ -131,31 +156,26 @@ class Lines(HTMLParser):
 
     def implied_end(self, tag: str) -> None:
         """A new paragraph ends an open one, a new item the item before it."""
-        ends = CLOSES.get(tag, ("p",))
-        for depth in range(len(self.open) - 1, max(-1, len(self.open) - 40), -1):
-            name = self.open[depth][0]
-            if name in ends:
-                self.close_to(depth)
-                return
-            if name in BLOCKS and name not in ("p",) or name in OUTSIDE:
-                return
+        wall = self.walls[-1] if self.walls else -1
+        last = max((self.places[n][-1] for n in CLOSES.get(tag, ("p",)) if self.places.get(n)), default=-1)
+        # what ends may itself be the innermost block
+        if last >= wall >= 0 or last > wall:
+            self.close_to(last)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if tag == "p" and all(x[0] != "p" for x in self.open[-40:]) and not self.out:
+        if tag == "p" and not self.places.get("p") and not self.out:
             self.finish_line()
-        for depth in range(len(self.open) - 1, -1, -1):
-            name = self.open[depth][0]
-            if name == tag:
-                if not self.out:
-                    self.tags += 1
-                self.close_to(depth)
-                return
-            # a stray inline end tag closes no block around it
-            if name in BLOCKS and tag not in BLOCKS and tag not in RAW and tag not in OUTSIDE:
-                return
+        held = self.places.get(tag)
+        # a stray inline end tag closes no block around it
+        inline = tag not in BLOCKS and tag not in RAW and tag not in OUTSIDE
+        if not held or inline and self.blocks and self.blocks[-1] > held[-1]:
+            return
+        if not self.out:
+            self.tags += 1
+        self.close_to(held[-1])
 
     def handle_data(self, data):
         if not self.out:
@@ -191,20 +211,51 @@ def two_means(values: np.ndarray) -> float:
         low, high = new
 
 
-def content(lines: list[tuple[str, int, int, int]], sigma: float = 1.0, link_share: float = 0.5) -> list[str]:
-    """The lines that are content, in page order."""
+#: what an article or a main element adds to the logarithm of a region's weight
+PRIOR = (0.0, math.log(2), math.log(4))
+#: values that are closer are one cluster: ratios of lines, weights of regions
+FLAT_LINES, FLAT_REGIONS = 0.7, 1.5
+
+
+def chosen_regions(lines: list[tuple[str, int, int, int, int]], smoothed: np.ndarray) -> set[int]:
+    """The regions of a page that hold its content.
+
+    A region is what stands directly in one article or main element, or in none. It weighs as much as its
+    text outside links times its mean smoothed ratio; its element only adds to that. Two clusters of the
+    weights' logarithms decide, so a page's story wins over teasers that are articles.
+    """
+    at: dict[int, list[int]] = {}
+    for i, line in enumerate(lines):
+        at.setdefault(line[4], []).append(i)
+    weight = np.array([
+        math.log1p(sum(max(0, len(lines[i][0]) - lines[i][2]) for i in own)) + math.log1p(float(smoothed[own].mean()))
+        + PRIOR[lines[own[0]][3]] for own in at.values()
+    ])
+    if weight.max() - weight.min() < FLAT_REGIONS:
+        return set(at)
+    cut = two_means(weight)
+    return {r for r, w in zip(at, weight, strict=True) if w > cut}
+
+
+def content(lines: list[tuple[str, int, int, int, int]], sigma: float = 1.0, link_share: float = 0.5) -> list[str]:
+    """The lines that are content, in page order.
+
+    Every line has a ratio of text outside links to tags; ratios are smoothed along the page. Regions are
+    chosen first, then lines: those of an article or main element all, others by two clusters of their ratios.
+    """
     if not lines:
         return []
-    best = max(x[3] for x in lines)
-    if best:
-        return [x[0] for x in lines if x[3] == best]
-    ratio = np.array([max(0, len(t) - linked) / max(1, tags) for t, tags, linked, _ in lines])
-    smoothed = np.log1p(smooth(ratio, sigma))
-    cut = two_means(smoothed)
-    flat = smoothed.max() - smoothed.min() < 0.7  # a factor of two: one cluster only
+    ratio = np.array([max(0, len(t) - linked) / max(1, tags) for t, tags, linked, _, _ in lines])
+    smoothed = smooth(ratio, sigma)
+    regions = chosen_regions(lines, smoothed)
+    inside = np.array([line[4] in regions for line in lines])
+    level = np.log1p(smoothed)
+    own = level[inside]
+    cut = two_means(own)
+    flat = own.max() - own.min() < FLAT_LINES
     return [
-        t for (t, _, linked, _), s in zip(lines, smoothed, strict=True)
-        if (flat or s > cut) and linked <= link_share * len(t)
+        t for (t, _, linked, kind, _), s, there in zip(lines, level, inside, strict=True)
+        if there and (kind or (flat or s > cut) and linked <= link_share * len(t))
     ]
 
 

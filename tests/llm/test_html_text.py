@@ -72,3 +72,85 @@ def test_smoothing_and_threshold():
     assert np.allclose(H.smooth(np.ones(4), 1.0), 1)
     assert np.allclose(H.smooth(np.array([5.0]), 2.0), 5)
     assert 3 < H.two_means(np.array([1.0, 2, 1, 9, 10])) < 9
+
+
+def plain_choice(lines, sigma=1.0):
+    """Regions and lines by formulas written out, with thresholds tried at every gap."""
+    import math
+
+    n = len(lines)
+    ratio = [max(0, len(t) - k) / max(1, tags) for t, tags, k, _, _ in lines]
+    reach = math.ceil(3 * sigma)
+    smoothed = []
+    for i in range(n):
+        near = [(math.exp(-0.5 * ((i - j) / sigma) ** 2), ratio[j]) for j in range(max(0, i - reach), min(n, i + reach + 1))]
+        smoothed.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+
+    def threshold(values):
+        low, high = min(values), max(values)
+        while True:
+            cut = (low + high) / 2
+            a, b = [v for v in values if v <= cut], [v for v in values if v > cut]
+            if not a or not b or (sum(a) / len(a), sum(b) / len(b)) == (low, high):
+                return cut
+            low, high = sum(a) / len(a), sum(b) / len(b)
+
+    regions = {}
+    for i, line in enumerate(lines):
+        regions.setdefault(line[4], []).append(i)
+    weight = {
+        r: math.log1p(sum(max(0, len(lines[i][0]) - lines[i][2]) for i in own)) + math.log1p(sum(smoothed[i] for i in own) / len(own))
+        + math.log([1, 2, 4][lines[own[0]][3]]) for r, own in regions.items()
+    }
+    values = list(weight.values())
+    good = {r for r, w in weight.items() if max(values) - min(values) < 1.5 or w > threshold(values)}
+    level = {i: math.log1p(smoothed[i]) for i in range(n) if lines[i][4] in good}
+    flat = max(level.values()) - min(level.values()) < 0.7
+    cut = threshold(list(level.values()))
+    return [
+        lines[i][0] for i in level
+        if lines[i][3] or ((flat or level[i] > cut) and lines[i][2] <= 0.5 * len(lines[i][0]))
+    ]
+
+
+def test_ratios_smoothing_and_clusters_against_plain_formulas():
+    import random
+
+    content = H.content
+
+    rng = random.Random(4)
+    some = 0
+    for _ in range(300):
+        lines = []
+        for _ in range(rng.randint(1, 25)):
+            region = rng.choice([0, 0, 0, 1, 2, 3])
+            text = "x" * rng.choice([3, 20, 200, 900])
+            lines.append((text, rng.randint(0, 9), rng.choice([0, 0, len(text)]), [0, 2, 2, 1][region], region))
+        got = content(lines)
+        assert got == plain_choice(lines)
+        some += len(got) < len(lines)
+    assert some > 100
+
+
+def test_teasers_that_are_articles_do_not_win():
+    story = "".join(f"<p>{' '.join(f'word{i}x{k}' for i in range(50))}</p>" for k in range(3))
+    page = (
+        "<body><article class=card><a href=x>Teaser one</a> in short</article><div>" + story
+        + "</div><article class=card><a href=y>Teaser two</a></article></body>"
+    )
+    assert H.main_text(page) == " ".join(f"word{i}x{k}" for k in range(3) for i in range(50))
+
+
+def test_implied_ends_at_any_depth():
+    for n in (5, 45, 3000):
+        assert H.main_text("<p class='advert'>buy now" + "<b>" * n + "<p>the article text is here") == "the article text is here"
+
+
+def test_repeated_long_and_clashing_pages(spark):
+    from pyspark.sql import functions as F
+
+    long = "<article>" + "<p>many words of a very long page</p>" * 20000 + "</article>"
+    rows = [(1, "u", "<p>one page</p>"), (1, "u", "<p>one page</p>"), (2, None, long), (3, "u", ""), (None, "u", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"n_chars": F.lit("x"), "Text": F.lit(1)})
+    got = sorted(((r.page_id or 0, r.n_chars) for r in H.extract(df, keep=["page_id", "url"]).collect()))
+    assert got == [(0, 0), (1, 8), (1, 8), (2, 20000 * 30 + 19999), (3, 0)]
