@@ -131,26 +131,29 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", dim: int
           max_per_lang: int = 2_000, max_langs: int = 5_000) -> tuple[list[str], np.ndarray]:
     """Languages in order and their prototypes, from at most about ``max_per_lang`` texts each.
 
-    The texts are chosen by a hash of their content, at a rate that makes the bound the expected
-    number per language; smaller languages are taken whole. Rows without a text or language teach
-    nothing. More than ``max_langs`` languages raise an error, as the prototypes go to every task.
+    The draw is over the different texts of a language, so copies neither crowd others out nor count
+    twice: by a hash of the text, at a rate that makes the bound the expected number (to the few per cent of
+    an estimated count), and always the text of the smallest hash, so every language is learned. Smaller
+    languages are taken whole. Rows without a text or language teach nothing. More than ``max_langs``
+    languages raise an error, as the prototypes go to every task.
     """
     some = labelled.select(quoted(text).alias("text"), quoted(lang).alias("lang")).filter(
         "text is not null and lang is not null"
     )
-    sizes = {r[0]: r[1] for r in some.groupBy("lang").count().limit(max_langs + 1).collect()}
+    hashed = some.withColumn("h", F.xxhash64("text"))
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02), F.min("h")).limit(max_langs + 1).collect()
     if len(sizes) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     if not sizes:
         return [], np.zeros((0, dim))
     grain = 1 << 20
     rates = labelled.sparkSession.createDataFrame(
-        [(name, min(grain, max(1, max_per_lang * grain // n))) for name, n in sizes.items()], "lang string, rate long"
+        [(name, min(grain, max(1, max_per_lang * grain // max(1, n))), least) for name, n, least in sizes],
+        "lang string, rate long, least long",
     )
     # one row per language, and no more than max_langs of them
-    chosen = some.join(F.broadcast(rates), "lang").filter(F.pmod(F.xxhash64("text"), F.lit(grain)) < F.col("rate")).select(
-        "text", "lang"
-    )
+    drawn = (F.pmod("h", F.lit(grain)) < F.col("rate")) | (F.col("h") == F.col("least"))
+    chosen = hashed.join(F.broadcast(rates), "lang").filter(drawn).dropDuplicates(["lang", "h"]).select("text", "lang")
     schema = T.StructType([
         T.StructField("lang", T.StringType()), T.StructField("at", T.IntegerType()), T.StructField("sum", T.DoubleType()),
     ])

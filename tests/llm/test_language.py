@@ -64,3 +64,13 @@ def test_too_many_languages_are_refused(spark):
     df = spark.createDataFrame([("t", str(i)) for i in range(5)], "text string, lang string")
     with pytest.raises(ValueError):
         L.train(df, max_langs=4)
+
+
+def test_the_draw_is_over_different_texts(spark):
+    """A language of copies is learned from its few texts, and copies of one text do not crowd others out."""
+    rows = [(f"der kleine hund {i % 2}", "de") for i in range(3000)] + [(f"the small dog number {i}", "en") for i in range(3000)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    names, prototypes = L.train(df, max_per_lang=50)
+    assert names == ["de", "en"] and prototypes.shape == (2, L.DIM)
+    once, _ = L.train(df.dropDuplicates(), max_per_lang=50), None
+    assert (once[1] == prototypes).all()
