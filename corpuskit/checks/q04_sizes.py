@@ -351,9 +351,22 @@ def _(t):
     return r.select("template_id", "vec_id", F.round("score", 6).alias("score"))
 
 
-@register("suppress_overlaps")
-def _(t):
-    """Boxes from order lines; checked against a plain greedy run in the tests."""
+@register(
+    "suppress_overlaps",
+    """WITH RECURSIVE b AS (SELECT l_suppkey AS doc_id, l_linenumber::BIGINT AS page_no, l_orderkey * 100000 + l_partkey AS region_no, l_discount * 5 AS x, l_tax * 5 AS y, l_quantity / 200 AS w, l_quantity / 100 AS h,
+      row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_extendedprice / 100000 DESC, l_orderkey * 100000 + l_partkey) AS n FROM lineitem),
+    r AS (SELECT DISTINCT doc_id, page_no, 0::BIGINT AS n, []::STRUCT(id BIGINT, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE)[] AS chosen FROM b
+      UNION ALL SELECT r.doc_id, r.page_no, b.n, CASE WHEN len(list_filter(chosen, lambda c:
+          least(c.x + c.w, b.x + b.w) > greatest(c.x, b.x) AND least(c.y + c.h, b.y + b.h) > greatest(c.y, b.y) AND
+          (least(c.x + c.w, b.x + b.w) - greatest(c.x, b.x)) * (least(c.y + c.h, b.y + b.h) - greatest(c.y, b.y)) /
+          (c.w * c.h + b.w * b.h - (least(c.x + c.w, b.x + b.w) - greatest(c.x, b.x)) * (least(c.y + c.h, b.y + b.h) - greatest(c.y, b.y))) > 0.3)) > 0
+        THEN chosen ELSE list_append(chosen, {'id': b.region_no, 'x': b.x, 'y': b.y, 'w': b.w, 'h': b.h}) END
+      FROM r JOIN b ON b.doc_id = r.doc_id AND b.page_no = r.page_no AND b.n = r.n + 1),
+    z AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, page_no ORDER BY n DESC) = 1)
+    SELECT doc_id, page_no, c.id AS region_no FROM (SELECT doc_id, page_no, unnest(chosen) AS c FROM z)""",
+)
+def _(t):
+    """Boxes from order lines."""
     r = t.lineitem.select(
         F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").cast("bigint").alias("page_no"),
         (F.col("l_orderkey") * 100000 + F.col("l_partkey")).alias("region_no"),

@@ -17,9 +17,9 @@ from corpuskit.operators.ordered import number_rows, running_sums
 from corpuskit.session import cut_lineage
 
 FORMATS = {
-    " (n)": (r"^(.*) \(([1-9][0-9]{0,8})\)$", " (", ")"),
-    "-n": (r"^(.*)-([1-9][0-9]{0,8})$", "-", ""),
-    "_n": (r"^(.*)_([1-9][0-9]{0,8})$", "_", ""),
+    " (n)": (r"^(.*) \(([1-9][0-9]{0,17})\)$", " (", ")"),
+    "-n": (r"^(.*)-([1-9][0-9]{0,17})$", "-", ""),
+    "_n": (r"^(.*)_([1-9][0-9]{0,17})$", "_", ""),
 }
 
 
