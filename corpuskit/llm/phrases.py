@@ -36,10 +36,12 @@ LEAST = 100
 TOP = 2000
 SHARE = 100
 
-#: bytes of a chunk, bits of the filter (4 MB, whatever the input), n-grams a task holds before it hands them on
+#: bytes of a chunk, of the chunks worked on at a time, bits of the filter (4 MB, whatever the input)
 CHUNK = 1 << 13
+PART = 1 << 19
 FILTER_BITS = 1 << 25
-HELD = 1 << 21
+#: n-grams a task holds before it hands them on, of those it only counts and of those it finds places for
+HELD, HELD_PLACES = 1 << 21, 1 << 19
 
 #: an n-gram's place: 20 bits of the task, 23 of its chunks, 17 of the word, 3 of the length
 TASK_BITS, CHUNK_BITS, WORD_BITS, LENGTH_BITS = 20, 23, 17, 3
@@ -214,53 +216,94 @@ def _chunks(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return slim.mapInArrow(run, "chunk long, lang string, text string, own int, n_words long")
 
 
-def _found(chunks: DataFrame, lengths: tuple[int, ...], known, parts: int, bits: int) -> DataFrame:
-    """(fp, n, chk, place): the n-grams of each task with their counts; ``known`` filters their ``parts``-grams."""
-    out = pa.schema([("fp", pa.int64()), ("n", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("place", pa.int64())])
+def _parts_of(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.RecordBatch, Words, np.ndarray]]:
+    """(rows, their words, a salt per word) for parts of a batch of chunks; parts without words are left out."""
+    for part in slices(batch, size):
+        words = Words([t.encode() for t in part.column(2).to_pylist()], part.column(3).to_pylist())
+        if len(words.starts):
+            yield part, words, _salts(part.column(1).to_pylist())[words.chunk]
 
-    def one(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        fp, chk, place = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(fp, kind="stable")
-        fp, chk, place = fp[order], chk[order], place[order]
-        at = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
-        n = np.diff(np.append(at, len(fp)))
-        return pa.RecordBatch.from_arrays([
-            pa.array(fp[at].view(np.int64)), pa.array(n), pa.array(np.minimum.reduceat(chk, at)),
-            pa.array(np.maximum.reduceat(chk, at)), pa.array(np.minimum.reduceat(place, at)),
-        ], schema=out)
+
+def _counted(chunks: DataFrame, lengths: tuple[int, ...], known, parts: int, bits: int) -> DataFrame:
+    """(fp, n): each task's own counts of its n-grams, of those whose ``parts``-grams are all in ``known``."""
+    out = pa.schema([("fp", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = None if known is None else Filter(known.value)
         held, size = [], 0
-        for batch in (part for whole in batches for part in slices(whole, 1 << 21)):
-            words = Words([t.encode() for t in batch.column(2).to_pylist()], batch.column(3).to_pylist())
-            if not len(words.starts):
-                continue
-            salt = _salts(batch.column(1).to_pylist())[words.chunk]
-            prints = [words.fingerprints(b) for b in BASES]
-            base_place = (batch.column(0).to_numpy()[words.chunk] << WORD_BITS) + (np.arange(len(words.starts)) - words.first[words.chunk])
+
+        def summed() -> pa.RecordBatch:
+            fp, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(n)], schema=out)
+
+        for _, words, salt in (x for batch in batches for x in _parts_of(batch, PART)):
+            prints = words.fingerprints(BASES[0])
             if test is not None:
                 ok = np.zeros(len(words.starts), bool)
                 at = words.grams(parts)
-                ok[at] = test.has(gram_prints(prints[0], at, parts, BASES[0], salt[at], bits))
+                ok[at] = test.has(gram_prints(prints, at, parts, BASES[0], salt[at], bits))
             for n in lengths:
                 at = words.grams(n)
                 at = at[words.own[at]]
                 if test is not None:
                     for i in range(n - parts + 1):
                         at = at[ok[at + i]]
-                if len(at):
-                    fp = gram_prints(prints[0], at, n, BASES[0], salt[at], bits)
-                    chk = gram_prints(prints[1], at, n, BASES[1], salt[at])
-                    held.append((fp, (chk >> np.uint64(32)).astype(np.uint32).view(np.int32), (base_place[at] << LENGTH_BITS) + n))
-                    size += len(at)
+                held.append(gram_prints(prints, at, n, BASES[0], salt[at], bits))
+                size += len(at)
             if size >= HELD:
-                yield one(held)
+                yield summed()
                 held, size = [], 0
+        if size:
+            yield summed()
+
+    return chunks.select("chunk", "lang", "text", "own").mapInArrow(run, "fp long, n long")
+
+
+def _placed(chunks: DataFrame, known, bits: int) -> DataFrame:
+    """(fp, low, high, place): each task's first place of the n-grams in ``known``, and their check values."""
+    out = pa.schema([("fp", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("place", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = Filter(known.value)
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def summed() -> tuple[np.ndarray, ...]:
+            fp, low, high, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(fp, kind="stable")
+            fp, low, high, place = fp[order], low[order], high[order], place[order]
+            at = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
+            return fp[at], np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.minimum.reduceat(place, at)
+
+        def rows(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in found], schema=out)
+
+        for part, words, salt in (x for batch in batches for x in _parts_of(batch, PART)):
+            prints = [words.fingerprints(b) for b in BASES]
+            word = (part.column(0).to_numpy()[words.chunk] << WORD_BITS) + (np.arange(len(words.starts)) - words.first[words.chunk])
+            for n in range(1, LONGEST + 1):
+                at = words.grams(n)
+                at = at[words.own[at]]
+                fp = gram_prints(prints[0], at, n, BASES[0], salt[at], bits)
+                hit = test.has(fp)
+                at, fp = at[hit], fp[hit]
+                if len(at):
+                    chk = gram_prints(prints[1], at, n, BASES[1], salt[at]).view(np.int64)
+                    held.append((fp, chk, chk, (word[at] << LENGTH_BITS) + n))
+                    size += len(at)
+            if size >= HELD_PLACES:
+                held = [summed()]
+                size = len(held[0][0])
+                if size > HELD_PLACES // 2:
+                    yield rows(held.pop())
+                    size = 0
         if held:
-            yield one(held)
+            yield rows(summed())
 
-    return chunks.select("chunk", "lang", "text", "own").mapInArrow(run, "fp long, n long, low int, high int, place long")
+    # each task hands on each frequent n-gram once, so there are as few tasks as keep all cores busy
+    tasks = 2 * chunks.sparkSession.sparkContext.defaultParallelism
+    few = chunks.select("chunk", "lang", "text", "own").coalesce(tasks)
+    return few.mapInArrow(run, "fp long, low long, high long, place long")
 
 
 def _filter(prints: DataFrame):
@@ -310,12 +353,8 @@ def _by_text(chunks: DataFrame, clashes: DataFrame, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Filter(test.value)
-        for batch in (part for whole in batches for part in slices(whole, 1 << 18)):
-            names = batch.column(1).to_pylist()
-            words = Words([t.encode() for t in batch.column(2).to_pylist()], batch.column(3).to_pylist())
-            if not len(words.starts):
-                continue
-            salt = _salts(names)[words.chunk]
+        for part, words, salt in (x for batch in batches for x in _parts_of(batch, 1 << 18)):
+            names = part.column(1).to_pylist()
             prints = words.fingerprints(BASES[0])
             for n in range(1, LONGEST + 1):
                 at = words.grams(n)
@@ -343,15 +382,19 @@ def frequent_phrases(chunks: DataFrame, least: int = LEAST, bits: int = 64) -> D
     whole: DataFrame | None = None
     known, parts = None, 0
     for lengths in ((1,), (2,), (3,), (4, 5)):
-        found = _found(chunks, lengths, known, parts, bits)
+        found = _counted(chunks, lengths, known, parts, bits)
         # tasks have counted already, so a second partial count would only cost
-        level = stored(found.repartition(tasks, "fp").groupBy("fp").agg(
-            F.sum("n").alias("a"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("place").alias("place")
-        ).filter(F.col("a") >= least), "ngrams")
+        level = stored(found.repartition(tasks, "fp").groupBy("fp").agg(F.sum("n").alias("a")).filter(F.col("a") >= least), "ngrams")
         whole = level if whole is None else whole.union(level)
         if known is not None:
             known.unpersist()
         known, parts = _filter(level), lengths[-1]
+    known.unpersist()
+    # only what is frequent needs a place and a check; a false hit of the filter ends in the join
+    first = _placed(chunks, _filter(whole), bits).groupBy("fp").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.min("place").alias("place")
+    )
+    whole = stored(whole.join(first, "fp"), "places")
     plain = whole.filter("low = high").select("place", "a")
     got = plain.join(_texts(plain.select("place"), chunks), "place").select("lang", "words", "a")
     clashes = whole.filter("low <> high").select("fp")
