@@ -268,6 +268,17 @@ def test_reorder_needs_a_permutation(spark):
     assert reorder_pages(pages.filter("doc_id = 0"), twice).count() == 4
 
 
+def test_made_up_names_of_many_digits(spark):
+    from corpuskit.operators.unique_names import _real_numbers, unique_names
+
+    names = ["a", "a (123456789012)", "a", "b (2)", "b", "b"]
+    df = spark.createDataFrame(list(enumerate(names)), "pos bigint, name string")
+    got = [r.u for r in unique_names(df, "name", "pos", "u").orderBy("pos").collect()]
+    assert got == ["a", "a (123456789012)", "a (2)", "b (2)", "b", "b (3)"]
+    occ = df.select(F.col("name").alias("_key"), F.col("pos").alias("_pos"), F.lit(1).alias("_k"))
+    assert {r._n for r in _real_numbers(occ, " (n)", 2).collect()} == {123456789012, 2}
+
+
 def test_free_names_never_meet(spark):
     from corpuskit.operators.unique_names import free_names
 
