@@ -311,8 +311,8 @@ def _(t):
 
 # --- streams over the same tables -------------------------------------------------------------
 def stream_of(t, name):
-    schema = getattr(t, name).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
+    """The table's file, or all files of its folder; as a pattern, since a stream takes no single file."""
+    return t.spark.readStream.schema(getattr(t, name).schema).parquet(f"{t.folder}/{name}[.]parquet")
 
 
 def run_to_table(t, df, mode="append"):

@@ -211,3 +211,15 @@ def test_diff_long_pairs_keeps_documents_apart(spark, monkeypatch, tmp_path):
     assert got == want
     sides = sorted(len((r.old or "").split()) for r in whole[0].collect())
     assert sides == sorted(len((text or "").split()) for _, text in docs)
+
+
+def test_streams_read_a_table_of_many_files(spark):
+    import __spark_entry__ as entry
+
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for name in ("documents", "events"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(3).write.parquet(f"{folder}/{name}.parquet")
+    for name in ("stream_patterns", "stream_index", "rate_limit_stream"):
+        one, many = (entry.queries()[name](spark, f) for f in ("/root/testdata/sf0.001", folder))
+        rows = sorted(map(tuple, one.collect()))
+        assert rows and rows == sorted(map(tuple, many.collect())), name
