@@ -419,7 +419,7 @@ _LONG = f"""p AS (SELECT doc_id % 7 AS pair_id, doc_id, {words_sql('text')} AS w
 )
 def _(t):
     """Each whole document against itself without every third word, counted over seven groups of documents."""
-    w = t.documents.select("doc_id", C.words(F.col("text")).alias("w"))
+    w = t.texts.select("doc_id", C.words(F.col("text")).alias("w"))
     less = F.filter("w", lambda x, i: i % 3 != 1)
     return _long_counts(w.select(F.col("doc_id").alias("pair_id"), F.array_join("w", " ").alias("old"), F.array_join(less, " ").alias("new")))
 
@@ -439,7 +439,7 @@ def _long_counts(pairs):
 )
 def _(t):
     """Each whole document against itself with a word of its own in every 89th place."""
-    w = t.documents.select("doc_id", C.words(F.col("text")).alias("w"))
+    w = t.texts.select("doc_id", C.words(F.col("text")).alias("w"))
     new = F.transform("w", lambda x, i: F.when((i + 1) % 89 == 0, F.concat(F.lit("<"), i.cast("string"), F.lit(">"))).otherwise(x))
     return _long_counts(w.select(F.col("doc_id").alias("pair_id"), F.array_join("w", " ").alias("old"), F.array_join(new, " ").alias("new")))
 

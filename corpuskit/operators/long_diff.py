@@ -10,6 +10,7 @@ edit in each, so if a segment is known to need fewer edits, a minimal script mat
 at its own place, and from there, word by word, the whole block. Such a block splits the segment in two;
 each half has its own, smaller bound, which makes more blocks certain, and so on.
 
+Pairs of up to ``WHOLE`` cells on either side are solved where they stand, without a shuffle.
 Between two cuts the rest is a row of its own, with a minimal script of its own. Without certain blocks (all is
 different, or moved) the whole pair stays one row.
 """
@@ -19,15 +20,16 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuskit.functions.text import collapse_space
 from corpuskit.operators.compare import CHUNKS, _chunks, middle, words
 from corpuskit.operators.ordered import keep_parallel
 
 CELL = 1024
+WHOLE = 8
 GRAM = 5
 
 
@@ -154,13 +156,60 @@ def _parts(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
     return rows.mapInArrow(kernel, f"pair_id {kind}, same boolean, part long, i0 long, i1 long, j0 long, j1 long")
 
 
+_CHUNK = pa.struct([("op", pa.string()), ("text", pa.string())])
+
+
+def _solved(rows: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and chunks of rows with ``old`` and ``new`` as words with blanks between, some pairs at a time."""
+    def listed(text: str | None) -> list[str]:
+        return text.split(" ") if text else []
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done, ends, ops, texts = 0, [0], [], []
+            for at in range(batch.num_rows):
+                script = middle(listed(batch.column(len(keys))[at].as_py()), listed(batch.column(len(keys) + 1)[at].as_py()))
+                ops += [op for op, _ in script]
+                texts += [w for _, w in script]
+                ends.append(len(ops))
+                if len(ops) >= 64 * CELL or at + 1 == batch.num_rows:
+                    flat = pa.StructArray.from_arrays([pa.array(ops, pa.string()), pa.array(texts, pa.string())], fields=list(_CHUNK))
+                    here = [batch.column(k).slice(done, at + 1 - done) for k in range(len(keys))]
+                    yield pa.RecordBatch.from_arrays(
+                        [*here, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=[*keys, "chunks"]
+                    )
+                    done, ends, ops, texts = at + 1, [0], [], []
+
+    kinds = dict(rows.dtypes)
+    fields = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    return rows.select(*keys, "old", "new").mapInArrow(kernel, f"{fields}, chunks {CHUNKS}")
+
+
 def diff_long(pairs: DataFrame) -> DataFrame:
     """Word diff of pairs (pair_id, old, new) as rows pair_id, part, piece, chunks: array of (op, text).
 
     In the order of part and piece the chunks are a minimal script, inserts before deletes inside one
     change. A part that is equal on both sides comes in pieces of at most ``CELL`` words; a part that
-    differs is one piece. Pairs without words have no rows. ``pair_id`` must be unique.
+    differs, and a pair of up to ``WHOLE`` cells, is one piece. Pairs without words have no rows.
+    ``pair_id`` must be unique.
     """
+    flat = pairs.select("pair_id", *[collapse_space(F.coalesce(c, F.lit(""))).alias(c) for c in ("old", "new")])
+    # a filter on a row's id stays above what makes the texts, which else is done once more for each condition
+    flat = flat.withColumn("_id", F.monotonically_increasing_id())
+
+    def n_words(c: str) -> Column:
+        return F.length(c) - F.length(F.replace(F.col(c), F.lit(" "), F.lit(""))) + 1
+
+    known = F.col("_id") >= 0
+    short = F.greatest(n_words("old"), n_words("new")) <= WHOLE * CELL
+    some = flat.filter(known & short & ((F.col("old") != "") | (F.col("new") != "")))
+    zero = F.lit(0).cast("long")
+    whole = _solved(some, "pair_id").select("pair_id", zero.alias("part"), zero.alias("piece"), "chunks")
+    return whole.unionByName(_cut(flat.filter(known & ~short).drop("_id")))
+
+
+def _cut(pairs: DataFrame) -> DataFrame:
+    """The rows of ``diff_long`` for pairs of more words, by certain cuts."""
     cells = _cells(pairs)
     size = F.max(F.when(F.col("side") == 0, F.col("n_words")))
     other = F.max(F.when(F.col("side") == 1, F.col("n_words")))
@@ -188,12 +237,5 @@ def diff_long(pairs: DataFrame) -> DataFrame:
         return F.array_join(F.flatten(F.transform(found, lambda x: x["w"])), " ")
 
     gaps = keep_parallel(pieces.filter("NOT same").groupBy("pair_id", "part").agg(side(0).alias("old"), side(1).alias("new")), "pair_id", "part")
-    kind = dict(gaps.dtypes)["pair_id"]
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            scripts = [middle(a.split(" ") if a else [], b.split(" ") if b else []) for a, b in zip(pdf["old"], pdf["new"], strict=True)]
-            yield pdf[["pair_id", "part"]].assign(chunks=[[{"op": op, "text": w} for op, w in s] for s in scripts])
-
-    solved = gaps.mapInPandas(solve, f"pair_id {kind}, part long, chunks {CHUNKS}")
+    solved = _solved(gaps, "pair_id", "part")
     return equal.unionByName(solved.select("pair_id", "part", F.lit(0).cast("long").alias("piece"), "chunks"))

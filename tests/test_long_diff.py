@@ -97,3 +97,11 @@ def test_two_million_words_in_bounded_parts(spark):
 def test_few_rows(spark, n):
     df = spark.createDataFrame([(1, "a b c", "a c")][:n], "pair_id long, old string, new string")
     assert scripts(L.diff_long(df).collect()) == ({1: [("equal", "a"), ("delete", "b"), ("equal", "c")]} if n else {})
+
+
+def test_pairs_of_few_cells_are_not_shuffled(spark):
+    d = L._solved(spark.createDataFrame([(1, "a b c", "a x c")], "pair_id long, old string, new string"), "pair_id")
+    assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
+    rows = [(i, "a b " * 3000, "a " * 3000) for i in range(4)]
+    got = L.diff_long(spark.createDataFrame(rows, "pair_id long, old string, new string")).collect()
+    assert [(r.part, r.piece) for r in got] == [(0, 0)] * 4 and all(sum(c.op == "delete" for c in r.chunks) == 3000 for r in got)
