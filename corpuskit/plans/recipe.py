@@ -200,6 +200,16 @@ def nup_tool(df: DataFrame, settings: dict) -> DataFrame:
     return _with_pages(filled, sheets).drop("_pages", "_slots")
 
 
+BYTES_AT_ONCE = 1 << 22
+
+
+def some_at_once(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``BYTES_AT_ONCE``, so few documents at a time become Python objects."""
+    step = max(1, BYTES_AT_ONCE * batch.num_rows // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def document_tool(fn: Callable[[dict, dict | None], dict], reads: list[str], writes: list[str]):
     """A tool from a function of one document, in which an error is that document's alone.
 
@@ -224,7 +234,7 @@ def document_tool(fn: Callable[[dict, dict | None], dict], reads: list[str], wri
                 return (*old.values(), f"{type(e).__name__}: {e}")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in some_at_once(whole)):
                 lists = [c.to_pylist() for c in batch.columns[len(keep):]]
                 n = len(writes)
                 made = [one(row[n], dict(zip(writes, row)), dict(zip(reads, row[n + 1:]))) for row in zip(*lists)]

@@ -223,3 +223,27 @@ def test_streams_read_a_table_of_many_files(spark):
         one, many = (entry.queries()[name](spark, f) for f in ("/root/testdata/sf0.001", folder))
         rows = sorted(map(tuple, one.collect()))
         assert rows and rows == sorted(map(tuple, many.collect())), name
+
+
+def test_documents_become_objects_a_few_at_a_time():
+    import pyarrow as pa
+
+    from corpuskit.plans import recipe
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": ["x" * 50_000] * 1000})
+    parts = list(recipe.some_at_once(batch))
+    assert sum(p.num_rows for p in parts) == 1000 and max(p.num_rows for p in parts) <= 100
+
+
+def test_a_written_index_is_not_shuffled(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from corpuskit.operators import search as SE
+
+    pages = spark.createDataFrame([(1, 0, "a b"), (2, 0, "b c")], "doc_id long, page_no long, text string").repartition(2)
+    path, calls = tempfile.mkdtemp(prefix="spark-", dir="/tmp"), []
+    plain = type(pages).repartition
+    monkeypatch.setattr(type(pages), "repartition", lambda self, *a: calls.append(a) or plain(self, *a))
+    SE.write_index(SE.build_index(pages), path)
+    assert not calls and isinstance(pages, DataFrame)
+    assert sorted((r.token, r.doc_id) for r in SE.stored_postings(spark, path, "b c").collect()) == [("b", 1), ("b", 2), ("c", 2)]
