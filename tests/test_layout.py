@@ -58,3 +58,10 @@ def test_words_come_in_bounded_batches(spark, monkeypatch):
     PG.page_words(docs)
     whole = pa.RecordBatch.from_pandas(docs.toPandas())
     assert max(len(b.column(2).flatten()) for b in kernel[0](iter([whole]))) <= 1300
+
+
+def test_the_first_of_lines_of_one_number_is_shown(spark):
+    cells = spark.createDataFrame([], "doc_id long, page_no long, table_no long, row_no long, col_no long, value string")
+    rows = [(1, 0, 5, "first", 0), (1, 0, 5, "second", 1), (1, 0, 6, "third", 2)]
+    lines = spark.createDataFrame(rows, "doc_id long, page_no long, line_no long, text string, seq long").coalesce(1)
+    assert L.workbook_plan(cells, lines, True)[0].first().preview == "first"
