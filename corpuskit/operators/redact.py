@@ -11,8 +11,13 @@ from corpuskit.functions.text import all_tokens, chars, needle_spellings
 
 def scan_patterns(pages: DataFrame, text: str = "text") -> DataFrame:
     """One row per hit with its category and offsets in the text of its page."""
-    keep = [c for c in pages.columns if c != text]
-    hits = with_pattern_hits(pages, text).select(*keep, F.explode("hits").alias("h"))
+    return hit_rows(with_pattern_hits(pages, text), text)
+
+
+def hit_rows(scanned: DataFrame, text: str = "text") -> DataFrame:
+    """One row per hit of pages that hold their ``hits`` already."""
+    keep = [c for c in scanned.columns if c not in (text, "hits")]
+    hits = scanned.select(*keep, F.explode("hits").alias("h"))
     return hits.select(*keep, "h.category", "h.start", "h.end", F.col("h.text").alias("hit"))
 
 
@@ -38,15 +43,19 @@ def cut_spans(text: Column, spans: Column, fill: str = "") -> Column:
 
 
 def redact_patterns(
-    pages: DataFrame, categories: list[str] | None = None, text: str = "text", fill: str = ""
+    pages: DataFrame, categories: list[str] | None = None, text: str = "text", fill: str = "", keep_hits: bool = False
 ) -> DataFrame:
-    """Cut every detected span; one projection per page, no join and no shuffle."""
+    """Cut every detected span; one projection per page, no join and no shuffle.
+
+    With ``keep_hits`` all hits in the text before, cut or not, stay beside it as ``hits``.
+    """
     scanned = with_pattern_hits(pages, text)
     hits = F.col("hits")
     if categories:
         hits = F.filter(hits, lambda h: h["category"].isin(categories))
     cut = F.when(F.size(hits) > 0, cut_spans(F.col(text), hits, fill)).otherwise(F.col(text))
-    return scanned.withColumn(text, cut).withColumn("n_cut", F.size(hits).cast("bigint")).drop("hits")
+    out = scanned.withColumn(text, cut).withColumn("n_cut", F.size(hits).cast("bigint"))
+    return out if keep_hits else out.drop("hits")
 
 
 def redact(pages: DataFrame, marks: DataFrame, text: str = "text", fill: str = "") -> DataFrame:

@@ -113,3 +113,12 @@ def test_tokens_and_snippets(spark):
     text = "a" * 100 + " needle " + "b" * 100
     got = one(spark, X.snippet(F.lit(text), F.lit("needle")))
     assert got.startswith("...") and got.endswith("...") and "needle" in got and len(got) == 86
+
+
+def test_hits_kept_beside_the_cut_text_are_those_of_a_scan(spark):
+    from corpuskit.operators.redact import hit_rows
+
+    df = spark.createDataFrame([(1, 0, "mail a@b.example now"), (2, 0, "nothing"), (3, 1, None)], "doc_id long, page_no int, text string")
+    both = redact_patterns(df, keep_hits=True)
+    assert sorted(hit_rows(both.drop("n_cut")).collect()) == sorted(scan_patterns(df).collect()) != []
+    assert sorted(both.drop("hits").collect()) == sorted(redact_patterns(df).collect())
