@@ -65,3 +65,26 @@ def test_the_first_of_lines_of_one_number_is_shown(spark):
     rows = [(1, 0, 5, "first", 0), (1, 0, 5, "second", 1), (1, 0, 6, "third", 2)]
     lines = spark.createDataFrame(rows, "doc_id long, page_no long, line_no long, text string, seq long").coalesce(1)
     assert L.workbook_plan(cells, lines, True)[0].first().preview == "first"
+
+
+def test_blocks_are_made_in_one_pass_of_the_layout(spark):
+    from corpuskit.checks import load
+
+    for name in ("page_blocks", "page_blocks_tables"):
+        df = load().QUERIES[name](spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        # one kernel for the words, one for the lines
+        assert plan.count("MapInArrow") == 2, plan
+
+
+def test_blocks_know_their_lines_and_characters(spark):
+    fields = "doc_id long, page_no long, line_no long, text string, max_size double, body_size double, starts_paragraph boolean, is_heading boolean"
+    lines = spark.createDataFrame([
+        (1, 0, 0, "Title", 18.0, 12.0, False, True), (1, 0, 1, "ab", 12.0, 12.0, False, False),
+        (1, 0, 2, "cde", 12.0, 12.0, False, False), (1, 0, 3, "x", 12.0, 12.0, True, False), (1, 0, 4, "y", 12.0, 12.0, False, False),
+    ], fields)
+    tables = spark.createDataFrame([(1, 0, 3, 4)], "doc_id long, page_no long, start_line long, end_line long")
+    got = L.page_blocks(lines, tables).orderBy("block_no").collect()
+    assert [(r.kind, r.text, r.n_lines, r.n_chars) for r in got] == [
+        ("heading", "Title", 1, 5), ("paragraph", "ab cde", 2, 6), ("table", None, None, None),
+    ]
