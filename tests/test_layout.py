@@ -88,3 +88,23 @@ def test_blocks_know_their_lines_and_characters(spark):
     assert [(r.kind, r.text, r.n_lines, r.n_chars) for r in got] == [
         ("heading", "Title", 1, 5), ("paragraph", "ab cde", 2, 6), ("table", None, None, None),
     ]
+
+
+def test_words_of_texts_are_runs_within_one_kernel(spark):
+    rows = [(1, 0, "a\u00a0bc\n\n  d\U0001f600e f"), (1, 1, None), (2, 0, ""), (2, 1, "x"), (3, 0, "\u3000\n"), (3, 1, "é\u2003ü\r\nz ")]
+    docs = spark.createDataFrame(rows, "doc_id long, page_no long, text string").coalesce(1)
+    want = [
+        (r.doc_id, r.page_no, w.line_no, w.word_no, w.str, w.off, len(w.str))
+        for r in PG.page_words(docs).orderBy("doc_id", "page_no").collect() for w in r.words
+    ]
+    texts = pa.array([r[2] for r in rows])
+    for lo in (0, 3):
+        page, w = SH.words_of(texts.slice(lo))
+        got = [(*rows[p + lo][:2], *x) for p, *x in zip(page.tolist(), *[w[c].tolist() for c in ("line_no", "word_no")], w["str"].to_pylist(), w["off"].tolist(), w["chars"].tolist())]
+        assert got == [x for x in want if x[:2] >= rows[lo][:2]]
+
+    from corpuskit.checks import load
+
+    # runs made of words do not go through the JVM between two kernels
+    df = load().QUERIES["merge_runs"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
