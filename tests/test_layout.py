@@ -108,3 +108,15 @@ def test_words_of_texts_are_runs_within_one_kernel(spark):
     # runs made of words do not go through the JVM between two kernels
     df = load().QUERIES["merge_runs"](spark, "/root/testdata/sf0.001")
     assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_a_page_of_lines_needs_no_shuffle(spark):
+    docs = spark.createDataFrame([(1, 0, "Title\na b\n\n\nc"), (1, 1, " \n"), (2, 0, "d")], "doc_id long, page_no long, text string")
+    runs = PG.page_words(docs).select("doc_id", "page_no", F.transform("words", lambda w: F.struct(
+        w["word_no"].alias("run_no"), w["str"].alias("str"), F.lit(6.0).alias("width"),
+        F.array(F.lit(12.0), F.lit(0.0), F.lit(0.0), F.lit(12.0), w["off"] * 6.0, w["line_no"] * -20.0).alias("transform"),
+    )).alias("runs"))
+    whole = L.page_text(L.layout_lines(runs, keep_runs=False, by_page=True), "markdown")
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+    assert sorted(whole.collect()) == sorted(L.page_text(L.layout_lines(runs), "markdown").collect())
+    assert whole.count() == 2
