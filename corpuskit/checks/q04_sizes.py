@@ -165,8 +165,8 @@ def _(t):
 @register("refine_estimate")
 def _(t):
     p = plan(t)
-    m = Z.representative_page(p).join(p, ["doc_id", "page_no"]).select(
-        "doc_id", "page_no", (F.col("actionable_bytes") + 500).alias("before_bytes"),
+    m = Z.representative_page(p, "route", "actionable_bytes", "target_pixels").select(
+        "doc_id", "page_no", "route", (F.col("actionable_bytes") + 500).alias("before_bytes"),
         (F.col("actionable_bytes") * 0.4 + 500).alias("after_bytes"),
         F.col("actionable_bytes").alias("page_actionable"), F.col("target_pixels").alias("page_pixels"),
     )

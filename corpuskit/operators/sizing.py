@@ -7,7 +7,7 @@ flate_bytes (size of raw samples after lossless packing, NULL if not raw).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskit.functions.geometry import (
@@ -18,12 +18,12 @@ from corpuskit.functions.geometry import (
 )
 from corpuskit.functions.names import js_round
 from corpuskit.operators.ordered import counted_join, running_sums
-from corpuskit.session import cut_lineage
 
 # Filters no decoder output may be re-encoded from, and named-ink colour spaces.
 UNDECODABLE = ["JPXDecode", "JBIG2Decode"]
 UNSAFE_SPACES = ["DeviceN", "Separation"]
 LOSSLESS_MAX_KEPT = 0.9
+_PAGE = ["doc_id", "page_no"]
 # The ladder of settings, best first (dpi, quality).
 LADDER = [
     (300, 0.9), (300, 0.75), (200, 0.75), (150, 0.75), (150, 0.6),
@@ -122,42 +122,50 @@ def attach_text_census(inventory: DataFrame, census: DataFrame) -> DataFrame:
 def classify_pages(pages: DataFrame, images: DataFrame, census: DataFrame, dpi: int) -> DataFrame:
     """What to do with each page: raster, surgical, skip or already-optimized, with sizes.
 
-    ``pages``: doc_id, page_no, page_width, page_height (all pages, also those without images).
+    ``pages``: doc_id, page_no, page_width, page_height (all pages, also those without images). Pages, census
+    and images are dealt by document once, as rows of one table; windows over its pages and shared
+    objects carry facts from row to row, so there is no join and no second shuffle, and what follows per document needs none.
     """
-    known = attach_text_census(pages, census)
-    # the facts are read by several grouped branches below: written once instead of redone
-    facts = cut_lineage(with_object_safety(images).join(known, ["doc_id", "page_no"]))
-    size = (F.col("width"), F.col("height"), F.col("placed_w"), F.col("placed_h"), F.col("page_width"), F.col("page_height"))
-    has_text = F.col("char_count") >= 1
-    uses = facts.withColumns({
-        "dpi": effective_dpi(*size), "pixels_wanted": target_pixels(*size, F.lit(dpi)), "has_text": has_text,
-    })
-    gov = governing_use(uses.filter(F.col("has_text") & F.col("surgical"))).select(
-        "doc_id", "object_no", F.col("use.dpi").alias("_gdpi"), F.col("use.pixels_wanted").alias("_gpx"), "uses"
+    own = image_safety(images).select(
+        *_PAGE, "image_no", "object_no", "width", "height", "placed_w", "placed_h", "byte_length", "flate_bytes", "surgical", "raster",
+        F.lit(True).alias("_image"),
     )
-    j = counted_join(uses, gov, ["doc_id", "object_no"], "uses")
-    shared = F.col("object_no") >= 0
+    sheets = pages.select(*_PAGE, "page_width", "page_height", F.lit(True).alias("_page"))
+    counts = census.select(*_PAGE, "char_count", "run_count")
+    rows = own.unionByName(sheets, allowMissingColumns=True).unionByName(counts, allowMissingColumns=True).repartition("doc_id")
+
+    page, use = Window.partitionBy(*_PAGE), Window.partitionBy("doc_id", "object_no")
+    zero = F.lit(0).cast("bigint")
+    known = rows.withColumns({
+        **{c: F.max(c).over(page) for c in ("page_width", "page_height", "_page")},
+        **{c: F.coalesce(F.max(c).over(page), zero) for c in ("char_count", "run_count")},
+    }).filter("_image OR _page")
+    size = (F.col("width"), F.col("height"), F.col("placed_w"), F.col("placed_h"), F.col("page_width"), F.col("page_height"))
+    has_text, shared = F.col("char_count") >= 1, F.col("object_no") >= 0
+    uses = known.withColumns({"dpi": effective_dpi(*size), "pixels_wanted": target_pixels(*size, F.lit(dpi))})
+    # an object is safe if every use is; its use of least resolution on pages with text governs it
+    governs = F.when(F.col("_page") & has_text, F.struct("dpi", "page_no", "image_no", "pixels_wanted"))
+    j = uses.withColumns({
+        **{c: F.when(shared, F.bool_and(c).over(use)).otherwise(F.col(c)) for c in ("surgical", "raster")},
+        "_gov": F.when(shared, F.min(governs).over(use)),
+    }).filter("_page").withColumn("_gov", F.when(F.col("surgical"), F.col("_gov")))
     limit = dpi * MIN_DOWNSCALE_RATIO
     flate_ok = F.coalesce(F.col("flate_bytes") <= F.col("byte_length") * LOSSLESS_MAX_KEPT, F.lit(False))
-    over = F.when(shared, F.coalesce(F.col("_gdpi") > limit, F.lit(False))).otherwise(F.col("dpi") > limit)
-    lossless = shared & F.col("_gdpi").isNotNull() & ~over & flate_ok
+    over = F.when(shared, F.coalesce(F.col("_gov.dpi") > limit, F.lit(False))).otherwise(F.col("dpi") > limit)
+    lossless = shared & F.col("_gov.dpi").isNotNull() & ~over & flate_ok
     j = j.withColumns({
         "_lossless": lossless,
-        "_cand": F.col("has_text") & F.col("surgical") & (over | lossless),
-        "_px": F.coalesce(F.when(shared, F.col("_gpx")), F.col("pixels_wanted")),
-    })
-    j = cut_lineage(j)
-    flags = j.groupBy("doc_id", "page_no").agg(
-        F.count(F.lit(1)).alias("n_images"),
-        F.sum(F.col("width") * F.col("height")).cast("bigint").alias("image_pixels"),
-        F.bool_or(~F.col("raster")).alias("blocks_raster"),
-        F.count_if(~F.col("surgical")).alias("n_unsafe"),
-        F.count_if("_cand").alias("n_candidates"),
-        F.count_if(F.col("_cand") & F.col("_lossless")).alias("n_lossless"),
-    )
-    wide = known.join(flags, ["doc_id", "page_no"], "left").fillna(
-        {"n_images": 0, "image_pixels": 0, "blocks_raster": False, "n_unsafe": 0, "n_candidates": 0, "n_lossless": 0}
-    )
+        "_cand": has_text & F.col("surgical") & (over | lossless),
+        "_px": F.coalesce(F.when(shared, F.col("_gov.pixels_wanted")), F.col("pixels_wanted")),
+    }).drop("_gov", "dpi", "pixels_wanted", "placed_w", "placed_h")
+    flags = {
+        "n_images": F.count("_image").over(page),
+        "image_pixels": F.coalesce(F.sum(F.col("width") * F.col("height")).over(page), zero).cast("bigint"),
+        "blocks_raster": F.coalesce(F.bool_or(~F.col("raster")).over(page), F.lit(False)),
+        "n_unsafe": F.count_if(~F.col("surgical")).over(page),
+        "n_candidates": F.count_if("_cand").over(page),
+        "n_lossless": F.count_if(F.col("_cand") & F.col("_lossless")).over(page),
+    }
     bare = (F.col("n_images") == 0) & ~has_text
     route = (
         F.when(~has_text & ((F.col("n_images") == 0) | F.col("blocks_raster")), "already-optimized")
@@ -176,25 +184,26 @@ def classify_pages(pages: DataFrame, images: DataFrame, census: DataFrame, dpi:
         .when(F.col("n_unsafe") > 0, F.format_string("%d images left untouched", F.col("n_unsafe")))
         .otherwise("at the target resolution")
     )
-    routed = wide.withColumns({"route": route, "reason": reason})
-    counted = count_once(
-        j.join(routed.select("doc_id", "page_no", "route"), ["doc_id", "page_no"]).filter(
-            (F.col("route") == "raster") | ((F.col("route") == "surgical") & F.col("_cand"))
-        )
-    )
-    is_surgical = F.col("route") == "surgical"
-    sums = counted.groupBy("doc_id", "page_no").agg(
-        F.sum("byte_length").alias("actionable_bytes"),
-        F.sum(F.when(is_surgical & ~F.col("_lossless"), F.col("_px"))).alias("_spx"),
-        F.sum(F.when(is_surgical & F.col("_lossless"), F.col("byte_length"))).alias("lossless_bytes"),
-        F.sum(F.when(is_surgical & F.col("_lossless"), F.least("byte_length", "flate_bytes"))).alias("lossless_projected"),
-    )
+    is_surgical = route == "surgical"
+    acts = F.col("_image") & ((route == "raster") | (is_surgical & F.col("_cand")))
+    # of a shared object the first use that is acted on counts
+    place = F.struct("page_no", "image_no")
+    routed = j.withColumns(flags).withColumn("_acts", F.coalesce(acts, F.lit(False)))
+    first = F.min(F.when(F.col("_acts"), place)).over(use)
+    counted = routed.withColumn("_acts", F.col("_acts") & ((F.col("object_no") < 0) | (shared & (place == first))))
+    own_way = F.col("_acts") & is_surgical
+    per = counted.groupBy(*_PAGE).agg(
+        *[F.max(c).alias(c) for c in ("page_width", "page_height", "char_count", "run_count", *flags)],
+        F.sum(F.when(F.col("_acts"), F.col("byte_length"))).alias("actionable_bytes"),
+        F.sum(F.when(own_way & ~F.col("_lossless"), F.col("_px"))).alias("_spx"),
+        F.sum(F.when(own_way & F.col("_lossless"), F.col("byte_length"))).alias("lossless_bytes"),
+        F.sum(F.when(own_way & F.col("_lossless"), F.least("byte_length", "flate_bytes"))).alias("lossless_projected"),
+    ).withColumns({"route": route, "reason": reason})
     page_px = (
         F.greatest(F.lit(1), js_round(F.col("page_width") / 72 * dpi))
         * F.greatest(F.lit(1), js_round(F.col("page_height") / 72 * dpi))
     )
-    zero = F.lit(0).cast("bigint")
-    return routed.join(sums, ["doc_id", "page_no"], "left").select(
+    return per.select(
         "doc_id", "page_no", "route", "reason", "image_pixels",
         F.coalesce("actionable_bytes", zero).cast("bigint").alias("actionable_bytes"),
         F.when(F.col("route") == "raster", page_px).otherwise(F.coalesce("_spx", zero)).cast("bigint").alias("target_pixels"),
@@ -226,9 +235,13 @@ def refine_estimate(plan: DataFrame, totals: DataFrame, measured: DataFrame, qua
     """Expected bytes rescaled from one measured page per document.
 
     ``measured``: doc_id, page_no, before_bytes, after_bytes, page_actionable, page_pixels.
-    Documents whose measured page cannot serve as a yardstick give NULL.
+    Documents whose measured page cannot serve as a yardstick give NULL. ``measured`` may bring the
+    ``route`` of its page, which saves a join.
     """
-    m = measured.join(plan.select("doc_id", "page_no", F.col("route").alias("_route")), ["doc_id", "page_no"], "left")
+    if "route" in measured.columns:
+        m = measured.withColumnRenamed("route", "_route")
+    else:
+        m = measured.join(plan.select("doc_id", "page_no", F.col("route").alias("_route")), ["doc_id", "page_no"], "left")
     overhead = F.greatest(F.lit(0), F.col("before_bytes") - F.col("page_actionable"))
     after = F.col("after_bytes") - F.when(F.col("_route") == "surgical", overhead).otherwise(0)
     usable = F.col("_route").isin("raster", "surgical") & (F.col("page_pixels") > 0) & (after > 0)
@@ -251,9 +264,11 @@ def refine_estimate(plan: DataFrame, totals: DataFrame, measured: DataFrame, qua
     return s.select("doc_id", F.when(good, js_round(estimate)).cast("bigint").alias("estimated_bytes"))
 
 
-def representative_page(plan: DataFrame) -> DataFrame:
+def representative_page(plan: DataFrame, *more: str) -> DataFrame:
+    """The page of each document with the most image pixels, and what else of it is asked for."""
     rank = F.struct("image_pixels", "actionable_bytes", (-F.col("page_no")).alias("p"))
-    return plan.groupBy("doc_id").agg(F.max_by("page_no", rank).alias("page_no"))
+    shown = F.struct("page_no", *more)
+    return plan.groupBy("doc_id").agg(F.max(F.struct(rank.alias("rank"), shown.alias("shown"))).alias("_b")).select("doc_id", "_b.shown.*")
 
 
 def size_report(stats: DataFrame) -> DataFrame:

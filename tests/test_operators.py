@@ -318,3 +318,23 @@ def test_search_limits_and_session_ties(spark):
     events = spark.createDataFrame(rows, "doc_id int, event_id int, s long").withColumn("ts", F.timestamp_seconds("s"))
     got = {(r.event_id, r.session_no) for r in E.sessions(events, "doc_id", 10).collect()}
     assert got == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 1), (5, 1), (6, 1)}
+
+
+def test_pages_are_classified_in_one_shuffle(spark):
+    pages = spark.createDataFrame([(1, p, 612.0, 792.0) for p in range(4)], "doc_id long, page_no long, page_width double, page_height double")
+    census = spark.createDataFrame([(1, 0, 40, 2), (1, 2, 0, 3)], "doc_id long, page_no long, char_count long, run_count long")
+    fields = ("doc_id long, page_no long, image_no long, object_no long, width long, height long, bits int, color_space string, filters array<string>, "
+              "mask_filters array<string>, mask_kind string, is_mask boolean, byte_length long, placed_w double, placed_h double, flate_bytes long")
+
+    def image(page, no, obj, bits=8):
+        return (1, page, no, obj, 2000, 1500, bits, "DeviceRGB", [], [], None, False, 1000, 100.0, 80.0, None)
+
+    # the use of object 6 on a page that is not listed makes it unsafe; object 5 counts at its first use only
+    images = spark.createDataFrame([image(0, 1, 5), image(1, 2, 5), image(0, 3, 6), image(9, 4, 6, 1), image(1, 5, -1)], fields)
+    plan = Z.classify_pages(pages, images, census, 150)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {r.page_no: (r.route, r.reason, r.actionable_bytes) for r in plan.collect()}
+    assert got == {
+        0: ("surgical", "1 over-sampled, 0 uncompressed", 1000), 1: ("raster", "scanned page", 1000),
+        2: ("already-optimized", "text only", 0), 3: ("already-optimized", "neither text nor images", 0),
+    }
