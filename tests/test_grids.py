@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from corpuskit.operators import grids as G
 
 
@@ -57,3 +60,33 @@ def test_random_tables_come_back():
         words = words_of(rows, left, width, slope=rng.choice([0, 0.7, -0.7]), right_aligned=right)
         rng.shuffle(words)
         assert G.grid(words) == rows, (rows, right)
+
+
+def test_many_tables_in_step_are_the_tables_one_by_one(monkeypatch):
+    rng = random.Random(8)
+    tables = []
+    for n in range(400):
+        words = []
+        for r in range(rng.randint(1, 6)):
+            for c in range(rng.randint(1, 5)):
+                if rng.random() < 0.85:
+                    x = c * rng.choice([60, 75, 75, 75]) + rng.choice([0, 0, 0, 7, 20])
+                    w = rng.choice([5, 12, 12, 30, 30, 30, 150 if n % 7 == 0 else 40])
+                    words.append((r * rng.choice([6.0, 20.0, 20.0]) + rng.choice([0, 1, 2.5]), float(x), float(x + w), rng.choice("abc"), rng.choice([0.0, 8.0, 10.0, 14.0])))
+        tables += [words] if words else []
+    want = [(k, r, c, v) for k, t in enumerate(tables) for r, row in enumerate(G.grid(t)) for c, v in enumerate(row)]
+    single = []
+    one = G.grid
+    monkeypatch.setattr(G, "grid", lambda words: single.append(1) or one(words))
+    flat = [w for t in tables for w in t]
+    y, left, right, text, tall = zip(*flat)
+    at = np.repeat(np.arange(len(tables)), [len(t) for t in tables])
+    got = G.grids(at, np.array(y), np.array(left), np.array(right), pa.array(text), np.array(tall))
+    assert sorted(zip(*[g.tolist() for g in got[:3]], got[3].to_pylist())) == sorted(want)
+    # most went in step, some did not
+    assert 0 < len(single) < len(tables) * 0.7
+    clean = [w for t in tables[:20] for w in [(20.0 * r, 100.0 * c, 100.0 * c + 30, "x", 10.0) for r in range(3) for c in range(4)]]
+    single.clear()
+    y, left, right, text, tall = zip(*clean)
+    got = G.grids(np.repeat(np.arange(20), 12), np.array(y), np.array(left), np.array(right), pa.array(text), np.array(tall))
+    assert len(got[0]) == 240 and not single
