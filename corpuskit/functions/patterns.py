@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.functions.text import chars, sums_before
+from corpuskit.functions.text import chars, once, sums_before
 
 _L = r"(?<![A-Za-z0-9_])"
 _R = r"(?![A-Za-z0-9_])"
@@ -105,13 +105,17 @@ def _labelled(category: str, spans: Column) -> Column:
 def match_spans(text: Column, pattern: str, matches: Column) -> Column:
     """Half-open offsets of all regex matches: lengths of the parts between them, summed up."""
     gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), F.length)
-    before = sums_before(F.zip_with(gaps, matches, lambda g, m: g + F.length(m)))
-    starts = F.zip_with(before, gaps, lambda b, g: b + g)
-    spans = F.zip_with(
-        starts,
-        matches,
-        lambda s, m: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), m.alias("text")),
-    ).cast("array<struct<start:int,end:int,text:string>>")
+
+    def located(gaps: Column) -> Column:
+        before = sums_before(F.zip_with(gaps, matches, lambda g, m: g + F.length(m)))
+        starts = F.zip_with(before, gaps, lambda b, g: b + g)
+        return F.zip_with(
+            starts,
+            matches,
+            lambda s, m: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), m.alias("text")),
+        )
+
+    spans = once(gaps, located).cast("array<struct<start:int,end:int,text:string>>")
     empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
     return F.when(F.size(matches) > 0, spans).otherwise(empty)
 

@@ -338,3 +338,33 @@ def test_pages_are_classified_in_one_shuffle(spark):
         0: ("surgical", "1 over-sampled, 0 uncompressed", 1000), 1: ("raster", "scanned page", 1000),
         2: ("already-optimized", "text only", 0), 3: ("already-optimized", "neither text nor images", 0),
     }
+
+
+def planned(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_runs_of_a_text_are_found_once_and_hits_cut_by_page(spark):
+    text = "\n".join(" ".join(f"the w{i}" for i in range(n)) for n in (0, 1, 40, 700))
+    df = spark.createDataFrame([(1, 0, text), (1, 1, "nothing"), (2, 0, " the the  the"), (2, 1, None)], "doc_id int, page_no int, text string")
+    pages = df.withColumn("runs", SE.line_runs(F.col("text")))
+    assert planned(pages).count("regexp_extract_all") == 1
+    per = SE.find_text(pages, "the ", match_case=True, by_page=True)
+    keys = ["doc_id", "page_no", "start", "end", "run_no", "run_from", "run_to"]
+    got = sorted(map(tuple, SE.hit_slices(per).select(*keys).collect()))
+    assert got == sorted(map(tuple, SE.hit_slices(SE.find_text(pages, "the ", match_case=True)).select(*keys).collect()))
+    runs = {(r.doc_id, r.page_no): [(x.run_no, x.start, x.end) for x in r.runs or []] for r in pages.collect()}
+    want = []
+    for doc, page, t in df.collect():
+        for s in [i for i in range(len(t or "")) if t.startswith("the ", i)]:
+            want += [(doc, page, s, s + 4, n, max(0, s - a), min(s + 4, b) - a) for n, a, b in runs[doc, page] if b > s and a < s + 4]
+    assert got == sorted(want) and len(got) > 700
+
+
+def test_hits_cut_by_runs_in_any_order(spark):
+    rows = [(1, 3, 9, [(0, 5, 6), (1, 0, 20), (2, 9, 12), (3, 2, 4), (4, 8, 9)]), (2, 0, 4, []), (3, 0, 4, [(7, 0, 1)])]
+    df = spark.createDataFrame(rows, "doc_id int, start int, end int, runs array<struct<run_no:int,start:int,end:int>>")
+    got = sorted(map(tuple, SE.hit_slices(df).collect()))
+    assert got == sorted(
+        (d, s, e, n, max(0, s - a), min(e, b) - a) for d, s, e, runs in rows for n, a, b in runs if b > s and a < e
+    )
