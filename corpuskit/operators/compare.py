@@ -6,10 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpuskit.functions.text import chars, collapse_space
+from corpuskit.operators import sheets as SH
 from corpuskit.operators.ordered import keep_parallel
 
 CHUNKS = "array<struct<op:string,text:string>>"
@@ -222,29 +226,62 @@ def coarse_diff(pairs: DataFrame) -> DataFrame:
     return trimmed(pairs).select("pair_id", whole.cast(CHUNKS).alias("chunks"))
 
 
+def _summaries(old: pa.Array, new: pa.Array) -> list[np.ndarray]:
+    """The counts of ``diff_summary`` for some pairs of texts. Words are compared as whole numbers."""
+    n = len(old)
+    (po, wo), (pn, wn) = SH.words_of(old), SH.words_of(new)
+    codes = SH.numbers(pa.concat_arrays([wo["str"], wn["str"]]).dictionary_encode().indices).astype("int64")
+    co, cn = codes[:len(po)], codes[len(po):]
+    ends_o, ends_n = np.searchsorted(po, np.arange(n), "right"), np.searchsorted(pn, np.arange(n), "right")
+    len_o, len_n = np.bincount(po, minlength=n), np.bincount(pn, minlength=n)
+    at_o, at_n = ends_o - len_o, ends_n - len_n
+
+    def shared(most, place_o, place_n):
+        """How many of the first ``most`` words, seen from either end, are equal."""
+        pair = np.repeat(np.arange(n), most)
+        k = np.arange(len(pair)) - np.repeat(np.cumsum(most) - most, most)
+        bad = np.flatnonzero(co[place_o(pair, k)] != cn[place_n(pair, k)])
+        some, first = np.unique(pair[bad], return_index=True)
+        out = most.copy()
+        out[some] = k[bad[first]]
+        return out
+
+    least = np.minimum(len_o, len_n)
+    head = shared(least, lambda p, k: at_o[p] + k, lambda p, k: at_n[p] + k)
+    tail = shared(least - head, lambda p, k: ends_o[p] - 1 - k, lambda p, k: ends_n[p] - 1 - k)
+
+    def middle_of(page, code, at, ends):
+        place = np.arange(len(page))
+        keep = (place >= (at + head)[page]) & (place < (ends - tail)[page])
+        return page[keep] * (len(codes) + 1) + code[keep]
+
+    left, right = middle_of(po, co, at_o, ends_o), middle_of(pn, cn, at_n, ends_n)
+    some, which = np.unique(np.concatenate((left, right)), return_inverse=True)
+    more = np.bincount(which, np.repeat([1, -1], [len(left), len(right)]), len(some))
+    pair = some // (len(codes) + 1)
+    only = [np.bincount(pair, np.maximum(d, 0), n).astype("int64") for d in (more, -more)]
+    return [len_o, len_n, head, tail, *only]
+
+
 def diff_summary(pairs: DataFrame) -> DataFrame:
     """Word counts per pair: both sides, shared head and tail, words only on either side.
 
-    The multiset difference is counted from (pair, word) totals, combined map-side, so a word
-    that fills half a text is one row per task before the shuffle.
+    A pair is one row, so nothing is shuffled; the words of many pairs are counted at once.
     """
-    t = trimmed(pairs)
-    base = t.select(
-        "pair_id", F.size("_o").cast("bigint").alias("words_old"), F.size("_n").cast("bigint").alias("words_new"),
-        F.col("_p").cast("bigint").alias("equal_prefix"), F.col("_s").cast("bigint").alias("equal_suffix"),
-    )
-    sides = F.concat(
-        F.transform("mid_old", lambda w: F.struct(w.alias("w"), F.lit(1).alias("d"))),
-        F.transform("mid_new", lambda w: F.struct(w.alias("w"), F.lit(-1).alias("d"))),
-    )
-    per = t.select("pair_id", F.explode(sides).alias("x")).groupBy("pair_id", "x.w").agg(F.sum("x.d").alias("d"))
-    diff = per.groupBy("pair_id").agg(
-        F.sum(F.greatest(F.col("d"), F.lit(0))).alias("_a"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("_b")
-    )
-    zero = F.lit(0).cast("bigint")
-    return base.join(diff, "pair_id", "left").select(
-        *base.columns, F.coalesce("_a", zero).alias("only_old"), F.coalesce("_b", zero).alias("only_new")
-    )
+    rows = pairs.select("pair_id", "old", "new")
+    counts = ("words_old", "words_new", "equal_prefix", "equal_suffix", "only_old", "only_new")
+    out = StructType([rows.schema["pair_id"], *[StructField(c, LongType()) for c in counts]])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = sum(pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy().astype("int64") for i in (1, 2))
+            cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(size) - size) // SH.TEXT_AT_ONCE)) + 1).tolist(), len(size)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                some = batch.slice(lo, hi - lo)
+                if hi > lo:
+                    yield pa.RecordBatch.from_arrays([some.column(0), *map(pa.array, _summaries(some.column(1), some.column(2)))], names=out.names)
+
+    return rows.mapInArrow(kernel, out)
 
 
 def compare_documents(a: DataFrame, b: DataFrame, unchanged: str = "mark") -> DataFrame:

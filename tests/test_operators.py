@@ -1,6 +1,7 @@
 """Operators against plain loops on small inputs, with blocks small enough to matter."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import Window
@@ -368,3 +369,24 @@ def test_hits_cut_by_runs_in_any_order(spark):
     assert got == sorted(
         (d, s, e, n, max(0, s - a), min(e, b) - a) for d, s, e, runs in rows for n, a, b in runs if b > s and a < e
     )
+
+
+def test_diff_summary_counts_without_a_shuffle(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(300):
+        old = [rng.choice("aabcdé") * rng.choice([1, 1, 2]) for _ in range(rng.randint(0, 12))]
+        new = [w for w in old if rng.random() < 0.8] + [rng.choice("xyab")] * rng.choice([0, 0, 2])
+        rows.append((k, rng.choice(["", "　"]) + rng.choice([" ", "\n", " \t "]).join(old), " ".join(new) if k % 50 else None))
+    df = spark.createDataFrame(rows, "pair_id int, old string, new string").coalesce(1)
+    made = C.diff_summary(df)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for k, a, b in rows:
+        a, b = a.split(), (b or "").split()
+        least = min(len(a), len(b))
+        head = next((i for i in range(least) if a[i] != b[i]), least)
+        tail = next((i for i in range(least - head) if a[-1 - i] != b[-1 - i]), least - head)
+        only = [sum((Counter(x) - Counter(y)).values()) for x, y in ((a, b), (b, a))]
+        want.append((k, len(a), len(b), head, tail, *only))
+    assert sorted(map(tuple, made.collect())) == want
