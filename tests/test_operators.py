@@ -390,3 +390,29 @@ def test_diff_summary_counts_without_a_shuffle(spark):
         only = [sum((Counter(x) - Counter(y)).values()) for x, y in ((a, b), (b, a))]
         want.append((k, len(a), len(b), head, tail, *only))
     assert sorted(map(tuple, made.collect())) == want
+
+
+def test_grid_notes_count_without_ranks_of_all_cells(spark):
+    cells = [(d, s, r, c, "v" * (r + c)) for d in "ab" for s in range(5) for r in range(6) for c in range(4) if (r + s) % 5]
+    hidden = [("a", "sheet", 0, None), ("a", "row", 1, 2), ("a", "row", 1, 2), ("b", "column", 3, 0), ("b", "column", 3, 9)]
+    df = spark.createDataFrame(cells, "doc_id string, sheet_no int, row_no int, col_no int, value string")
+    hid = spark.createDataFrame(hidden, "doc_id string, kind string, sheet_no int, at int")
+    out, notes = L.grid_cleanup(df, hid, sheets=3, rows=4, columns=2, chars=5)
+    # three joins take hidden places out; they run once for all counts, and not twice for each cap
+    assert planned(notes).count("LeftAnti") <= 21
+    off = {(d, k, s, at) for d, k, s, at in hidden}
+    shown = [c for c in cells if not {(c[0], "sheet", c[1], None), (c[0], "row", c[1], c[2]), (c[0], "column", c[1], c[3])} & off]
+    want, kept = {}, []
+    for d in "ab":
+        want[d, "hidden sheets"] = len({x for x in off if x[:2] == (d, "sheet")})
+        want[d, "hidden rows"] = len({x for x in off if x[:2] == (d, "row")})
+        want[d, "hidden columns"] = len({x for x in off if x[:2] == (d, "column")})
+        order = sorted({c[1] for c in shown if c[0] == d})
+        want[d, "sheets over the cap"] = max(0, len(order) - 3)
+        per = {s: [sorted({c[k] for c in shown if c[:2] == (d, s)}) for k in (2, 3)] for s in order}
+        for k, (most, kind) in enumerate(((4, "rows"), (2, "columns"))):
+            want[d, f"{kind} over the cap"] = sum(max(0, len(p[k]) - most) for p in per.values())
+        kept += [c for c in shown if c[0] == d and c[1] in order[:3] and c[2] in per[c[1]][0][:4] and c[3] in per[c[1]][1][:2]]
+        want[d, "shortened cells"] = sum(c[0] == d and len(c[4]) > 5 for c in kept)
+    assert {(r.doc_id, r.kind): r.n for r in notes.collect()} == {k: n for k, n in want.items() if n}
+    assert sorted(map(tuple, out.collect())) == sorted((*c[:4], c[4] if len(c[4]) <= 5 else c[4][:4] + "…") for c in kept)
