@@ -247,3 +247,36 @@ def test_a_written_index_is_not_shuffled(spark, monkeypatch):
     SE.write_index(SE.build_index(pages), path)
     assert not calls and isinstance(pages, DataFrame)
     assert sorted((r.token, r.doc_id) for r in SE.stored_postings(spark, path, "b c").collect()) == [("b", 1), ("b", 2), ("c", 2)]
+
+
+ODD_PAGES = [
+    (1, "Alpha  beta\tALPHA gamma\nalphabet 12,5"), (1, "beta delta\n\nalpha"), (2, None), (2, ""), (None, "alpha nobody"), (None, "alpha"),
+    (3, "İstanbul ΣΑΣ ǅ straße ½ Ⅷ 漢字 \U0001f600 é é"), (4, "x" * 200 + " y" * 300), (5, "a   b﻿ c " * 60 + "\n" * 25 + "end – of “it”"),
+    (6, "".join(chr(c) for c in range(0x130)) + " plain"),
+]
+
+
+def test_figures_of_tokens_are_those_of_all_postings(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from corpuskit.operators import pages as PG
+    from corpuskit.operators import search as SE
+
+    docs = spark.createDataFrame(ODD_PAGES, "doc_id long, text string").repartition(3)
+    want = SE.build_index(PG.paginate(docs, 2)).groupBy("token").agg(
+        F.count(F.lit(1)).alias("n_pages"), F.count_distinct("doc_id").alias("n_docs"), F.min("snippet").alias("lo"), F.max("snippet").alias("hi")
+    )
+    want = sorted(map(tuple, want.collect()))
+    assert len(want) > 30
+    assert sorted(map(tuple, SE.token_figures(docs, 2).collect())) == want
+    monkeypatch.setattr(SE, "TOKENS_AT_ONCE", 1)
+    assert sorted(map(tuple, SE.token_figures(docs, 2).collect())) == want
+    assert SE.token_figures(docs.limit(0)).count() == 0
+
+
+def test_building_the_index_shuffles_no_postings(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["build_index"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert shuffles and not [line for line in shuffles if "doc_id" in line], plan
