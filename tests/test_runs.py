@@ -280,3 +280,47 @@ def test_building_the_index_shuffles_no_postings(spark):
     plan = entry.queries()["build_index"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     shuffles = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
     assert shuffles and not [line for line in shuffles if "doc_id" in line], plan
+
+
+def test_a_page_index_has_all_postings_in_little_space(spark, monkeypatch):
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from corpuskit.operators import pages as PG
+    from corpuskit.operators import search as SE
+
+    pages = PG.paginate(spark.createDataFrame(ODD_PAGES, "doc_id long, text string").repartition(3), 2)
+    queries = ["alpha beta", "é 漢字 i̇stanbul", "x" * 200 + " y end", "nothing", ""]
+    for at_once in (SE.POSTINGS_AT_ONCE, 1):
+        monkeypatch.setattr(SE, "POSTINGS_AT_ONCE", at_once)
+        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        SE.write_page_index(pages, path)
+        for query in queries:
+            want = SE.build_index(pages).filter(F.col("token").isin(SE.query_tokens(query)))
+            got = SE.page_index_postings(spark, path, query)
+            assert got.columns == want.columns
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    SE.write_page_index(pages.limit(0), path)
+    assert SE.page_index_postings(spark, path, "alpha").count() == 0
+    text = "\n".join(" ".join(f"word{i * j % 997}" for j in range(100)) for i in range(400))
+    many = PG.paginate(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    sizes = []
+    for write in (lambda path: SE.write_page_index(many, path), lambda path: SE.write_index(SE.build_index(many), path)):
+        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        write(path)
+        sizes.append(sum(f.stat().st_size for f in Path(path).rglob("*.parquet")))
+    assert sizes[0] < sizes[1] / 2, sizes
+
+
+def test_the_stored_search_writes_no_snippets(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from corpuskit.checks import q02_text
+
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    monkeypatch.setattr(q02_text, "checkpoint_folder", lambda spark: folder)
+    found = entry.queries()["search_stored"](spark, "/root/testdata/sf0.001")
+    assert found.count() == entry.queries()["search"](spark, "/root/testdata/sf0.001").count() > 0
+    written = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(folder)
+    assert "text" in written.columns and "snippet" not in written.columns
